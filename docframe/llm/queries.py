@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docframe.llm import lookalikes, residue
+from docframe.llm import lookalikes, mixing, packing, quality, residue, splitting
 from docframe.sources.tables import table
 
 
@@ -14,6 +14,20 @@ def p1_consistent(spark, folder):
     return lookalikes.consistent(table(spark, folder, "slim_bundle"))
 
 
+def _piece_limits(spark, folder) -> tuple[int, int, int]:
+    row = packing.limit(table(spark, folder, "size_limits"), "bundle_piece")
+    return row["max_size"], row["overlap_paragraphs"] or 0, row["overlap_chars"] or 0
+
+
+def p3_found(spark, folder):
+    parts = splitting.slices(table(spark, folder, "slim_bundle"), *_piece_limits(spark, folder))
+    return splitting.piece_counts(parts).where("n_pieces > 1").select("file_key")
+
+
+def p3_pieces(spark, folder):
+    return splitting.pieces(table(spark, folder, "slim_bundle"), *_piece_limits(spark, folder))
+
+
 def p5_found(spark, folder):
     return p5_residue(spark, folder).select("file_key", "paragraph_index")
 
@@ -27,5 +41,56 @@ def p5_clean(spark, folder):
     return residue.exclude_residue(rows, ["file_key", "paragraph_index"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_consistent, p5_found, p5_residue, p5_clean)}
-ORACLES: dict[str, str] = {}
+def _container(spark, folder) -> int:
+    return packing.limit(table(spark, folder, "size_limits"), "pack_container")["max_size"]
+
+
+def p6_packed(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), _container(spark, folder))
+
+
+def p6_found(spark, folder):
+    return p6_packed(spark, folder).where("piece_no = 1 and n_pieces > 1").select("doc_id")
+
+
+def p6_fill(spark, folder):
+    return packing.fill_report(p6_packed(spark, folder), _container(spark, folder))
+
+
+def _mix(spark, folder):
+    return mixing.plan(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_found(spark, folder):
+    return mixing.report(_mix(spark, folder)).where("short").select("source")
+
+
+def p7_report(spark, folder):
+    return mixing.report(_mix(spark, folder))
+
+
+def p7_mixed(spark, folder):
+    return mixing.mixed(_mix(spark, folder))
+
+
+def p8_quality(spark, folder):
+    return quality.assess(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p8_found(spark, folder):
+    return quality.not_prose(p8_quality(spark, folder))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_consistent, p3_found, p3_pieces, p5_found, p5_residue, p5_clean, p6_found, p6_packed, p6_fill,
+        p7_found, p7_report, p7_mixed, p8_found, p8_quality,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    "p3_found": """select file_key from (
+  select file_key, p.paragraph_index as i, max(length(p.text)) as n from (select file_key, unnest(paragraphs) as p from slim_bundle) group by all)
+group by file_key having sum(coalesce(n, 0)) > (select max_size from size_limits where limit_name = 'bundle_piece')""",
+}
