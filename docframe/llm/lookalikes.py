@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +37,12 @@ SWAP, SWITCH, BREAK = 1.5, 6.0, 14.0
 ALPHABET = 0x530
 SCRIPTS = "LCG"
 
-# Java and RE2 pattern: any character that folding or the lattice may change. Plain are ASCII, Latin letters and signs,
+# RE2 pattern: any character that folding or the lattice may change. Plain are ASCII, Latin letters and signs,
 # Greek letters without look-alike and typographic punctuation.
 SUSPECT = (
-    "[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u00ac\\u00ae-\\u024f"
-    "\\u0393\\u0394\\u0398\\u039b\\u039e\\u03a0\\u03a3\\u03a6\\u03a8\\u03a9\\u03b2\\u03b4-\\u03b8\\u03bb\\u03be\\u03c0\\u03c2-\\u03c4\\u03c6\\u03c8\\u03c9"
-    "\\u2010\\u2012-\\u2016\\u2018-\\u2027\\u2030-\\u203a\\u20ac\\u2122\\u2190-\\u22ff]"
+    r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{24f}"
+    r"\x{393}\x{394}\x{398}\x{39b}\x{39e}\x{3a0}\x{3a3}\x{3a6}\x{3a8}\x{3a9}\x{3b2}\x{3b4}-\x{3b8}\x{3bb}\x{3be}\x{3c0}\x{3c2}-\x{3c4}\x{3c6}\x{3c8}\x{3c9}"
+    r"\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2027}\x{2030}-\x{203a}\x{20ac}\x{2122}\x{2190}-\x{22ff}]"
 )
 
 
@@ -203,23 +204,33 @@ def bigrams(texts: DataFrame, column: str) -> dict[int, int]:
 
 
 def _changes(rows: DataFrame, keys: list[str], counts: dict[int, int], only_found: bool) -> DataFrame:
+    """The texts in consistent form with the reasons of their changes; ``only_found`` drops unchanged ones.
+
+    One vectorised pattern scan per Arrow batch picks the texts that need a reading.
+    """
     model = rows.sparkSession.sparkContext.broadcast(counts)  # at most ALPHABET ** 2 numbers
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", text string, marker_type string, reasons string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.value)
         for batch in batches:
-            at, texts, markers, reasons = [], [], [], []
+            odd = [pc.fill_null(pc.match_substring_regex(batch.column(c), SUSPECT), False) for c in ("text", "marker_type")]
+            at = np.flatnonzero(pc.or_(*odd)) if only_found else np.arange(batch.num_rows)
+            odd = np.asarray(pc.or_(*odd))
+            batch = batch.take(pa.array(at, pa.int64())) if only_found else batch
+            keep, texts, markers, reasons = [], [], [], []
             for i, (text, marker) in enumerate(zip(batch.column("text").to_pylist(), batch.column("marker_type").to_pylist(), strict=True)):
-                text, why = normalise(text, reader)
-                marker, more = normalise(marker, reader)
-                why |= more
+                why = set()
+                if odd[at[i]]:
+                    text, why = normalise(text, reader)
+                    marker, more = normalise(marker, reader)
+                    why |= more
                 if why or not only_found:
-                    at.append(i)
+                    keep.append(i)
                     texts.append(text)
                     markers.append(marker.strip().lower() if marker is not None else None)
                     reasons.append(",".join(sorted(why)))
-            take = pa.array(at, pa.int64())
+            take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k).take(take) for k in keys), pa.array(texts, pa.string()), pa.array(markers, pa.string()), pa.array(reasons, pa.string())],
                 names=[*keys, "text", "marker_type", "reasons"],
@@ -228,19 +239,14 @@ def _changes(rows: DataFrame, keys: list[str], counts: dict[int, int], only_foun
     return rows.select(*keys, "text", "marker_type").mapInArrow(run, schema)
 
 
-def _suspect() -> F.Column:
-    return F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False)) | F.coalesce(F.col("marker_type").rlike(SUSPECT), F.lit(False))
-
-
 def found(bundles: DataFrame) -> DataFrame:
     """``file_key, paragraph_index, reasons`` of paragraphs with look-alike characters, one row each.
 
-    Null and empty texts have none. Only texts with a suspect character travel to Python for
-    reading; repeated deliveries of a paragraph give one row.
+    Null and empty texts have none. Repeated deliveries of a paragraph give one row.
     """
     rows = paragraphs(bundles)
     keys = ["file_key", "paragraph_index"]
-    changed = _changes(rows.where(_suspect()), keys, bigrams(rows, "text"), only_found=True)
+    changed = _changes(rows, keys, bigrams(rows, "text"), only_found=True)
     return changed.groupBy(*keys).agg(F.min("reasons").alias("reasons"))
 
 
@@ -248,12 +254,9 @@ def consistent(bundles: DataFrame) -> DataFrame:
     """All paragraphs in their consistent form: ``file_key, paragraph_index, text, marker_type, reasons``.
 
     A paragraph comes out once; nulls stay null. Marker types are also lower-cased and trimmed.
-    Texts without suspect characters never leave the JVM.
     """
     rows = paragraphs(bundles)
     keys = ["file_key", "paragraph_index"]
-    suspect = _suspect()
-    changed = _changes(rows.where(suspect), keys, bigrams(rows, "text"), only_found=False)
-    plain = rows.where(~suspect).select(*keys, "text", F.lower(F.trim("marker_type")).alias("marker_type"), F.lit("").alias("reasons"))
+    changed = _changes(rows, keys, bigrams(rows, "text"), only_found=False)
     best = F.max_by(F.struct("text", "marker_type", "reasons"), F.struct(F.col("text").isNotNull().alias("has"), F.length("reasons").alias("n"), F.col("text")))
-    return plain.unionByName(changed).groupBy(*keys).agg(best.alias("row")).select(*keys, "row.*")
+    return changed.groupBy(*keys).agg(best.alias("row")).select(*keys, "row.*")
