@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from docframe.operators import hierarchy, references
+from docframe.plans.sql import blank_trim
 from docframe.sources.tables import table
 
 
@@ -102,3 +103,4 @@ where not exists (select 1 from down d where d.template_key = l.template_key and
     "p4_report": f"""with {_ORPHANS} select src_table, ref_field, reason, period, count(*) as n_references, count(distinct owner_key) as n_owners
 from found group by all""",
 }
+ORACLES = {name: blank_trim(sql) for name, sql in ORACLES.items()}
