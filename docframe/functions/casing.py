@@ -1,0 +1,35 @@
+"""Row-wise counterparts of the case functions, for edits inside a package."""
+
+from __future__ import annotations
+
+import re
+
+from docframe.functions.text import ACRONYMS
+
+
+def _part(part: str) -> str:
+    if re.sub("[^A-Za-z]", "", part).upper() in ACRONYMS or not part.isupper():
+        return part
+    return part.title()
+
+
+def title_case(text: str) -> str:
+    return " ".join("-".join(_part(p) for p in word.split("-")) for word in text.split())
+
+
+def case_pattern(text: str) -> str:
+    words = text.split()
+    if not words:
+        return "unknown"
+    if text.strip() == text.strip().upper():
+        return "upper"
+    return "title" if sum(w[0].isupper() for w in words) * 10 >= len(words) * 7 else "mixed"
+
+
+def apply_case(text: str, pattern: str) -> str:
+    return text.upper() if pattern == "upper" else title_case(text) if pattern == "title" else text
+
+
+def section_number(text: str) -> str:
+    named = re.search(r"section\s+([0-9][0-9\s]*)", text or "", re.I)
+    return " ".join(named[1].split() if named else re.findall("[0-9]+", text or ""))

@@ -35,34 +35,27 @@ def nearest_ancestor(nodes: DataFrame, scope: list[str], values: list[str], max_
 
     ``nodes(scope, id, parent, values...)``, unique on ``(scope, id)``. Chains end at a missing parent
     and after ``max_hops`` nodes, which also ends circles. Gives ``scope, id, values...`` and
-    ``<value>_depth`` (hops to the owner). Only rows with an unresolved value and a parent go on.
+    ``<value>_depth`` (hops to the owner). Pointer doubling: after round ``k`` a node knows the
+    nearest values within ``2**k`` hops and its ancestor at that distance, so ``log2(max_hops)``
+    rounds are enough.
     """
-    held = cut(nodes.select(*scope, "id", "parent", *values))
-    owner = held.select(*scope, F.col("id").alias("at"), F.col("parent").alias("next_at"), *(F.col(v).alias(f"own_{v}") for v in values))
-    state = held.select(*scope, "id", F.col("parent").alias("at"), *values, *(F.when(F.col(v).isNotNull(), 0).cast("int").alias(f"{v}_depth") for v in values))
-    finished = []
-    for hop in range(1, max_hops):
-        open_ = F.col("at").isNotNull() & (F.greatest(*(F.col(v).isNull().cast("int") for v in values), F.lit(0)) == 1)
-        finished.append(state.where(~open_))
-        state = state.where(open_)
-        if state.isEmpty():
-            break
-        step = salted_lookup(state, owner, [*scope, "at"])
+    state = cut(nodes.select(*scope, "id", F.col("parent").alias("at"), *values, *(F.when(F.col(v).isNotNull(), 0).cast("int").alias(f"{v}_depth") for v in values)))
+    reach = 1
+    while reach < max_hops and not state.where(F.col("at").isNotNull()).isEmpty():
+        above = state.select(*scope, F.col("id").alias("at"), F.col("at").alias("next_at"), *(F.col(c).alias(f"up_{c}") for v in values for c in (v, f"{v}_depth")))
+        step = salted_lookup(state, above, [*scope, "at"])
         state = cut(
             step.select(
                 *scope,
                 "id",
                 F.col("next_at").alias("at"),
-                *(F.coalesce(v, f"own_{v}").alias(v) for v in values),
-                *(F.coalesce(F.col(f"{v}_depth"), F.when(F.col(f"own_{v}").isNotNull(), hop)).cast("int").alias(f"{v}_depth") for v in values),
+                *(F.coalesce(v, f"up_{v}").alias(v) for v in values),
+                *(F.coalesce(F.col(f"{v}_depth"), F.col(f"up_{v}_depth") + reach).cast("int").alias(f"{v}_depth") for v in values),
             )
         )
-    else:
-        finished.append(state)
-    out = finished[0]
-    for more in finished[1:]:
-        out = out.unionByName(more)
-    return out.drop("at")
+        reach *= 2
+    near = {v: F.col(f"{v}_depth") < max_hops for v in values}
+    return state.select(*scope, "id", *(F.when(near[v], F.col(v)).alias(v) for v in values), *(F.when(near[v], F.col(f"{v}_depth")).alias(f"{v}_depth") for v in values))
 
 
 def style_edges(styles: DataFrame, scope: list[str], kinds: tuple[str, ...] = ("based_on", "link", "next")) -> DataFrame:
