@@ -40,9 +40,9 @@ SCRIPTS = "LCG"
 # RE2 pattern: any character that folding or the lattice may change. Plain are ASCII, Latin letters and signs,
 # Greek letters without look-alike and typographic punctuation.
 SUSPECT = (
-    r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{24f}"
+    r"[^\t\n\r\x20-\x7e\x{a1}-\x{ac}\x{ae}-\x{131}\x{134}-\x{13e}\x{141}-\x{148}\x{14a}-\x{17e}\x{180}-\x{1c3}\x{1cd}-\x{1f0}\x{1f4}-\x{24f}"
     r"\x{393}\x{394}\x{398}\x{39b}\x{39e}\x{3a0}\x{3a3}\x{3a6}\x{3a8}\x{3a9}\x{3b2}\x{3b4}-\x{3b8}\x{3bb}\x{3be}\x{3c0}\x{3c2}-\x{3c4}\x{3c6}\x{3c8}\x{3c9}"
-    r"\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2027}\x{2030}-\x{203a}\x{20ac}\x{2122}\x{2190}-\x{22ff}]"
+    r"\x{2010}\x{2012}-\x{2016}\x{2018}-\x{2023}\x{2025}-\x{2027}\x{2030}-\x{2035}\x{2038}-\x{203a}\x{20ac}\x{2122}\x{2190}-\x{222b}\x{222e}\x{2231}-\x{22ff}]"
 )
 
 

@@ -115,7 +115,9 @@ class Counter:
             for bit in range(len(self.languages)):
                 common = np.maximum(common, np.bincount(doc, weights=mask >> bit & 1, minlength=n))
         # Sorted by hash within each document, a word is new where its hash differs from the one before.
-        keyed = (hashes >> np.uint64(24)) | (doc.astype(np.uint64) << np.uint64(40))
+        mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        keyed = (mixed >> np.uint64(24)) | (doc.astype(np.uint64) << np.uint64(40))
         keyed.sort()
         fresh = np.concatenate(([True], keyed[1:] != keyed[:-1])) if len(keyed) else np.zeros(0, bool)
         distinct = np.bincount((keyed[fresh] >> np.uint64(40)).astype(np.int64), minlength=n)
@@ -143,7 +145,9 @@ class Counter:
         listing = np.flatnonzero((codes == ord(",")) | (codes == ord(";")))
         columned = (in_line(separators) >= 2) | ((in_line(listing) >= 2) & (line_words <= 4 * (in_line(listing) + 1)) & ~np.isin(codes[tail], [ord(c) for c in SENTENCE_ENDS]))
         # An item opens with a bullet, or with a small letter although the line before it was ended.
-        small = (kind[head] == _LETTER) & (lower[head] == codes[head]) & np.concatenate(([True], ended[:-1]))[: len(head)]
+        opens = np.ones(len(head), bool)
+        opens[1:] = ended[:-1] | (line_doc[1:] != line_doc[:-1])
+        small = (kind[head] == _LETTER) & (lower[head] == codes[head]) & opens
         item = bullet | small
 
         # Sentences: a sentence end after a letter, digit or closing sign, with a space or break behind it.

@@ -270,10 +270,12 @@ def _seam_overlaps(parts: DataFrame, bundles: DataFrame, max_size: int, overlap_
     ends = parts.where(~F.col("is_overlap")).join(F.broadcast(seams.select("file_key").distinct()), "file_key", "left_semi")
     pairs = ends.groupBy("file_key", "seg", "piece", "n_in_seg").agg(F.max("paragraph_index").alias("last"), F.collect_set("paragraph_index").alias("indexes")).where(F.col("piece") == F.col("n_in_seg") - 1)
     following = Window.partitionBy("file_key").orderBy("seg")
-    pairs = pairs.select("file_key", F.lead("seg").over(following).alias("seg"), F.explode(F.slice(F.reverse(F.array_sort("indexes")), 1, overlap_paragraphs)).alias("paragraph_index")).where("seg is not null")
+    pairs = pairs.select("file_key", F.lead("seg").over(following).alias("seg"), "indexes").where("seg is not null")
+    nearest = F.slice(F.reverse(F.array_sort("indexes")), 1, max(1, overlap_paragraphs))
+    pairs = pairs.select("file_key", "seg", F.explode(nearest).alias("paragraph_index"))
     sized = pairs.join(lengths, ["file_key", "paragraph_index"])
-    nearest = Window.partitionBy("file_key", "seg").orderBy(F.desc("paragraph_index"))
-    sized = sized.withColumn("rank", F.row_number().over(nearest)).withColumn("total", F.sum("n").over(nearest))
+    backwards = Window.partitionBy("file_key", "seg").orderBy(F.desc("paragraph_index"))
+    sized = sized.withColumn("rank", F.row_number().over(backwards)).withColumn("total", F.sum("n").over(backwards))
     room = largest_overlap(max_size)
     kept = sized.where((F.col("total") <= room) | (F.col("rank") == 1))
     return kept.select(
