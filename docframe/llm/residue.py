@@ -46,7 +46,7 @@ PHRASES = {
     "filler": [
         "sample text", "filler copy", "filler text", "dummy text", "placeholder text", "placeholder copy", "this is placeholder copy", "swap it out before issue", "text goes here", "heading goes here", "your heading goes here",
         "your text here", "insert text here", "enter text here", "click here to enter text", "click or tap here to enter text", "type your text here", "type text here", "example only", "delete this line", "replace this paragraph with your own wording", "replace this text", "replace this paragraph", "with your own wording", "to be completed", "to be determined", "content coming soon",
-        "blah", "blindtext", "nur platzhalter", "platzhalter", "platzhaltertext", "bitte ersetzen", "hier text eingeben", "text hier eingeben", "mustertext", "beispieltext",
+        "blah", "text text", "dummy paragraph", "dummy line", "filler line", "filler paragraph", "placeholder paragraph", "blindtext", "nur platzhalter", "platzhalter", "platzhaltertext", "bitte ersetzen", "hier text eingeben", "text hier eingeben", "mustertext", "beispieltext",
         "texte provisoire", "à remplacer", "saisir le texte ici", "saisissez le texte ici", "texte de remplissage", "faux texte", "texte à venir",
         "escriba aquí el texto", "escriba el texto aquí", "texto de relleno", "texto de ejemplo", "texto provisional", "inserte el texto aquí",
         "введите текст", "введите текст здесь", "образец текста", "текст-заполнитель", "текст заполнитель", "замените этот текст", "пример текста", "рыба-текст",
@@ -64,7 +64,7 @@ PHRASES = {
 DUMMY_WORDS = """lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim
 minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse
 cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum nullam vestibulum
-brivis vexim quasit corunt ordanum fertis domas essera pordita molenda senecta taloru""".split()
+brivis vexim quasit corunt ordanum fertis domas essera pordita molenda senecta taloru filler dummy placeholder""".split()
 # Openers of unfilled slots and the pattern that must hold from there.
 SLOTS = {
     "{{": r"\{\{[^{}]{0,80}\}\}",
@@ -116,6 +116,25 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def repeats(low: str, start: int) -> int:
+    """End of a phrase of one to three words said at least three times in a row from ``start``; 0 if there is none."""
+    at = start
+    for _ in range(3):
+        at = low.find(" ", at + 1)
+        if at < 0:
+            return 0
+        phrase = low[start : at + 1]
+        if low.startswith(phrase, at + 1) and any(map(str.isalpha, phrase)):
+            n, stop = 2, at + 1 + len(phrase)
+            while low.startswith(phrase, stop):
+                n, stop = n + 1, stop + len(phrase)
+            if low.startswith(phrase.rstrip(), stop) and not low[stop + len(phrase) - 1 : stop + len(phrase)].isalnum():
+                n, stop = n + 1, stop + len(phrase) - 1
+            if n >= 3:
+                return min(stop, len(low))
+    return 0
+
+
 def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float = MIN_COVERAGE) -> tuple[str, float] | None:
     """The kinds found and the matched share of the text; None if the text is clean, null or empty."""
     if not text:
@@ -136,10 +155,13 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float
                 kinds.add("slot")
                 last_slot = got.end()
                 spans.append((start, got.end(), "slot"))
-    if not spans and "1" not in low:
-        return None
-    for got in SELF_NAMED.finditer(plain):
-        spans.append((got.start(), got.end(), "filler"))
+    label = _LABEL.match(plain)
+    body = label.end() if label else 0
+    if stop := repeats(low, body):
+        spans.append((body, stop, "filler"))
+        kinds.add("filler")
+    if "1" in low:
+        spans += ((m.start(), m.end(), "filler") for m in SELF_NAMED.finditer(plain))
     if not spans:
         return None
     spans.sort()
@@ -157,8 +179,7 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float
             matched += sum(covered[w.start() : w.end()])
         return whole, matched
 
-    a = label.end() if (label := _LABEL.match(plain)) else 0
-    bounds = [a, *(m.end() for m in _END.finditer(plain, a)), len(plain)]
+    bounds = [body, *(m.end() for m in _END.finditer(plain, body)), len(plain)]
     for s, e in zip(bounds, bounds[1:], strict=False):
         inside = [x for x in spans if s <= x[0] < e and x[2] != "slot"]
         if not inside:
