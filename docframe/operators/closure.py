@@ -1,7 +1,7 @@
 """Closures and inheritance over style links, round by round on the frontier.
 
 Each round joins only the new frontier with the links; distinct pairs are kept, so circles end.
-Rounds are cut with ``checkpoint()``.
+Rounds are written to the shared checkpoint folder.
 """
 
 from __future__ import annotations

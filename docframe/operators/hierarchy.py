@@ -8,14 +8,16 @@ recorded removals, replayed backwards, give each node its root, depth and path.
 sizes flow upwards with the contraction.
 
 No step groups rows of one tree into one task: counts per parent are pre-aggregated before the
-shuffle, all joins of the forward pass and of the circle detection have unique keys on both
-sides, and the replay joins children to parents through :func:`salted_lookup`. State is cut
-with ``checkpoint()`` once a round.
+shuffle, and all joins of the forward pass and of the circle detection have unique keys on both
+sides. The replay left-joins removed nodes to their parents; the removed side is the streamed one,
+so adaptive execution splits a parent that holds a large part of it over many tasks. State is
+written to the shared checkpoint folder once a round; each round writes only what it adds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,9 +68,9 @@ def contract(links: DataFrame, with_paths: bool = True, max_rounds: int = 400) -
         handed = acted.where(F.col("action") == "splice").select(
             "g", F.col("child").alias("id"), F.col("parent").alias("up"), F.col("w").alias("up_w"), F.col("seg").alias("up_seg")
         )
-        # A spliced-out node hands its upward edge to its only child. A child raked in the same
-        # round keeps its edge to the spliced node, which is replayed first.
-        moved = (F.col("action") == "keep") & F.col("up").isNotNull()
+        # A spliced-out node hands its upward edge to its only child, also to one that is raked in
+        # this round: so every removed node hangs on a node that outlives the round.
+        moved = F.col("up").isNotNull()
         step = acted.join(handed, ["g", "id"], "left").select(
             "g",
             "id",
@@ -89,15 +91,18 @@ def contract(links: DataFrame, with_paths: bool = True, max_rounds: int = 400) -
 def circle_members(contraction: Contraction) -> DataFrame:
     """``(g, id)`` of all nodes on a circle.
 
-    A spliced node lies on a circle exactly if the child it was spliced onto does; raked nodes
-    never do. Replays only splices, with unique keys on both sides.
+    A spliced node lies on a circle exactly if the child it was spliced onto does; raked nodes never
+    do. So the members spread from the circle cores over splice records, until none is added.
     """
     members = contraction.top.where(F.col("loop")).select("g", "id")
-    for removed in reversed(contraction.rounds):
-        spliced = removed.where(F.col("action") == "splice").select("g", F.col("id").alias("was"), F.col("child").alias("id"))
-        members = members.unionByName(spliced.join(members, ["g", "id"], "left_semi").select("g", F.col("was").alias("id")))
-        members = cut(members)
-    return members
+    if not contraction.rounds or members.isEmpty():
+        return members
+    splices = [r.where(F.col("action") == "splice").select("g", F.col("id").alias("was"), F.col("child").alias("id")) for r in contraction.rounds]
+    spliced = cut(reduce(DataFrame.unionByName, splices))
+    found = [members]
+    while not found[-1].isEmpty():
+        found.append(cut(spliced.join(found[-1], ["g", "id"]).select("g", F.col("was").alias("id"))))
+    return reduce(DataFrame.unionByName, found)
 
 
 def resolve(contraction: Contraction) -> DataFrame:
@@ -106,36 +111,25 @@ def resolve(contraction: Contraction) -> DataFrame:
     ``path`` holds the ids from the root to the node, depth is 0 at a root. On and below a circle
     depth and path are null and ``root`` is the least id of the circle.
     """
-    top = contraction.top.select(
-        "g",
-        "id",
-        F.when(F.col("loop"), "circle").otherwise("tree").alias("status"),
-        F.when(F.col("loop"), F.array_min("seg")).otherwise(F.col("id")).alias("root"),
-        F.when(~F.col("loop"), F.lit(0).cast("bigint")).alias("depth"),
-        F.when(~F.col("loop"), F.array("id")).alias("path"),
-    )
-    known = cut(top)
-    members = cut(circle_members(contraction)).withColumn("on_circle", F.lit(True))
-
-    def replay(removed: DataFrame, known: DataFrame) -> DataFrame:
-        up = known.select("g", F.col("id").alias("parent"), *(F.col(c).alias(f"up_{c}") for c in ("status", "root", "depth", "path")))
-        got = salted_lookup(removed.select("g", "id", "parent", "w", "seg"), up, ["g", "parent"])
-        got = got.join(members, ["g", "id"], "left")
-        below = F.col("up_status") == "tree"
-        return got.select(
+    tree = ~F.col("loop")
+    known = [
+        contraction.top.select(
             "g",
             "id",
-            F.when(F.col("on_circle"), "circle").when(below, "tree").otherwise("into_circle").alias("status"),
-            F.col("up_root").alias("root"),
-            (F.col("up_depth") + F.col("w")).alias("depth"),
-            F.concat("up_path", "seg").alias("path"),
+            tree.alias("tree"),
+            F.when(tree, F.col("id")).otherwise(F.array_min("seg")).alias("root"),
+            F.when(tree, F.lit(0).cast("bigint")).alias("depth"),
+            F.when(tree, F.array("id")).alias("path"),
         )
-
+    ]
     for removed in reversed(contraction.rounds):
-        # Spliced nodes hang on nodes that outlived the round; raked ones may hang on spliced ones.
-        known = cut(known.unionByName(replay(removed.where(F.col("action") == "splice"), known)))
-        known = cut(known.unionByName(replay(removed.where(F.col("action") == "rake"), known)))
-    return known
+        up = reduce(DataFrame.unionByName, known).select("g", F.col("id").alias("parent"), "tree", "root", F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
+        got = removed.select("g", "id", "parent", "w", "seg").join(up, ["g", "parent"], "left")
+        known.append(cut(got.select("g", "id", "tree", "root", (F.col("up_depth") + F.col("w")).alias("depth"), F.concat("up_path", "seg").alias("path"))))
+    whole = reduce(DataFrame.unionByName, known)
+    members = circle_members(contraction).withColumn("on_circle", F.lit(True))
+    status = F.when(F.col("on_circle"), "circle").when(F.col("tree"), "tree").otherwise("into_circle")
+    return whole.join(members, ["g", "id"], "left").select("g", "id", status.alias("status"), "root", "depth", "path")
 
 
 def current_rows(rows: DataFrame, keys: list[str], revision: str, tie: list[str]) -> DataFrame:
