@@ -36,6 +36,8 @@ SWAP, SWITCH, BREAK = 1.5, 6.0, 14.0
 #: Alphabet of the model: all letters below this code point (Latin, Greek, Cyrillic); the rest counts as a word border.
 ALPHABET = 0x530
 SCRIPTS = "LCG"
+#: Characters counted together.
+PART = 2_000_000
 
 # RE2 pattern: any character that folding or the lattice may change. Plain are ASCII, Latin letters and signs,
 # Greek letters without look-alike and typographic punctuation.
@@ -190,12 +192,13 @@ def bigrams(texts: DataFrame, column: str) -> dict[int, int]:
         sums = np.zeros(ALPHABET * ALPHABET, np.int64)
         for batch in batches:
             joined = " ".join(t for t in batch.column(0).to_pylist() if t)
-            codes = np.frombuffer(f" {joined} ".encode("utf-32-le"), np.uint32)
-            codes = np.where(codes < ALPHABET, codes, 0)
-            letters, script = lower[codes], kind[codes]
-            one = (script[:-1] == script[1:]) | (script[:-1] == 0) | (script[1:] == 0)
-            pairs = letters[:-1] * ALPHABET + letters[1:]
-            sums += np.bincount(pairs[one & (pairs > 0)], minlength=ALPHABET * ALPHABET)
+            for start in range(0, len(joined), PART):
+                codes = np.frombuffer(f" {joined[start : start + PART]} ".encode("utf-32-le"), np.uint32)
+                codes = np.where(codes < ALPHABET, codes, 0)
+                letters, script = lower[codes], kind[codes]
+                one = (script[:-1] == script[1:]) | (script[:-1] == 0) | (script[1:] == 0)
+                pairs = letters[:-1] * ALPHABET + letters[1:]
+                sums += np.bincount(pairs[one & (pairs > 0)], minlength=ALPHABET * ALPHABET)
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["pair", "n"])
 

@@ -26,6 +26,8 @@ STATISTICS = [
     "n_words", "mean_word_length", "longest_word", "symbol_share", "digit_share", "letter_share", "common_share", "distinct_share",
     "n_lines", "ended_line_share", "bullet_line_share", "item_word_share", "columned_line_share", "words_per_sentence", "sentence_word_share", "mean_line_words",
 ]
+#: Characters counted together.
+PART = 2_000_000
 _BASE = np.uint64(0x100000001B3)
 _LETTER, _DIGIT, _SPACE, _LINE, _END, _SYMBOL, _OTHER = range(7)
 
@@ -79,8 +81,23 @@ class Counter:
             active = active[left[active] > 0]
         return out
 
-    def count(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """The statistics by name; null and empty texts give zeros."""
+    def count(self, texts: list[str | None]) -> dict[str, np.ndarray]:
+        """The statistics by name; null and empty texts give zeros.
+
+        Texts are counted together up to PART characters (a longer one alone), which bounds memory.
+        """
+        groups: list[list[str | None]] = [[]]
+        size = 0
+        for text in texts:
+            if groups[-1] and size + len(text or "") > PART:
+                groups.append([])
+                size = 0
+            groups[-1].append(text)
+            size += len(text or "")
+        counted = [self._count(g) for g in groups]
+        return counted[0] if len(counted) == 1 else {c: np.concatenate([x[c] for x in counted]) for c in STATISTICS}
+
+    def _count(self, texts: list[str | None]) -> dict[str, np.ndarray]:
         n = len(texts)
         whole = "\n".join(t or "" for t in texts) + "\n"
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)

@@ -193,8 +193,8 @@ def _presplit(measured: DataFrame, max_size: int, max_rows: int) -> DataFrame:
     rows = measured.withColumn("seg", F.lit(-1).cast("int"))
     if large.isEmpty():
         return rows
-    huge = cut(measured.join(F.broadcast(large), "file_key", "left_semi"))  # at most rows / MAX_ROWS keys
-    rest = measured.join(F.broadcast(large), "file_key", "left_anti").withColumn("seg", F.lit(-1).cast("int"))
+    huge = cut(measured.join(large, "file_key", "left_semi"))
+    rest = measured.join(large, "file_key", "left_anti").withColumn("seg", F.lit(-1).cast("int"))
     block = F.floor(F.col("paragraph_index") / 65536)
     sums = huge.withColumn("block", block).groupBy("file_key", "block").agg(F.sum("n").alias("s"))
     before = Window.partitionBy("file_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -267,7 +267,7 @@ def _seam_overlaps(parts: DataFrame, bundles: DataFrame, max_size: int, overlap_
     seams = parts.where((F.col("seg") >= 0) & (F.col("piece") == 0)).select("file_key", "seg").distinct()
     lengths = paragraphs(bundles).groupBy("file_key", "paragraph_index").agg(F.coalesce(F.max(F.length("text")), F.lit(0)).cast("long").alias("n"))
     # The paragraphs before a seam are the last of the piece before it, which holds few.
-    ends = parts.where(~F.col("is_overlap")).join(F.broadcast(seams.select("file_key").distinct()), "file_key", "left_semi")
+    ends = parts.where(~F.col("is_overlap")).join(seams.select("file_key").distinct(), "file_key", "left_semi")
     pairs = ends.groupBy("file_key", "seg", "piece", "n_in_seg").agg(F.max("paragraph_index").alias("last"), F.collect_set("paragraph_index").alias("indexes")).where(F.col("piece") == F.col("n_in_seg") - 1)
     following = Window.partitionBy("file_key").orderBy("seg")
     pairs = pairs.select("file_key", F.lead("seg").over(following).alias("seg"), "indexes").where("seg is not null")
