@@ -16,9 +16,13 @@ from docframe.session import cut
 def dependency_closure(seeds: DataFrame, edges: DataFrame, scope: list[str], max_rounds: int = 10_000) -> DataFrame:
     """``scope, seed, id``: everything that a seed reaches over ``edges(scope, src, dst)``, itself included.
 
-    Targets without own edges (missing ones too) stay in the set; null targets do not count.
+    Targets without own edges (missing ones too) stay in the set; null targets do not count. Links
+    are first widened to up to four hops, so a chain of n links takes n/4 rounds.
     """
     links = cut(edges.where("dst is not null").select(*scope, F.col("src").alias("id"), "dst").distinct())
+    for _ in range(2):
+        onward = links.select(*scope, F.col("id").alias("dst"), F.col("dst").alias("far"))
+        links = cut(links.unionByName(links.join(onward, [*scope, "dst"]).select(*scope, "id", F.col("far").alias("dst"))).distinct())
     known = cut(seeds.select(*scope, "seed", F.col("seed").alias("id")).distinct())
     frontier = known
     for _ in range(max_rounds):

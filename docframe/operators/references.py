@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docframe.operators.hierarchy import current_rows
 from docframe.operators.skew import salted_lookup
+from docframe.session import cut
 
 
 def part_key(name: Column) -> Column:
@@ -28,6 +29,7 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     A reference without ``loaded_at`` can only be missing or deleted. ``reason`` is missing,
     deleted or later.
     """
+    references, parents = cut(references), cut(parents)
     keys = ["owner_key", "target"]
     asked = references.select(*keys).distinct()
     alive = parents.where(~F.col("is_deleted"))

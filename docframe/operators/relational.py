@@ -88,9 +88,9 @@ def allocate_ids(new: DataFrame, existing: DataFrame, order: str, identifier: st
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     bases = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    top = existing.agg(F.coalesce(F.max(identifier), F.lit(start)).cast("bigint").alias("__top"))  # one row
+    top = existing.select(F.coalesce(F.max(identifier), F.lit(start)).cast("bigint")).scalar()
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return ranged.withColumn("__rank", rank).join(bases, "__part").join(F.broadcast(top)).withColumn(name, F.col("__top") + F.col("__base") + F.col("__rank")).drop("__part", "__rank", "__base", "__top")
+    return ranged.withColumn("__rank", rank).join(bases, "__part").withColumn(name, top + F.col("__base") + F.col("__rank")).drop("__part", "__rank", "__base")
 
 
 def first_by(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

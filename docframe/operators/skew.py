@@ -21,13 +21,8 @@ def salted_lookup(many: DataFrame, one: DataFrame, keys: list[str], salts: int =
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join: {how}")
     counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n").alias("__total"))
-    heavy = (
-        counts.join(F.broadcast(total))  # one row
-        .where(F.col("__n") * MAX_HEAVY > F.col("__total"))
-        .where(F.col("__n") > 10_000)
-        .select(*keys, F.lit(True).alias("__heavy"))
-    )
+    total = counts.select(F.sum("__n")).scalar()
+    heavy = counts.where((F.col("__n") > 10_000) & (F.col("__n") * MAX_HEAVY > total)).select(*keys, F.lit(True).alias("__heavy"))
     heavy = F.broadcast(heavy)  # fewer than MAX_HEAVY rows
     left = many.join(heavy, keys, "left").withColumn(
         "__salt", F.when(F.col("__heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")

@@ -136,9 +136,8 @@ def except_all(spark, folder):
 
 def set_symmetric_diff(spark, folder):
     users = table(spark, folder, "events").select("user_id", "event_type").distinct()
-    names = users.agg(F.min("event_type").alias("a"), F.max("event_type").alias("b"))  # one row
-    marked = users.join(F.broadcast(names))
-    return relational.symmetric_difference(marked.where("event_type = a"), marked.where("event_type = b"), ["user_id"])
+    side = lambda pick: users.where(F.col("event_type") == users.select(pick("event_type")).scalar())
+    return relational.symmetric_difference(side(F.min), side(F.max), ["user_id"])
 
 
 def hash_diff(spark, folder):

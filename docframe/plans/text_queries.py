@@ -214,8 +214,8 @@ def durable_id(spark, folder):
 def free_ids(spark, folder):
     """Hash ids of part names, avoiding the ones taken by the first parts."""
     parts = table(spark, folder, "part")
-    taken = parts.where("p_partkey <= 5").agg(F.collect_list(ids.short_hash(F.col("p_name"))).alias("taken"))  # five values
-    return parts.join(F.broadcast(taken)).select("p_partkey", ids.free_hash(F.col("p_name"), F.col("taken"), tries=9).alias("free"))
+    taken = parts.where("p_partkey <= 5").select(F.collect_list(ids.short_hash(F.col("p_name")))).scalar()  # five values
+    return parts.withColumn("taken", taken).select("p_partkey", ids.free_hash(F.col("p_name"), F.col("taken"), tries=9).alias("free"))
 
 
 def custom_id(spark, folder):
