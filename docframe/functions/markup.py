@@ -167,3 +167,9 @@ def fragment_error(xml: Column, tag: str) -> Column:
     text = F.trim(F.coalesce(xml, F.lit("")))
     sound = text.rlike(rf"^<{tag}\b[^>]*/>$") | (text.rlike(rf"^<{tag}[\s>]") & text.endswith(f"</{tag}>"))
     return F.when((text != "") & ~sound, F.format_string("expected <%s>: %s", F.lit(tag), F.substring(text, 1, 60)))
+
+
+def header_footer_relationships(rels: Column) -> Column:
+    """The relationships to headers and footers, sorted."""
+    every = F.regexp_extract_all(rels, F.lit(r"(<Relationship\b[^>]*>)"), F.lit(1))
+    return F.array_sort(F.filter(every, lambda r: r.contains("/header") | r.contains("/footer")))

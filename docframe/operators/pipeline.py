@@ -6,6 +6,7 @@ itself is. Everything that relates packages or catalogues to each other stays re
 
 from __future__ import annotations
 
+import difflib
 import traceback
 from dataclasses import dataclass, field
 
@@ -252,6 +253,12 @@ def contract_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return compare_maps(forms[0], forms[1], ["file_key", "idx"], "form")
 
 
+def difference(before: str, after: str | None, most: int = 4000) -> str:
+    """A unified diff of two forms, cut at ``most`` characters."""
+    lines = difflib.unified_diff((before or "").splitlines(), (after or "").splitlines(), "before", "after", lineterm="")
+    return "\n".join(lines)[:most]
+
+
 def output_violations(before: DataFrame, after: DataFrame, after_parts: DataFrame, expected_parts: list[str] | None = None) -> DataFrame:
     """``file_key, rule, item``: section properties or run formatting lost, references without relationship, wrong set of header and footer parts.
 

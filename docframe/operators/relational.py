@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docframe.session import cut
+
 
 def inside_any(position: Column, spans: Column) -> Column:
     """Whether a position lies in any ``array<struct<start, stop>>`` span, stop exclusive; null spans hold none."""
@@ -84,7 +86,7 @@ def allocate_ids(new: DataFrame, existing: DataFrame, order: str, identifier: st
     ``start`` is the greatest id of an empty table. Ranks are computed per range partition and
     offset by the partition counts, so no task holds all rows.
     """
-    ranged = new.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id())
+    ranged = cut(new.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()))  # written, so the numbers hold
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
     bases = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))

@@ -14,7 +14,7 @@ def salted_lookup(many: DataFrame, one: DataFrame, keys: list[str], salts: int =
 
     A key is heavy when it holds more than ``1/MAX_HEAVY`` of the rows of ``many``, so there are
     fewer than MAX_HEAVY heavy keys at any size and broadcasting them is bounded. Rows of heavy
-    keys get one of ``salts`` salts; the matching row of ``one`` is repeated once per salt. All
+    keys get one of ``salts`` salts by the hash of the whole row, so a repeated task salts alike; the matching row of ``one`` is repeated once per salt. All
     other rows carry salt 0. Rows with a null key match nothing: kept by ``left``, dropped by
     ``inner`` and ``left_semi``. The result equals the plain join.
     """
@@ -25,7 +25,7 @@ def salted_lookup(many: DataFrame, one: DataFrame, keys: list[str], salts: int =
     heavy = counts.where((F.col("__n") > 10_000) & (F.col("__n") * MAX_HEAVY > total)).select(*keys, F.lit(True).alias("__heavy"))
     heavy = F.broadcast(heavy)  # fewer than MAX_HEAVY rows
     left = many.join(heavy, keys, "left").withColumn(
-        "__salt", F.when(F.col("__heavy"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+        "__salt", F.when(F.col("__heavy"), F.pmod(F.xxhash64(*many.columns), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     )
     right = (
         one.join(heavy, keys, "left")

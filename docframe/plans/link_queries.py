@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docframe.functions import ids, text
-from docframe.operators import classify, closure, context, relational
+from docframe.operators import batches, classify, closure, context, relational
 from docframe.operators.hierarchy import current_rows
 from docframe.operators.references import part_key
 from docframe.plans.sql import blank_trim
 from docframe.plans.text_queries import LINES, ROWS, bundle_rows, lines
 from docframe.sources.tables import table
+from docframe.streaming import packages
 
 ROLE_STYLES = [("SectionID", "SectNo"), ("SectionTitle", "Title"), ("PART", "PartHead"), ("ARTICLE", "ArtHead"), ("PARAGRAPH", "Body"), ("SUBPARAGRAPH", "ListItem")]
 _ROLE_SQL = "roles(csi_role, stem) as (values " + ", ".join(f"('{r}', '{s}')" for r, s in ROLE_STYLES) + ")"
@@ -298,13 +299,33 @@ def revenue_rollup(spark, folder):
     return table(spark, folder, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("sum_qty"), F.count(F.lit(1)).alias("n"), F.max("l_shipdate").alias("latest"))
 
 
+def request_messages(spark, folder):
+    """Requests for the rows that rules leave open, one per chunk, with the length of the rows they carry."""
+    rows = unresolved_filter(spark, folder).select("file_key", F.col("idx").cast("int").alias("paragraph_index"))
+    requests = batches.build_requests(batches.chunked(rows, 0, 10**9, 50), "Classify.", text.ROLES, 10**9)
+    asked = F.size(F.regexp_extract_all("message", F.lit('"paragraph_index":([0-9]+)'), F.lit(1)))
+    return requests.select("custom_id", F.col("chunk").cast("bigint").alias("chunk"), asked.cast("bigint").alias("n_rows"))
+
+
+def answers(spark, folder):
+    """Stored classifications parsed back from JSON, fenced or not."""
+    fixed = deterministic(spark, folder).groupBy("file_key", F.col("idx").cast("int").alias("paragraph_index")).agg(F.min("csi_role").alias("csi_role"))
+    stored = batches.classification_json(fixed).select("file_key", batches.answer(F.concat(F.lit("```json\n"), "json", F.lit("\n```"))).alias("a"))
+    return stored.select("file_key", F.inline("a.classifications")).select("file_key", F.col("paragraph_index").cast("bigint").alias("idx"), "csi_role")
+
+
+def hourly_events(spark, folder):
+    """The streaming extension's window counts on the batch table."""
+    return packages.windowed_counts(table(spark, folder, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         unresolved_filter, role_lookup, unmapped_roles, used_styles, fk_violations, range_containment, two_hop, style_numbering_hop, positional_fill, package_patch, merge_upsert, upsert_result,
         bag_containment, except_all, set_symmetric_diff, hash_diff, substring_theta, role_counts_by_template, coverage, max_ids, alloc_ids, duplicates, merge_conflicts, first_per_role,
         first_last_revision, missing_preview, canonical_order, dep_closure, inherited_attr, preflight_violations, stub_classify, final_merge, payload_checks, chunk_merge, batch_summary,
-        roles_of_registry, tag_dedupe, revenue_rollup,
+        roles_of_registry, tag_dedupe, revenue_rollup, request_messages, answers, hourly_events,
     )
 }
 
@@ -378,6 +399,10 @@ union all select doc_id, 'bad_role' from doc_labels where label not in ('prose',
     "tag_dedupe": """with s as (select file_key, unnest(filter_report.paragraphs_stripped) as s from slim_bundle),
 t as (select file_key, s.paragraph_index::bigint as idx, s.tags as tags, unnest(generate_series(1, greatest(1, len(s.tags)))) as i from s)
 select distinct file_key, idx, array_to_string(list_filter(tags, lambda x, j: list_position(tags, x) = j), ',') as tags from t""",
+    "request_messages": f"""with {_OPEN}, n as (select file_key, row_number() over (partition by file_key order by idx) as rn, count(*) over (partition by file_key) as n from open_)
+select file_key || '__chunk0' as custom_id, 0::bigint as chunk, count(*) as n_rows from n group by file_key""",
+    "answers": f"with {_FIXED} select file_key, idx, min(csi_role) as csi_role from fixed group by all",
+    "hourly_events": "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n from events group by all",
     "revenue_rollup": "select l_returnflag, l_linestatus, sum(l_quantity::decimal(18,2))::double as sum_qty, count(*) as n, max(l_shipdate) as latest from lineitem group by all",
 }
 ORACLES = {name: blank_trim(sql) for name, sql in ORACLES.items()}
