@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions import markup, text
-from docframe.operators.context import CONTEXT_CHARS, PREVIEW_CHARS, TEXT_CHARS, with_context
+from docframe.operators.context import CONTEXT_CHARS, PREVIEW_CHARS, TEXT_CHARS, neighbours
 from docframe.operators.relational import inside_any
 
 
@@ -35,7 +35,7 @@ def analyse(documents: DataFrame, available_roles: list[str] | None = None) -> A
     Paragraph blocks are numbered in document order. Blocks with a section break and blocks without
     text are dropped; text is cleaned; what cleaning empties is reported if a rule hit. End-of-section
     lines are dropped and reported unless their role is available. Context and the title rule see
-    the kept rows, table rows included. One shuffle by file serves all windows.
+    the kept rows, table rows included, and run over blocks of a file.
     """
     roles = available_roles or text.ROLES
     allowed = F.array(*map(F.lit, roles))
@@ -67,7 +67,8 @@ def analyse(documents: DataFrame, available_roles: list[str] | None = None) -> A
         text.marker_type(F.col("clean_text"), markup.attribute(xml, "w:numId")).alias("marker_type"),
         markup.numbering(xml).alias("num_pr"),
     )
-    order = Window.partitionBy("file_key").orderBy("paragraph_index")
-    role = text.rule_role(F.col("text"), F.col("marker_type"), F.lag("text").over(order), F.col("in_table"))
-    placed = with_context(kept, ["file_key"], "paragraph_index", chars=CONTEXT_CHARS).withColumn("rule_role", role)
+    seen = neighbours(kept, ["file_key"], "paragraph_index", F.col("text"))
+    head = lambda c: F.coalesce(F.substring(c, 1, CONTEXT_CHARS), F.lit(""))
+    role = text.rule_role(F.col("text"), F.col("marker_type"), F.col("before"), F.col("in_table"))
+    placed = seen.withColumn("rule_role", role).withColumn("prev_text", head("before")).withColumn("next_text", head("after")).drop("before", "after")
     return Analysis(placed.withColumn("csi_role", text.available_role(F.col("rule_role"), allowed)), report)

@@ -17,14 +17,18 @@ def inside_any(position: Column, spans: Column) -> Column:
     return F.coalesce(F.exists(spans, lambda r: (r["start"] <= position) & (position < r["stop"])), F.lit(False))
 
 
-def interval_semi_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str = "start", stop: str = "stop") -> DataFrame:
-    """Points inside any range of their key group.
+def interval_semi_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str = "start", stop: str = "stop", block: int = 4096) -> DataFrame:
+    """Points inside any range of their key group, each once; ranges are whole numbers, ``stop`` exclusive.
 
-    Ranges of a group are merged to a sorted array first (they are few per document), so the join
-    is an equi-join on ``keys`` and no point is repeated.
+    Ranges are repeated once per block of positions they touch and points looked up in their block,
+    so the join is an equi-join whose groups a large key cannot fill. Empty ranges hold nothing.
     """
-    held = ranges.groupBy(*keys).agg(F.collect_list(F.struct(F.col(start).alias("start"), F.col(stop).alias("stop"))).alias("__spans"))
-    return points.join(held, keys).where(inside_any(F.col(at), F.col("__spans"))).drop("__spans")
+    touched = F.explode(F.sequence(F.floor(F.col("__start") / block), F.floor((F.col("__stop") - 1) / block)))
+    held = ranges.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(start).alias("__start"), F.col(stop).alias("__stop")).where("__start < __stop").withColumn("__block", touched)
+    same = F.floor(F.col(at) / block) == F.col("__block")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    return points.join(held, same & (F.col("__start") <= F.col(at)) & (F.col(at) < F.col("__stop")), "left_semi")
 
 
 def positional_fill(targets: DataFrame, sources: DataFrame, default: Column, position: str = "pos", value: str = "value") -> DataFrame:

@@ -52,10 +52,8 @@ def _roles(spark, folder):
     """Rule roles of the bundle paragraphs, the title rule over the row before."""
     rows = bundle_rows(spark, folder).withColumn("t", text.squeeze(F.col("text"))).where("t <> ''")
     rows = rows.withColumn("marker", F.coalesce(text.marker_type(F.col("t")), F.when(F.trim("marker_type") == "list_numpr", "list_numpr")))
-    from pyspark.sql import Window
-
-    before = F.lag("t").over(Window.partitionBy("file_key").orderBy("idx"))
-    return rows.withColumn("role", text.rule_role(F.col("t"), F.col("marker"), before, F.col("in_table")))
+    rows = context.neighbours(rows, ["file_key"], "idx", F.col("t"), after=None)
+    return rows.withColumn("role", text.rule_role(F.col("t"), F.col("marker"), F.col("before"), F.col("in_table")))
 
 
 def rule_role(spark, folder):
@@ -71,12 +69,10 @@ roles as (select *, {_RULE} as role from marked)"""
 
 def role_counts(spark, folder):
     """The flagship: how many lines of each rule role every language has."""
-    from pyspark.sql import Window
-
     rows = lines(spark, folder).withColumn("t", text.squeeze(F.col("line"))).where("t <> ''")
     rows = rows.withColumn("marker", text.marker_type(F.col("t")))
-    before = F.lag("t").over(Window.partitionBy("doc_id").orderBy("idx"))
-    rows = rows.withColumn("role", F.coalesce(text.rule_role(F.col("t"), F.col("marker"), before, F.lit(False)), F.lit("open")))
+    rows = context.neighbours(rows, ["doc_id"], "idx", F.col("t"), after=None)
+    rows = rows.withColumn("role", F.coalesce(text.rule_role(F.col("t"), F.col("marker"), F.col("before"), F.lit(False)), F.lit("open")))
     return rows.groupBy(F.coalesce("lang", F.lit("?")).alias("lang"), "role").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -189,6 +189,27 @@ def test_chunks_must_advance(spark):
         context.overlapping_chunks(spark.range(3).withColumn("k", F.lit(1)), ["k"], "id", 20)
 
 
+def test_blocks_do_not_matter(spark, monkeypatch):
+    """Neighbours and running sums over small blocks equal those over one window, gaps, nulls and single rows included."""
+    from pyspark.sql import Window
+
+    rows = spark.range(200).select(F.when(F.col("id") % 5 == 0, "a").when(F.col("id") < 150, "b").otherwise("c").alias("k"), (F.col("id") * F.col("id")).alias("i"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("v"))
+    w = Window.partitionBy("k").orderBy("i")
+    want = rows.select("*", F.lag("v").over(w).alias("before"), F.lead("v").over(w).alias("after"), (F.row_number().over(w) - 1).cast("bigint").alias("n"), F.count(F.lit(1)).over(Window.partitionBy("k")).alias("t"))
+    for block in (1, 50, 10_000):
+        monkeypatch.setattr(context, "BLOCK", block)
+        got = context.running_sum(context.neighbours(rows, ["k"], "i", F.col("v")), ["k"], "i", F.lit(1), "n", "t")
+        assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 200
+
+
+def test_interval_join(spark):
+    points = spark.createDataFrame([("a", i) for i in range(30)] + [("b", 3), (None, 3)], "k string, at int")
+    ranges = spark.createDataFrame([("a", 2, 5), ("a", 4, 9), ("a", 20, 20), ("a", 25, 99), ("c", 0, 9), ("b", 4, 5)], "k string, start int, stop int")
+    for block in (1, 4, 1000):
+        got = relational.interval_semi_join(points, ranges, ["k"], "at", block=block).collect()
+        assert sorted(r.at for r in got) == [*range(2, 9), *range(25, 30)] and {r.k for r in got} == {"a"}
+
+
 def test_insert_in_order(spark):
     rows = spark.sql("select array(struct('titlePg' as tag, 'a' as xml), struct('type' as tag, 'b' as xml)) as have, array(struct('pgSz' as tag, 'c' as xml), struct('zzz' as tag, 'd' as xml)) as new")
     put = relational.insert_in_order(F.col("have"), F.col("new"), markup.SECTION_ORDER)
