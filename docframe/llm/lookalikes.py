@@ -247,7 +247,7 @@ def found(bundles: DataFrame) -> DataFrame:
 
     Null and empty texts have none. Repeated deliveries of a paragraph give one row.
     """
-    rows = paragraphs(bundles)
+    rows = paragraphs(bundles, ("text", "marker_type"))
     keys = ["file_key", "paragraph_index"]
     changed = _changes(rows, keys, bigrams(rows, "text"), only_found=True)
     return changed.groupBy(*keys).agg(F.min("reasons").alias("reasons"))
@@ -258,7 +258,7 @@ def consistent(bundles: DataFrame) -> DataFrame:
 
     A paragraph comes out once; nulls stay null. Marker types are also lower-cased and trimmed.
     """
-    rows = paragraphs(bundles)
+    rows = paragraphs(bundles, ("text", "marker_type"))
     keys = ["file_key", "paragraph_index"]
     changed = _changes(rows, keys, bigrams(rows, "text"), only_found=False)
     best = F.max_by(F.struct("text", "marker_type", "reasons"), F.struct(F.col("text").isNotNull().alias("has"), F.length("reasons").alias("n"), F.col("text")))

@@ -80,7 +80,8 @@ def plan(
     if len(listed) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     wanted = documents.join(targets.select("source").distinct(), "source", "left_semi")
-    sizes = cut(with_sizes(wanted, [key, "source"], text, vocabulary).withColumnRenamed(key, "doc_id"))
+    # The partition numbers are written with the sizes, so stream positions hold whatever is lost later.
+    sizes = cut(with_sizes(wanted, [key, "source"], text, vocabulary).withColumnRenamed(key, "doc_id").withColumn("part", F.spark_partition_id()))
     totals = {r.source: r for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()}  # a row per listed source
     sources = []
     for i, row in enumerate(sorted(listed, key=lambda r: r.source)):
@@ -137,7 +138,7 @@ def spans(mix: Mix) -> DataFrame:
     Stream positions come from running sums within a partition and the totals of the partitions
     before it, so a source that holds most rows is still spread over all partitions.
     """
-    placed = mix.sizes.where("n_tokens > 0").withColumn("part", F.spark_partition_id())
+    placed = mix.sizes.where("n_tokens > 0")
     totals = placed.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -180,5 +181,5 @@ def report(mix: Mix) -> DataFrame:
         (F.coalesce("used_blocks", F.lit(0)) * size - F.coalesce("last_blocks", F.lit(0)) * (F.col("n_blocks") * size - F.col("n_tokens"))).alias("mixed_tokens"),
         (F.col("n_tokens") * F.col("max_repeats") < F.col("target_share") * F.lit(mix.total_tokens)).alias("short"),
     )
-    all_mixed = rows.agg(F.sum("mixed_tokens").alias("all_mixed"))  # one row
-    return rows.join(F.broadcast(all_mixed)).withColumn("reached_share", F.round(F.try_divide("mixed_tokens", "all_mixed"), 6)).drop("all_mixed")
+    all_mixed = rows.select(F.sum("mixed_tokens")).scalar()
+    return rows.withColumn("reached_share", F.round(F.try_divide(F.col("mixed_tokens"), all_mixed), 6))

@@ -200,9 +200,14 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float
     return ",".join(sorted("filler" if k == "dummy" else k for k in kinds)), round(matched / whole, 4) if whole else 1.0
 
 
-def paragraphs(bundles: DataFrame) -> DataFrame:
-    """``file_key, paragraph_index, text, marker_type`` of all entries; rows without key or index do not count."""
-    return bundles.where("file_key is not null").select("file_key", F.explode("paragraphs").alias("p")).select("file_key", "p.paragraph_index", "p.text", "p.marker_type").where("paragraph_index is not null")
+def paragraphs(bundles: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
+    """``file_key, paragraph_index`` and ``fields`` of all entries; rows without key or index do not count.
+
+    Zipping single fields lets the scan read only those of the nested column.
+    """
+    names = ("paragraph_index", *fields)
+    rows = F.inline(F.arrays_zip(*(F.col(f"paragraphs.{c}") for c in names))).alias(*names)
+    return bundles.where("file_key is not null").select("file_key", rows).where("paragraph_index is not null")
 
 
 def find_residue(rows: DataFrame, keys: list[str], text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:
