@@ -65,8 +65,9 @@ def atoms(text: str, most: int) -> list[tuple[int, int]]:
             continue
         blanks = cut_at(a, b, _BLANK, False)
         for c, d in zip(blanks, blanks[1:], strict=False):
-            for e in range(c, d, _HARD_STEP if d - c > most else d - c):
-                out.append((min(d, e + _HARD_STEP) - e if d - c > most else d - c, strength))
+            step = d - c if d - c <= most else min(_HARD_STEP, max(1, most // 4))
+            for e in range(c, d, step):
+                out.append((min(d, e + step) - e, strength))
                 strength = HARD
             strength = BLANK
     return out
@@ -301,7 +302,7 @@ def pieces(bundles: DataFrame, max_size: int, overlap_paragraphs: int, overlap_c
     """``file_key, piece_no, n_pieces, first_index, last_index, n_overlap_chars, n_chars, text``.
 
     ``n_chars`` counts the characters of the paragraphs, overlap included, and never exceeds
-    ``max_size``; ``text`` joins them with line breaks. A bundle without text has one empty
+    ``max_size``; ``text`` joins paragraphs with line breaks. A bundle without text has one empty
     piece; one without paragraphs has none.
     """
     parts = cut(slices(bundles, max_size, overlap_paragraphs, overlap_chars, max_rows))
@@ -317,8 +318,11 @@ def pieces(bundles: DataFrame, max_size: int, overlap_paragraphs: int, overlap_c
         F.max("paragraph_index").alias("last_index"),
         F.sum(F.when(F.col("is_overlap"), F.col("char_to") - F.col("char_from")).otherwise(0)).alias("n_overlap_chars"),
         F.sum(F.col("char_to") - F.col("char_from")).alias("n_chars"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("text"),
+        F.array_sort(F.collect_list(F.struct("pos", "paragraph_index", "text"))).alias("held"),
     )
+    # Slices of one paragraph run on; a line break stands between paragraphs.
+    gap = lambda x, i: F.when((i == 0) | (F.get(F.col("held"), i - 1)["paragraph_index"] == x["paragraph_index"]), "").otherwise("\n")
+    whole = whole.withColumn("text", F.array_join(F.transform("held", lambda x, i: F.concat(gap(x, i), x["text"])), "")).drop("held")
     return whole.join(stretches, ["file_key", "seg"]).select(
         "file_key", (F.col("base") + F.col("piece") + 1).cast("int").alias("piece_no"), F.col("n_pieces").cast("int").alias("n_pieces"), "first_index", "last_index", "n_overlap_chars", "n_chars", "text"
     )

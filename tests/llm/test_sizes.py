@@ -166,3 +166,24 @@ def test_atoms_add_up():
     for text in (SENTENCE * 300, "ab" * 3000, "one two " * 900, "x\n\ny. z" * 500):
         got = splitting.atoms(text, 750)
         assert sum(n for n, _ in got) == len(text) and max(n for n, _ in got) <= 750
+
+
+def test_empty_and_odd_bundles(spark):
+    df = bundle(spark, [])
+    assert splitting.slices(df, 100, 2, 10).collect() == [] == splitting.pieces(df, 100, 2, 10).collect()
+    odd = bundle(spark, [("k", [(2, None), (1, ""), (None, "x" * 500)]), (None, [(0, "y" * 500)]), ("t", [(0, "z" * 300)])])
+    odd = odd.withColumn("paragraph_index", F.lit("clash")).withColumn("text", F.lit("clash")).withColumn("n", F.lit(1)).withColumn("seg", F.lit(1))
+    got = {(r.file_key, r.piece_no): (r.first_index, r.last_index, r.n_chars, r.text) for r in splitting.pieces(odd, 100, 2, 10).collect()}
+    assert got["k", 1] == (1, 2, 0, "\n")
+    whole = [got["t", i] for i in range(1, len(got))]
+    assert len(whole) > 3 and all(n <= 100 and text == "z" * n for _, _, n, text in whole)
+
+
+def test_pack_odd_documents(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (None, "pump"), (4, "pump " * 30_000), (5, "pump"), (5, "pump")], "doc_id bigint, text string")
+    docs = docs.withColumn("n_tokens", F.lit("clash")).withColumn("container", F.lit("clash"))
+    rows = packing.pack(docs, 2048).collect()
+    assert sum(r.n_tokens for r in rows) == sum(tokens.count(t) for t in ("pump", "pump " * 30_000, "pump", "pump"))
+    assert {r.doc_id for r in rows if r.container is None} == {1, 2} and sum(r.doc_id == 5 for r in rows) == 2
+    big = [r for r in rows if r.doc_id == 4]
+    assert len(big) == big[0].n_pieces > 10 and max(r.n_tokens for r in rows) <= 2048
