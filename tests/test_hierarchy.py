@@ -119,3 +119,22 @@ def test_closure_and_inheritance(spark):
     got = {r.id: r for r in closure.nearest_ancestor(nodes, ["t"], ["v", "w"], max_hops=50).collect()}
     assert got["n11"].v == "x" and got["n11"].v_depth == 49 and got["n10"].v is None
     assert got["n1"].w_depth == 6 and got["o"].w == "q" and got["o"].v is None
+
+
+def test_clashing_columns(spark):
+    rows = [style("t", "A", "B"), style("t", "B", "A"), style("t", "C", "gone")]
+    df = spark.createDataFrame(rows, STYLE)
+    for name in ("g", "id", "parent", "owner_key", "target", "reason", "period", "row", "r"):
+        df = df.withColumn(name, F.lit("clash"))
+    assert sorted(r.style_id for r in hierarchy.styles_in_circles(df).collect()) == ["A", "B"]
+    entries = spark.createDataFrame([("f", 1, "word/a.xml", NOW, "x")], "file_key string, entry_id bigint, part_name string, loaded_at timestamp_ntz, target string")
+    parts = spark.createDataFrame([("f", None, 1, False, NOW, "x"), (None, "word/a.xml", None, None, None, "x")], "file_key string, part_name string, revision int, is_deleted boolean, loaded_at timestamp_ntz, owner_key string")
+    found = {(r.src_table, r.item_key, r.reason) for r in references.orphans(df, entries, parts).collect()}
+    assert found == {("style_defs", "C", "missing"), ("hf_entries", "1", "missing")}
+
+
+def test_very_deep_and_long(spark):
+    names = ["s" * 500 + str(i) for i in range(40)]
+    df = spark.createDataFrame([style("t", x, names[i - 1] if i else None) for i, x in enumerate(names)], STYLE)
+    got = hierarchy.style_hierarchy(df).agg(F.max("depth").alias("d"), F.max(F.length("path")).alias("n"), F.max("n_descendants").alias("k")).first()
+    assert got.d == 39 and got.k == 39 and got.n > 40 * 500
