@@ -7,14 +7,17 @@ characters and look-alike letters do not hide a message). Every text is scanned
 A slot whose full pattern holds at an opener always counts. Phrases and dummy words count when
 they cover at least ``min_coverage`` of the letters and digits of the sentence they stand in, or
 when they form a run from a sentence start to a sentence end or to a new capital: a requirement
-that merely quotes a message covers little of its sentence. ``coverage`` gives the matched share
-of the whole text.
+that merely quotes a message covers little of its sentence. A message that opens its sentence also
+covers its variable tail: up to a code that it names, or to the end of the sentence after a prompt
+to enter something. Keyboard mash counts by the run of its words. ``coverage`` gives the matched
+share of the whole text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from operator import eq
 
 import ahocorasick
 import pyarrow as pa
@@ -65,6 +68,15 @@ DUMMY_WORDS = """lorem ipsum dolor sit amet consectetur adipiscing elit sed eius
 minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse
 cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum nullam vestibulum
 brivis vexim quasit corunt ordanum fertis domas essera pordita molenda senecta taloru filler dummy placeholder""".split()
+# Prompts that end in the name of what to enter.
+PROMPTS = [
+    "click or tap here to enter", "click here to enter", "tap here to enter", "click or tap to enter", "click to enter",
+    "klicken oder tippen sie hier, um", "klicken sie hier, um", "cliquez ou appuyez ici pour entrer", "cliquez ici pour entrer", "cliquez ici pour taper",
+    "haga clic o pulse aquí para escribir", "haga clic aquí para escribir", "щелкните здесь, чтобы ввести", "щёлкните здесь, чтобы ввести",
+]
+# Words of keyboard mash, and those that may name a key row, a layout or a type.
+MASH_WORDS = "asdf asdfg asdfgh asdfghj asdfghjk asdfghjkl sdfg dfgh fghj ghjk hjkl fdsa lkjh qwer qwert rewq zxcv zxcvb zxcvbn zxcvbnm vcxz yxcv yxcvb yxcvbnm qsdf qsdfg wxcv wxcvbn фыва фывап йцук ячсм олдж".split()
+WEAK_MASH = "jkl uiop poiu qwerty qwertz azerty йцукен".split()
 # Openers of unfilled slots and the pattern that must hold from there.
 SLOTS = {
     "{{": r"\{\{[^{}]{0,80}\}\}",
@@ -74,6 +86,8 @@ SLOTS = {
     "<<": r"<<[^<>]{1,80}>>",
     "<%": r"<%[^<>]{1,80}%>",
     "<": r"<[A-Za-z][A-Za-z_ -]{1,60}>",
+    "&lt;": r"&lt;[A-Za-z][A-Za-z_ -]*&gt;",
+    "(": r"\((?i:(?:insert|enter)[ _](?!(?:by|at|from|through|via|into|on|in|to|only|before|after|with|when|if)\b))[^()]+\)",
     "«": r"«[A-Za-z_][A-Za-z0-9_]{1,60}»",
     "%": r"%[A-Z][A-Z0-9_]{1,60}%",
     "@@": r"@@[A-Za-z_]{2,60}@@",
@@ -88,6 +102,10 @@ SELF_NAMED = re.compile(r"(?:(?:heading|paragraph|section|title|überschrift|tit
 
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"(?<=[.!?;])\s+|\s*\n\s*")
+_SPACES = str.maketrans("\t\n\v\f\r\u00a0", "      ")
+# The end of a message's variable tail: a code, or what was being done.
+_CODE = re.compile(r"\b0x[0-9a-f]+\b\)?|\b(?:code|error|fehler|erreur|código|код)\b[ .:#]*[0-9][0-9a-f-]*\b\)?|\((?:status|reference|ref|request|id)\b[^()]*[0-9][^()]*\)")
+_DOING = re.compile(r"\s+while \w+ing\b")
 _LABEL = re.compile(r"\s*(?:[A-Za-z]|[0-9]{1,3}(?:\.[0-9]+)*)[.)]\s+")
 
 
@@ -102,6 +120,9 @@ def build_automaton() -> ahocorasick.Automaton:
                 entries.setdefault(shape, []).append((kind, None))
     for word in DUMMY_WORDS:
         entries.setdefault(word, []).append(("dummy", None))
+    for kind, found in (("prompt", PROMPTS), ("mash", MASH_WORDS), ("weak", WEAK_MASH)):
+        for shape in dict.fromkeys(skeleton(y).lower() for x in found for y in (x, x.capitalize(), x.upper())):
+            entries.setdefault(shape, []).append((kind, None))
     for opener, pattern in SLOTS.items():
         entries.setdefault(opener, []).append(("slot", re.compile(pattern)))
     for text, kinds in entries.items():
@@ -135,6 +156,36 @@ def repeats(low: str, start: int) -> int:
     return 0
 
 
+def repeated(low: str, start: int) -> list[tuple[int, int]]:
+    """The stretches from any word start behind ``start`` in which :func:`repeats` finds a phrase said over and over."""
+    words = low.split()
+    # Three phrases of n words agree with what stands n words on in 2n words, the last of which may carry a full stop.
+    if len(set(words)) == len(words) or not any(bytes(map(eq, words, words[n:])).find(b"\1" * (2 * n - 1)) >= 0 for n in (1, 2, 3)):
+        return []
+    spaced = low.translate(_SPACES)
+    words = spaced[start:].split(" ")
+    out, at, done = [], start, 0
+    for i, word in enumerate(words):
+        if word and at >= done and any(word == x for x in words[i + 1 : i + 4]) and (stop := repeats(spaced, at)):
+            out.append((at, stop))
+            done = stop
+        at += len(word) + 1
+    return out
+
+
+def mash_runs(low: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The runs of neighbouring mash words that hold one beyond doubt, or the same one twice."""
+    runs: list[list] = []
+    for a, b, kind in sorted(found):
+        if runs and not any(map(str.isalnum, low[runs[-1][1] : a])):
+            runs[-1][1] = b
+        else:
+            runs.append([a, b, False, []])
+        runs[-1][2] |= kind == "mash" or low[a:b] in runs[-1][3]
+        runs[-1][3].append(low[a:b])
+    return [(a, b) for a, b, sure, _ in runs if sure]
+
+
 def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float = MIN_COVERAGE) -> tuple[str, float] | None:
     """The kinds found and the matched share of the text; None if the text is clean, null or empty."""
     if not text:
@@ -142,6 +193,7 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float
     plain = skeleton(text)
     low = _lower(plain)
     spans: list[tuple[int, int, str]] = []
+    mash, prompts = [], set()
     kinds = set()
     last_slot = -1
     for end, (size, hits) in automaton.iter(low):
@@ -150,6 +202,11 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float
             if pattern is None:
                 before, after = low[start - 1] if start else " ", low[end + 1] if end + 1 < len(low) else " "
                 if not (before.isalnum() and low[start].isalnum()) and not (after.isalnum() and low[end].isalnum()):
+                    if kind in ("mash", "weak"):
+                        mash.append((start, end + 1, kind))
+                        continue
+                    if kind == "prompt":
+                        prompts.add(start)
                     spans.append((start, end + 1, kind))
             elif start >= last_slot and (got := pattern.match(plain, start)):
                 kinds.add("slot")
@@ -157,9 +214,12 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float
                 spans.append((start, got.end(), "slot"))
     label = _LABEL.match(plain)
     body = label.end() if label else 0
-    if stop := repeats(low, body):
-        spans.append((body, stop, "filler"))
-        kinds.add("filler")
+    for start, stop in repeated(low, body):
+        spans.append((start, stop, "filler"))
+        if start == body:
+            kinds.add("filler")
+    if mash:
+        spans += ((a, b, "filler") for a, b in mash_runs(low, mash))
     if "1" in low:
         spans += ((m.start(), m.end(), "filler") for m in SELF_NAMED.finditer(plain))
     if not spans:
@@ -184,6 +244,14 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float
         inside = [x for x in spans if s <= x[0] < e and x[2] != "slot"]
         if not inside:
             continue
+        opening = s
+        while opening < e and not plain[opening].isalnum():
+            opening += 1
+        first = max((x for x in inside if x[0] in (opening, s) and (x[2] == "prompt" or " " in low[x[0] : x[1]])), key=lambda x: x[1], default=None)
+        if first and (first[0] in prompts or (first[2] == "error" and _DOING.match(low, first[1], e))):
+            covered[s:e] = b"\1" * (e - s)
+        elif first and first[2] in ("error", "script") and (code := _CODE.search(low, first[1], e)):
+            covered[s : code.end()] = b"\1" * (code.end() - s)
         whole, matched = letters(s, e)
         if matched >= min_coverage * max(whole, 1):
             kinds.update(k for _, _, k in inside)
@@ -197,7 +265,7 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float
     if not kinds:
         return None
     whole, matched = letters(0, len(plain))
-    return ",".join(sorted("filler" if k == "dummy" else k for k in kinds)), round(matched / whole, 4) if whole else 1.0
+    return ",".join(sorted({"filler" if k in ("dummy", "prompt") else k for k in kinds})), round(matched / whole, 4) if whole else 1.0
 
 
 def paragraphs(bundles: DataFrame, fields: tuple[str, ...] = ("text",)) -> DataFrame:
