@@ -217,12 +217,21 @@ def canonical_order(spark, folder):
     return held.select("l_orderkey", F.array_join(F.transform(put, lambda e: e["tag"]), "").alias("letters"))
 
 
+def _closure(now, seeds):
+    seeds = seeds.select("template_key", F.col("style_id").alias("seed"))
+    return closure.dependency_closure(seeds, closure.style_edges(now, ["template_key"]), ["template_key"]).select("template_key", "seed", "id")
+
+
 def dep_closure(spark, folder):
-    """Everything a style of a template needs over based_on, link and next."""
+    """Everything a title style of a template needs over based_on, link and next; ``dep_closure_all`` has all styles."""
+    now = styles(spark, folder)
+    return _closure(now, now.where("style_id like 'Title%'"))
+
+
+def dep_closure_all(spark, folder):
+    """Everything any current style of a template needs over based_on, link and next."""
     now = styles(spark, folder)
-    seeds = now.where("style_id like 'Title%'").select("template_key", F.col("style_id").alias("seed"))
-    edges = closure.style_edges(now, ["template_key"])
-    return closure.dependency_closure(seeds, edges, ["template_key"]).select("template_key", "seed", "id")
+    return _closure(now, now)
 
 
 def inherited_attr(spark, folder):
@@ -324,7 +333,7 @@ QUERIES = {
     for f in (
         unresolved_filter, role_lookup, unmapped_roles, used_styles, fk_violations, range_containment, two_hop, style_numbering_hop, positional_fill, package_patch, merge_upsert, upsert_result,
         bag_containment, except_all, set_symmetric_diff, hash_diff, substring_theta, role_counts_by_template, coverage, max_ids, alloc_ids, duplicates, merge_conflicts, first_per_role,
-        first_last_revision, missing_preview, canonical_order, dep_closure, inherited_attr, preflight_violations, stub_classify, final_merge, payload_checks, chunk_merge, batch_summary,
+        first_last_revision, missing_preview, canonical_order, dep_closure, dep_closure_all, inherited_attr, preflight_violations, stub_classify, final_merge, payload_checks, chunk_merge, batch_summary,
         roles_of_registry, tag_dedupe, revenue_rollup, request_messages, answers, hourly_events,
     )
 }
@@ -377,6 +386,7 @@ select template_key, style_id, arg_min(p, struct_pack(r := revision, p := p))::b
     "missing_preview": "select doc_id from documents where doc_id not in (select doc_id from doc_labels) order by doc_id limit 20",
     "canonical_order": "select l_orderkey, array_to_string(list_sort(list_concat(list_distinct(list(l_returnflag)), list_distinct(list(l_linestatus)))), '') as letters from lineitem group by all",
     "dep_closure": f"with recursive {_STYLES}, {_EDGES}, reach as (select template_key, style_id as seed, style_id as id from styles where style_id like 'Title%' union select r.template_key, r.seed, e.dst from reach r join edges e on e.template_key = r.template_key and e.src = r.id) select template_key, seed, id from reach",
+    "dep_closure_all": f"with recursive {_STYLES}, {_EDGES}, reach as (select template_key, style_id as seed, style_id as id from styles union select r.template_key, r.seed, e.dst from reach r join edges e on e.template_key = r.template_key and e.src = r.id) select template_key, seed, id from reach",
     "inherited_attr": f"""with recursive {_STYLES}, up as (
   select template_key, style_id as id, based_on as anc, rpr, ppr, 0::bigint as hop from styles
   union all select u.template_key, u.id, s.based_on, s.rpr, s.ppr, u.hop + 1 from up u join styles s on s.template_key = u.template_key and s.style_id = u.anc where u.hop < 49)
