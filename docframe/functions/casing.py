@@ -31,5 +31,5 @@ def apply_case(text: str, pattern: str) -> str:
 
 
 def section_number(text: str) -> str:
-    named = re.search(r"section\s+([0-9][0-9\s]*)", text or "", re.I)
-    return " ".join(named[1].split() if named else re.findall("[0-9]+", text or ""))
+    named = re.search(r"section\s+(\d[\d\s]*)", text or "", re.I)
+    return " ".join(named[1].split() if named else re.findall(r"\d+", text or ""))

@@ -31,6 +31,9 @@ END_OF_SECTION = r"^\s*(?i:END\s+OF\s+SECTION)"
 PART = r"^\s*(?i:PART)\s+[123]([^0-9A-Za-z_]|$)"
 ARTICLE = r"^\s*[0-9]+\.[0-9]{2}([^0-9A-Za-z_]|$)"
 ALL_CAPS = r"^[^a-z]*[A-Z][^a-z]*$"
+# White space and letters with case in any script, for Java.
+SPACES = r"[\s\x1c-\x1f\x85\p{Z}]+"
+CASED = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"
 MARKERS = [("upper_alpha", r"^\s*[A-Z]\.\s+"), ("number", r"^\s*[0-9]+\.\s+"), ("lower_alpha", r"^\s*[a-z]\.\s+")]
 
 
@@ -81,29 +84,40 @@ def available_role(role: Column, available: Column) -> Column:
     return F.when(role.isNotNull(), F.get(F.filter(chain, lambda r: F.array_contains(available, r)), F.lit(0)))
 
 
+def _words(text: Column) -> Column:
+    """The words of a text between white space of any script."""
+    return F.filter(F.split(text, SPACES), lambda w: w != "")
+
+
+def _title_run(run: Column) -> Column:
+    first, low = F.substring(run, 1, 1), F.lower(run)
+    return F.concat(F.translate(F.upper(first), "ǄǇǊǱ", "ǅǈǋǲ"), low.substr(F.length(F.lower(first)) + 1, F.length(low)))
+
+
 def _title_part(part: Column) -> Column:
     letters = F.upper(F.regexp_replace(part, "[^A-Za-z]", ""))
-    is_upper = (F.upper(part) == part) & part.rlike("[A-Za-z]")
-    # Capitals start after every non-letter, as in "O'BRIEN" to "O'Brien".
-    runs = F.regexp_extract_all(part, F.lit("([A-Za-z]+|[^A-Za-z]+)"), F.lit(1))
-    titled = F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(r.substr(F.lit(2), F.length(r))))), "")
-    return F.when(letters.isin(ACRONYMS), part).when(is_upper, titled).otherwise(part)
+    # The comparison alone settles most words, and only the rest meets the patterns.
+    is_upper = (F.upper(part) == part) & part.rlike(r"\p{IsUppercase}") & ~part.rlike(r"[\p{IsLowercase}\p{Lt}]")
+    # Capitals start after every sign without case, as in "O'BRIEN" to "O'Brien".
+    runs = F.regexp_extract_all(part, F.lit(f"({CASED}+|[^{CASED[1:-1]}]+)"), F.lit(1))
+    titled = F.array_join(F.transform(runs, _title_run), "")
+    return F.when(~is_upper, part).when(letters.isin(ACRONYMS), part).otherwise(titled)
 
 
 def title_case(text: Column) -> Column:
     """All-capital words in title case, hyphen parts each on their own; acronyms and mixed words stay.
 
-    Defined for ASCII letters; white space runs become one blank.
+    Letters of any script count, acronyms are ASCII; white space runs become one blank.
     """
-    words = F.filter(F.split(squeeze(text), " "), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.array_join(F.transform(F.split(w, "-"), _title_part), "-")), " ")
+    parts = lambda w: F.array_join(F.transform(F.split(w, "-"), _title_part), "-")
+    return F.array_join(F.transform(_words(text), lambda w: F.when(w.contains("-"), parts(w)).otherwise(_title_part(w))), " ")
 
 
 def case_pattern(text: Column) -> Column:
     """unknown (no text), upper, title (at least 70 % of the words capitalised) or mixed."""
-    words = F.filter(F.split(squeeze(text), " "), lambda w: w != "")
-    capital = F.filter(words, lambda w: (F.upper(F.substring(w, 1, 1)) == F.substring(w, 1, 1)) & (F.lower(F.substring(w, 1, 1)) != F.substring(w, 1, 1)))
-    stripped = F.trim(F.coalesce(text, F.lit("")))
+    words = _words(text)
+    capital = F.filter(words, lambda w: w.rlike(r"^\p{IsUppercase}"))
+    stripped = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
     return (
         F.when(stripped == "", "unknown")
         .when(stripped == F.upper(stripped), "upper")
@@ -119,9 +133,10 @@ def apply_case(text: Column, pattern: Column) -> Column:
 
 def section_number(text: Column) -> Column:
     """The digits after the word section, else all digit groups, joined by blanks."""
-    named = F.regexp_extract(text, r"(?i)section\s+([0-9][0-9\s]*)", 1)
-    groups = F.array_join(F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1)), " ")
-    return squeeze(F.coalesce(nullif_empty(named), groups))
+    text = F.coalesce(text, F.lit(""))
+    named = F.regexp_extract(text, rf"(?iu)section{SPACES}(\p{{Nd}}[\p{{Nd}}{SPACES[1:-2]}]*)", 1)
+    groups = F.array_join(F.regexp_extract_all(text, F.lit(r"(\p{Nd}+)"), F.lit(1)), " ")
+    return F.trim(F.regexp_replace(F.coalesce(nullif_empty(named), groups), SPACES, " "))
 
 
 # Own rules for text that does not belong to the specification: pattern and tag, applied in order.

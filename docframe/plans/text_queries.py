@@ -111,14 +111,24 @@ def filter_report(spark, folder):
 
 
 def _ascii_rows(spark, folder):
+    """Paragraphs of printable ASCII signs only, on which Spark and DuckDB agree."""
     return bundle_rows(spark, folder).where(F.col("text").rlike("^[ -~]+$"))
 
 
-def case_pattern(spark, folder):
-    rows = _ascii_rows(spark, folder)
+def _cases(rows):
     return rows.select("file_key", "idx", text.case_pattern(F.col("text")).alias("pattern"), text.title_case(F.col("text")).alias("title"))
 
 
+def case_pattern(spark, folder):
+    """The ASCII rows, compared with SQL; ``case_pattern_all`` has every row."""
+    return _cases(_ascii_rows(spark, folder))
+
+
+def case_pattern_all(spark, folder):
+    """Case pattern and title form of every paragraph, in any script; a null text is unknown."""
+    return _cases(bundle_rows(spark, folder))
+
+
 _CASE = f"""with {ROWS}, words as (
   select file_key, idx, text, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '') as w from rows_ where regexp_matches(text, '^[ -~]+$'))
 select file_key, idx,
@@ -131,9 +141,18 @@ select file_key, idx,
 from words"""
 
 
+def _numbers(rows):
+    return rows.select("file_key", "idx", text.section_number(F.col("text")).alias("number"))
+
+
 def section_number(spark, folder):
-    rows = _ascii_rows(spark, folder)
-    return rows.where(F.col("text").rlike("[0-9]")).select("file_key", "idx", text.section_number(F.col("text")).alias("number"))
+    """The ASCII rows with a digit, compared with SQL; ``section_number_all`` has every row."""
+    return _numbers(_ascii_rows(spark, folder).where(F.col("text").rlike("[0-9]")))
+
+
+def section_number_all(spark, folder):
+    """Section number of every paragraph; empty where there is none."""
+    return _numbers(bundle_rows(spark, folder))
 
 
 _NUMBER = f"""with {ROWS} select file_key, idx, trim(regexp_replace(
@@ -286,7 +305,7 @@ def stable_rank(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        lines_explode, marker_type, rule_role, role_counts, role_fallback, boilerplate_strip, filter_report, case_pattern, section_number, blocks_explode, block_text,
+        lines_explode, marker_type, rule_role, role_counts, role_fallback, boilerplate_strip, filter_report, case_pattern, case_pattern_all, section_number, section_number_all, blocks_explode, block_text,
         block_spans, first_attr, on_off_hints, contract_diff, escape_attr, fragment_check, hash_snapshot, short_key, durable_id, free_ids, custom_id, json_props, rel_target,
         context_prev_next, running_offset, chunk_overlap, chunk_ranges, chunk_sizing, chunk_completeness, splice_roundtrip, document_analysis, stable_rank,
     )

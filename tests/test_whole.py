@@ -1,5 +1,7 @@
 """Queries over whole tables, against brute force on small ones made here."""
 
+import re
+
 from docframe.plans import catalog
 
 
@@ -21,3 +23,38 @@ def test_closure_of_every_style(spark, tmp_path):
                 todo += edges.get((template, at), ())
     got = [tuple(r) for r in catalog.QUERIES["dep_closure_all"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+TEXTS = [
+    "ÄNDERUNG DER PRÜFUNG", "ПРИЁМКА И ПУСК", "“PART” – ‘TWO’ OF…", "Façade Öl　Über Ärger", "ΟΔΟΣ ΣΣ", "O’BRIEN ÉTÉ-HIVER HVAC-ÜBER", "SECTION 09 21 16 – Ä", "９ und １２", "Straße", "İZMİR İİ", "ǄUNGLA", "ПЕРВЫЙ второй", " ", " ",
+    "", None, "PART 1 GENERAL", "line\nTWO\t3", "Été À Côté de", "中文 ABC", "section　０９ ４１", "SECTIONS 5, 6", "no digit", "½ ² ٣",
+]
+ACRONYMS = {"HVAC", "DDC", "PVC"}
+
+
+def _title(word):
+    if "-" in word:
+        return "-".join(map(_title, word.split("-")))
+    bare = "".join(c for c in word if c.isascii() and c.isalpha()).upper()
+    return word if bare in ACRONYMS or not word.isupper() else word.title()
+
+
+def _pattern(text):
+    stripped = (text or "").strip()
+    if not stripped or stripped == stripped.upper():
+        return "upper" if stripped else "unknown"
+    words = stripped.split()
+    return "title" if sum(w[:1].isupper() for w in words) * 10 >= len(words) * 7 else "mixed"
+
+
+def _number(text):
+    named = re.search(r"SECTION\s+(\d[\d\s]*)", text or "", re.I)
+    return " ".join(named[1].split() if named else re.findall(r"\d+", text or ""))
+
+
+def test_cases_and_numbers_of_every_text(spark, tmp_path):
+    spark.createDataFrame([("f", [(i, t, False, None) for i, t in enumerate(TEXTS)])], "file_key string, paragraphs array<struct<paragraph_index int, text string, in_table boolean, marker_type string>>").write.parquet(f"{tmp_path}/slim_bundle.parquet")
+    cases = {r.idx: (r.pattern, r.title) for r in catalog.QUERIES["case_pattern_all"](spark, str(tmp_path)).collect()}
+    assert cases == {i: (_pattern(t), None if t is None else " ".join(map(_title, t.split()))) for i, t in enumerate(TEXTS)}
+    numbers = {r.idx: r.number for r in catalog.QUERIES["section_number_all"](spark, str(tmp_path)).collect()}
+    assert numbers == {i: _number(t) for i, t in enumerate(TEXTS)}
