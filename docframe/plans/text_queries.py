@@ -85,11 +85,24 @@ def role_fallback(spark, folder):
 QUERY_RULES = [(r"(?m)^\s*[0-9]+\.[0-9]{2} [A-Z ]+$", "heading"), (r"\[[0-9]+ mm\]", "metric_size"), (r"(?i)unless the drawings show otherwise", "exception"), *text.BOILERPLATE[5:6]]
 
 
-def boilerplate_strip(spark, folder):
-    rows = bundle_rows(spark, folder).where("text is not null").withColumn("s", text.strip_boilerplate(F.col("text"), QUERY_RULES))
+def _stripped(spark, folder, rules=None):
+    return bundle_rows(spark, folder).where("text is not null").withColumn("s", text.strip_boilerplate(F.col("text"), rules))
+
+
+def _clean(rows):
     return rows.select("file_key", "idx", F.col("s.text").alias("clean"), F.array_join("s.tags", ",").alias("tags"))
 
 
+def boilerplate_strip(spark, folder):
+    """Stripping by sample rules that SQL can follow; ``boilerplate_strip_all`` has the engine's own."""
+    return _clean(_stripped(spark, folder, QUERY_RULES))
+
+
+def boilerplate_strip_all(spark, folder):
+    """Every paragraph stripped by all rules of the engine."""
+    return _clean(_stripped(spark, folder))
+
+
 def _strip_sql() -> str:
     value, tags = "text", []
     for pattern, tag in QUERY_RULES:
@@ -103,13 +116,21 @@ _CLEAN, _TAGS = _strip_sql()
 _STRIP = f"with {ROWS}, tagged as (select *, {_TAGS} as list_distinct_ordered from rows_ where text is not null) select file_key, idx, {_CLEAN} from tagged"
 
 
-def filter_report(spark, folder):
-    """What cleaning does per tag: paragraphs removed entirely or stripped."""
-    rows = bundle_rows(spark, folder).where("text is not null").withColumn("s", text.strip_boilerplate(F.col("text"), QUERY_RULES)).where("size(s.tags) > 0")
-    rows = rows.select(F.when(F.col("s.text") == "", "removed").otherwise("stripped").alias("action"), F.explode("s.tags").alias("tag"))
+def _report(rows):
+    rows = rows.where("size(s.tags) > 0").select(F.when(F.col("s.text") == "", "removed").otherwise("stripped").alias("action"), F.explode("s.tags").alias("tag"))
     return rows.groupBy("action", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+def filter_report(spark, folder):
+    """What cleaning by the sample rules does per tag: paragraphs removed entirely or stripped."""
+    return _report(_stripped(spark, folder, QUERY_RULES))
+
+
+def filter_report_all(spark, folder):
+    """What cleaning by all rules of the engine does per tag."""
+    return _report(_stripped(spark, folder))
+
+
 def _ascii_rows(spark, folder):
     """Paragraphs of printable ASCII signs only, on which Spark and DuckDB agree."""
     return bundle_rows(spark, folder).where(F.col("text").rlike("^[ -~]+$"))
@@ -305,7 +326,7 @@ def stable_rank(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        lines_explode, marker_type, rule_role, role_counts, role_fallback, boilerplate_strip, filter_report, case_pattern, case_pattern_all, section_number, section_number_all, blocks_explode, block_text,
+        lines_explode, marker_type, rule_role, role_counts, role_fallback, boilerplate_strip, boilerplate_strip_all, filter_report, filter_report_all, case_pattern, case_pattern_all, section_number, section_number_all, blocks_explode, block_text,
         block_spans, first_attr, on_off_hints, contract_diff, escape_attr, fragment_check, hash_snapshot, short_key, durable_id, free_ids, custom_id, json_props, rel_target,
         context_prev_next, running_offset, chunk_overlap, chunk_ranges, chunk_sizing, chunk_completeness, splice_roundtrip, document_analysis, stable_rank,
     )

@@ -58,3 +58,13 @@ def test_cases_and_numbers_of_every_text(spark, tmp_path):
     assert cases == {i: (_pattern(t), None if t is None else " ".join(map(_title, t.split()))) for i, t in enumerate(TEXTS)}
     numbers = {r.idx: r.number for r in catalog.QUERIES["section_number_all"](spark, str(tmp_path)).collect()}
     assert numbers == {i: _number(t) for i, t in enumerate(TEXTS)}
+
+
+def test_all_boilerplate_rules_run(spark, tmp_path):
+    texts = ["[Note to Specifier: pick one.]", "Retain paragraph below if needed.", "Copyright 2030 by X", "-----", "Page 3 of 9", "REV 2", "Hidden text: x", "Provide [9 mm] pins unless the drawings show otherwise.", "All rights reserved. Provide pumps.", None]
+    spark.createDataFrame([("f", [(i, t, False, None) for i, t in enumerate(texts)])], "file_key string, paragraphs array<struct<paragraph_index int, text string, in_table boolean, marker_type string>>").write.parquet(f"{tmp_path}/slim_bundle.parquet")
+    got = {r.idx: (r.clean, r.tags) for r in catalog.QUERIES["boilerplate_strip_all"](spark, str(tmp_path)).collect()}
+    tags = ["specifier_note", "masterspec_instruction", "copyright", "separator", "page_number", "revision_mark", "hidden_text"]
+    assert got == {**{i: ("", t) for i, t in enumerate(tags)}, 7: (texts[7], ""), 8: ("Provide pumps.", "copyright")}
+    report = {(r.action, r.tag): r.n for r in catalog.QUERIES["filter_report_all"](spark, str(tmp_path)).collect()}
+    assert report == {**{("removed", t): 1 for t in tags}, ("stripped", "copyright"): 1}
