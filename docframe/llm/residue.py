@@ -79,20 +79,20 @@ MASH_WORDS = "asdf asdfg asdfgh asdfghj asdfghjk asdfghjkl sdfg dfgh fghj ghjk h
 WEAK_MASH = "jkl uiop poiu qwerty qwertz azerty йцукен".split()
 # Openers of unfilled slots and the pattern that must hold from there.
 SLOTS = {
-    "{{": r"\{\{[^{}]{0,80}\}\}",
-    "${": r"\$\{[^{}]{0,80}\}",
-    "{%": r"\{%[^{}]{0,80}%\}",
-    "{": r"\{[A-Za-z_][A-Za-z_ .]{1,60}\}",
-    "<<": r"<<[^<>]{1,80}>>",
-    "<%": r"<%[^<>]{1,80}%>",
-    "<": r"<[A-Za-z][A-Za-z_ -]{1,60}>",
+    "{{": r"\{\{[^{}]*\}\}",
+    "${": r"\$\{[^{}]*\}",
+    "{%": r"\{%[^{}]*%\}",
+    "{": r"\{[A-Za-z_][A-Za-z_ .]+\}",
+    "<<": r"<<[^<>]+>>",
+    "<%": r"<%[^<>]+%>",
+    "<": r"<[A-Za-z][A-Za-z_ -]+>",
     "&lt;": r"&lt;[A-Za-z][A-Za-z_ -]*&gt;",
     "(": r"\((?i:(?:insert|enter)[ _](?!(?:by|at|from|through|via|into|on|in|to|only|before|after|with|when|if)\b))[^()]+\)",
-    "«": r"«[A-Za-z_][A-Za-z0-9_]{1,60}»",
-    "%": r"%[A-Z][A-Z0-9_]{1,60}%",
-    "@@": r"@@[A-Za-z_]{2,60}@@",
-    "##": r"##[A-Za-z_]{2,60}##",
-    "[": r"\[(?:[ _.•…*?-]{0,80}|[A-Z]{2}[A-Z_ -]{1,60}|(?i:insert|enter|select|choose|specify|fill in|type|your|add|edit|describe|name of|date of|click|tb[dc]|to be)(?:[ _][^\[\]]{0,80})?|X{2,})\]",
+    "«": r"«[A-Za-z_][A-Za-z0-9_]+»",
+    "%": r"%[A-Z][A-Z0-9_]+%",
+    "@@": r"@@[A-Za-z_]{2,}@@",
+    "##": r"##[A-Za-z_]{2,}##",
+    "[": r"\[(?:[ _.•…*?-]*|[A-Z]{2}[A-Z_ -]+|(?i:insert|enter|select|choose|specify|fill in|type|your|add|edit|describe|name of|date of|click|tb[dc]|to be)(?:[ _][^\[\]]*)?|X{2,})\]",
     "__": r"_{3,}|__[A-Za-z]+(?:_[A-Za-z]+)*__",
     "xxxx": r"(?<![A-Za-z0-9])[Xx]{4,}(?![A-Za-z0-9])",
     "tbd": r"(?<![A-Za-z0-9])TBD(?![A-Za-z0-9])",
@@ -284,7 +284,7 @@ def find_residue(rows: DataFrame, keys: list[str], text: str = "text", min_cover
     Null and empty texts hold none; an empty table gives an empty result. Only the key columns
     and the text travel to Python, and only found rows are shuffled (to drop repeats).
     """
-    picked = rows.select(*keys, F.col(text).alias("__text")).where("length(__text) > 2")
+    picked = rows.select(*keys, F.col(text).alias("__text")).where("__text <> ''")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "__text") + ", kinds string, coverage double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

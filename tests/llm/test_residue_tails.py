@@ -1,5 +1,7 @@
 """Messages with a variable tail, prompts, keyboard mash, repeats anywhere and escaped slots."""
 
+import time
+
 import pytest
 
 from docframe.llm import residue
@@ -35,3 +37,20 @@ def test_genuine(text):
 
 def test_repeats_have_at_most_three_words():
     assert residue.repeated("pump valve tower riser " * 2000, 0) == [] and residue.repeated("a pump valve pump valve pump valve b", 0) == [(2, 35)]
+
+
+@pytest.mark.parametrize("text", ["[Insert manufacturer, model number and finish as selected from the full range of standard colours and textures of the maker]", "{{" + "a" * 200 + "}}", "<equipment and material schedule of the separately tendered works package for level two>", "[" + "_" * 500 + "]", "<<" + "b" * 300 + ">>", "%" + "A" * 90 + "%"])
+def test_slots_of_any_length(text):
+    assert residue.scan(f"Provide {text} now", AUTOMATON)[0] == "slot"
+
+
+def test_short_texts_are_scanned(spark):
+    rows = spark.createDataFrame([("f", 0, "[]"), ("f", 1, "ab"), ("f", 2, ""), ("f", 3, None)], "file_key string, paragraph_index int, text string")
+    assert [(r.paragraph_index, r.kinds) for r in residue.find_residue(rows, ["file_key", "paragraph_index"]).collect()] == [(0, "slot")]
+
+
+@pytest.mark.parametrize("opener", ["[", "{{", "<<", "<a", "%A", "(enter x", "[insert ", "@@a", "__a", "«a", "&lt;a"])
+def test_unclosed_openers_take_linear_time(opener):
+    began = time.time()
+    residue.scan(opener * 50_000, AUTOMATON)
+    assert time.time() - began < 20
