@@ -4,9 +4,8 @@ All statistics of an Arrow batch are counted at once over one array of code poin
 table lookup, counts per document by differences of running sums, words by the borders of letter
 runs, common words by rolling word hashes. No per-character or per-word Python code runs.
 
-The rules are published fixed thresholds in the manner of the known web-text filters (share of
-common words, mean word length, symbol share, bullet lines, line ends, repetition), adapted to
-specification prose. Each failure is recorded as a reason; a document without reason is prose.
+The rules are fixed thresholds in the manner of the published web-text filters (share of common
+words, mean word length, symbol share), with values of our own for specification prose. Each failure is recorded as a reason; a document without reason is prose.
 """
 
 from __future__ import annotations
@@ -211,7 +210,7 @@ class Counter:
         }
 
 
-# The published thresholds: reason, statistic, and the least and greatest value of prose.
+# Own thresholds: reason, statistic, and the least and greatest value of prose.
 RULES = [
     ("empty", "n_words", 1, None),
     ("few_sentences", "sentence_word_share", 0.5, None),
