@@ -7,7 +7,8 @@ multinomial over the target shares, seeded by the shard number, so shards are in
 pseudorandom index permutation per source and pass (a Feistel network with cycle walking), so a
 source is used up evenly before any block repeats. Slots past ``max_repeats`` passes stay empty:
 a short source gives all it may and the shares really reached are reported. Slots and text spans
-meet in one join on (source, block), keys that no hot source can skew.
+meet in one join on (source, block), keys that no hot source can skew. The report is counted on the
+drawn slots and the joined spans, not on the totals.
 
 Only per-source totals (a row per listed source) reach the driver.
 """
@@ -105,8 +106,8 @@ def _slots(spark, sources: list[dict], n_slots: int, shard_blocks: int, seed: in
             rows = []
             for shard in batch["id"]:
                 size = min(shard_blocks, n_slots - shard * shard_blocks)
-                for name, n in zip(names, np.random.default_rng([seed, shard]).multinomial(size, shares), strict=True):
-                    rows.append((shard, name, int(n)))
+                counts = np.random.default_rng([seed, shard]).multinomial(size, shares)
+                rows += ((shard, names[i], int(counts[i])) for i in np.flatnonzero(counts))
             yield pd.DataFrame(rows, columns=["shard", "source", "n"])
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +129,7 @@ def _slots(spark, sources: list[dict], n_slots: int, shard_blocks: int, seed: in
     spans = spans.select("source", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "span").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counted = drawn.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(spans, ["source", "span"])
-    slots = counted.where("n > 0").select("shard", "source", F.explode(F.expr("sequence(base + first, base + first + n - 1)")).alias("t"))
+    slots = counted.select("shard", "source", F.explode(F.expr("sequence(base + first, base + first + n - 1)")).alias("t"))
     return slots.mapInPandas(place, "shard long, source string, t long, block long")
 
 
@@ -162,24 +163,27 @@ def mixed(mix: Mix) -> DataFrame:
 
 
 def report(mix: Mix) -> DataFrame:
-    """Per listed source its target and reached share, tokens, repeats, and whether it is ``short``.
-
-    ``short``: all tokens, repeated as often as allowed, are fewer than the target share of the
-    tokens of all documents of listed sources. Reached tokens count the drawn blocks, of which
-    the last of a source may be partial.
+    """Per listed source its target and reached share, slots, tokens, repeats, and whether it is ``short``.
+
+    ``drawn_slots`` are the slots the draws gave a source, ``empty_slots`` those past its passes,
+    ``mixed_tokens`` the tokens that the join with the text spans put into the mix. ``short``
+    sources are found from the draws: those whose demand may exceed all they can give. A source
+    with a demand of ``m`` slots on average draws ``n`` with ``(sqrt(n) + 3) ** 2 < m`` less often
+    than once in 10**8 times, so that bound loses none; then the exact check is made whether all
+    its tokens, repeated as often as allowed, are fewer than its share of the tokens of all
+    documents of listed sources.
     """
     spark = mix.slots.sparkSession
     given = spark.createDataFrame(
         [(s["source"], s["docs"], s["tokens"], s["blocks"], float(s["share"]), int(s["repeats"])) for s in mix.sources],
         "source string, n_documents long, n_tokens long, n_blocks long, target_share double, max_repeats int",
     )
-    used = mix.slots.where("block >= 0").join(F.broadcast(given.select("source", "n_blocks")), "source")  # a row per listed source, at most MAX_SOURCES
-    used = used.groupBy("source").agg(F.count(F.lit(1)).alias("used_blocks"), F.count_if(F.col("block") == F.col("n_blocks") - 1).alias("last_blocks"))
-    size = F.lit(mix.block_tokens)
-    rows = given.join(used, "source", "left").select(
-        *given.columns,
-        (F.coalesce("used_blocks", F.lit(0)) * size - F.coalesce("last_blocks", F.lit(0)) * (F.col("n_blocks") * size - F.col("n_tokens"))).alias("mixed_tokens"),
-        (F.col("n_tokens") * F.col("max_repeats") < F.col("target_share") * F.lit(mix.total_tokens)).alias("short"),
-    )
+    drawn = mix.slots.groupBy("source").agg(F.count(F.lit(1)).alias("drawn_slots"), F.count_if(F.col("block") < 0).alias("empty_slots"))
+    used = mixed(mix).groupBy("source").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("mixed_tokens"))
+    rows = given.join(drawn, "source", "left").join(used, "source", "left")
+    rows = rows.select(*given.columns, *(F.coalesce(c, F.lit(0)).alias(c) for c in ("drawn_slots", "empty_slots", "mixed_tokens")))
+    supply = F.col("n_tokens") * F.col("max_repeats")
+    may_lack = F.pow(F.sqrt("drawn_slots") + 3, 2) * mix.block_tokens > supply
+    rows = rows.withColumn("short", may_lack & (F.col("mixed_tokens") <= supply) & (supply < F.col("target_share") * F.lit(mix.total_tokens)))
     all_mixed = rows.select(F.sum("mixed_tokens")).scalar()
     return rows.withColumn("reached_share", F.round(F.try_divide(F.col("mixed_tokens"), all_mixed), 6))
