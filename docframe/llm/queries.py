@@ -20,8 +20,8 @@ def _piece_limits(spark, folder) -> tuple[int, int, int]:
 
 
 def p3_found(spark, folder):
-    parts = splitting.slices(table(spark, folder, "slim_bundle"), *_piece_limits(spark, folder))
-    return splitting.piece_counts(parts).where("n_pieces > 1").select("file_key")
+    limits = _piece_limits(spark, folder)
+    return splitting.oversized(splitting.slices(table(spark, folder, "slim_bundle"), *limits), limits[0])
 
 
 def p3_pieces(spark, folder):

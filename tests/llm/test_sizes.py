@@ -126,7 +126,7 @@ def cases():
     ]
 
 
-@pytest.mark.parametrize("max_rows", [500_000, 10])
+@pytest.mark.parametrize("max_rows", [200_000, 10])
 def test_pieces(spark, max_rows):
     rows = cases()
     df = bundle(spark, rows)
@@ -135,7 +135,7 @@ def test_pieces(spark, max_rows):
         texts.setdefault(key, {}).update({i: t or "" for i, t in ps or []})
     parts = splitting.slices(df, 1000, 2, 50, max_rows).collect()
     for key, by_index in texts.items():
-        body = sorted((r.seg, r.piece, r.pos, r.paragraph_index, r.char_from, r.char_to) for r in parts if r.file_key == key and not r.is_overlap)
+        body = sorted((r.seg, r.seg_at, r.piece, r.pos, r.paragraph_index, r.char_from, r.char_to) for r in parts if r.file_key == key and not r.is_overlap)
         joined = {}
         for *_, i, a, b in body:
             joined[i] = joined.get(i, "") + by_index[i][a:b]
@@ -146,20 +146,36 @@ def test_pieces(spark, max_rows):
     for key, ps in pieces.items():
         ps.sort(key=lambda r: r.piece_no)
         assert [p.piece_no for p in ps] == list(range(1, len(ps) + 1)) and all(p.n_pieces == len(ps) for p in ps), key
-        assert max(p.n_chars for p in ps) <= 1000
+        assert max(len(p.text) for p in ps) <= 1000 and all(p.n_chars <= len(p.text) for p in ps)
         assert all(p.n_overlap_chars > 0 or p.n_chars == 0 for p in ps[1:])
     total = {k: sum(map(len, t.values())) for k, t in texts.items()}
-    found = {r.file_key for r in splitting.piece_counts(splitting.slices(df, 1000, 2, 50, max_rows)).where("n_pieces > 1").collect()}
+    found = {r.file_key for r in splitting.oversized(splitting.slices(df, 1000, 2, 50, max_rows), 1000).collect()}
     assert found == {k for k, n in total.items() if n > 1000}
-    assert "none" not in pieces and len(pieces["exact"]) == 1
+    # Two paragraphs of 500 characters fit a piece of 1000, but not with the line break between them.
+    assert "none" not in pieces and len(pieces["exact"]) == 2 and "exact" not in found
+
+
+def test_cuts_do_not_depend_on_the_task_size(spark):
+    rng = random.Random(11)
+    rows = [(f"b{b}", [(i * 1 + i // 7, SENTENCE * rng.choice([0, 1, 2, 9, 60]) if rng.random() < 0.9 else "SECTION 01 10 00") for i in range(rng.randint(5, 60))]) for b in range(25)]
+    df = bundle(spark, rows + [("hex", [(0, "ab" * 4000)])])
+    cuts = [sorted(map(tuple, splitting.pieces(df, 1000, 2, 50, n).collect())) for n in (200_000, 10, 3)]
+    assert cuts[0] == cuts[1] == cuts[2] and len(cuts[0]) > 200
 
 
 def test_cuts_prefer_strong_boundaries():
-    rows = [(i, 100, 5 if i == 6 else 2, None) for i in range(11)]
-    assert splitting.Bisector(rows, 1000, 2, 50, True).pieces()[0] == (0, 6)
-    assert splitting.overlap_of([100, 100, 100], 1000, 2, 50) == (2, 0, 200)
-    assert splitting.overlap_of([200, 100], 1000, 2, 50) == (1, 0, 200)
-    assert splitting.overlap_of([900], 1000, 2, 50) == (0, 50, 50) and splitting.overlap_of([], 1000, 2, 50) == (0, 0, 0)
+    rows = [(i, 0, 100, 5 if i == 6 else 2, 100) for i in range(11)]
+    assert splitting.Bisector(rows, 1000, 2, 50).pieces()[0] == (0, 6)
+    assert splitting.overlap_of([100, 100, 100], 900, 2, 50) == (2, 0, 202)
+    assert splitting.overlap_of([600, 100], 650, 2, 50) == (1, 0, 601)
+    assert splitting.overlap_of([900], 500, 2, 50) == (0, 50, 51) and splitting.overlap_of([], 500, 2, 50) == (0, 0, 0)
+    assert splitting.overlap_of([900], 500, 0, 50) == (0, 0, 0)
+
+
+def test_overlap_takes_the_paragraphs_asked_for(spark):
+    df = bundle(spark, [("k", [(i, "y" * 300) for i in range(6)])])
+    whole = [r.n_overlap_chars for r in sorted(splitting.pieces(df, 1000, 2, 50).collect(), key=lambda r: r.piece_no)]
+    assert whole[0] == 0 and set(whole[1:]) == {600}
 
 
 def test_atoms_add_up():
