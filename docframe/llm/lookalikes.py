@@ -256,10 +256,11 @@ def found(bundles: DataFrame) -> DataFrame:
 def consistent(bundles: DataFrame) -> DataFrame:
     """All paragraphs in their consistent form: ``file_key, paragraph_index, text, marker_type, reasons``.
 
-    A paragraph comes out once; nulls stay null. Marker types are also lower-cased and trimmed.
+    A paragraph comes out once, of differing deliveries the longest text, of equally long ones the
+    greatest; nulls stay null. Marker types are also lower-cased and trimmed.
     """
     rows = paragraphs(bundles, ("text", "marker_type"))
     keys = ["file_key", "paragraph_index"]
     changed = _changes(rows, keys, bigrams(rows, "text"), only_found=False)
-    best = F.max_by(F.struct("text", "marker_type", "reasons"), F.struct(F.col("text").isNotNull().alias("has"), F.length("reasons").alias("n"), F.col("text")))
+    best = F.max_by(F.struct("text", "marker_type", "reasons"), F.struct(F.coalesce(F.length("text"), F.lit(-1)).alias("n"), "text", "marker_type", "reasons"))
     return changed.groupBy(*keys).agg(best.alias("row")).select(*keys, "row.*")
