@@ -4,8 +4,13 @@ All statistics of an Arrow batch are counted at once over one array of code poin
 table lookup, counts per document by differences of running sums, words by the borders of letter
 runs, common words by rolling word hashes. No per-character or per-word Python code runs.
 
-The rules are fixed thresholds in the manner of the published web-text filters (share of common
-words, mean word length, symbol share), with values of our own for specification prose. Each failure is recorded as a reason; a document without reason is prose.
+The rules are fixed thresholds, each failure recorded as a reason; a document without reason is prose.
+``PUBLISHED`` holds those of the published repetition and quality filters for web text (Rae et al.
+2021, section A1.1: words, mean word length, symbols per word, bullet and ellipsis lines, words with a
+letter, stop words) at their values; their stop words are those of ``common_words`` in the best-fitting
+language. ``ADAPTED`` holds own values for specification prose, among them the line-end rule (Raffel
+et al. 2020 keep only ended lines; here one ended line is enough, as texts are wrapped). Left out is
+the published minimum of 50 words, since short clauses are prose here.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ SYMBOLS = "#|{}<>~^=+_\\/*@$%&[]`"
 STATISTICS = [
     "n_words", "mean_word_length", "longest_word", "symbol_share", "digit_share", "letter_share", "common_share", "distinct_share",
     "n_lines", "ended_line_share", "bullet_line_share", "item_word_share", "columned_line_share", "words_per_sentence", "sentence_word_share", "mean_line_words",
+    "n_common", "symbol_word_ratio", "ellipsis_line_share", "alpha_word_share",
 ]
 #: Characters counted together.
 PART = 2_000_000
@@ -186,6 +192,22 @@ class Counter:
         good = is_end & (stretch_words >= 4) & (stretch_words <= 60) & (stretch_common >= 0.12 * stretch_words)
         sentence_words = np.bincount(doc, weights=good[stretch], minlength=n)
 
+        # Signs of cut text: number signs and ellipses, the latter also as three dots.
+        dot = codes == ord(".")
+        dots = np.zeros(len(codes), bool)
+        dots[2:] = dot[2:] & dot[1:-1] & dot[:-2]
+        first_dots = dots & ~np.concatenate(([False], dots[:-1]))
+        marks = per((codes == ord("#")) | (codes == ord("…")) | first_dots)
+        ellipsis = (codes[tail] == ord("…")) | dots[tail]
+        # Words between white space, with and without a letter.
+        solid = (kind != _SPACE) & (kind != _LINE)
+        border = np.flatnonzero(np.diff(np.concatenate(([False], solid, [False])).astype(np.int8)))
+        token_start, token_stop = border[::2], border[1::2]
+        seen = np.concatenate(([0], np.cumsum(letter)))
+        token_doc = np.searchsorted(last, token_start, side="right")
+        tokens = np.maximum(np.bincount(token_doc, minlength=n), 1)
+        alpha = np.bincount(token_doc, weights=seen[token_stop] > seen[token_start], minlength=n)
+
         some = np.maximum(words, 1)
         chars = np.maximum(per((kind != _SPACE) & (kind != _LINE)), 1)
         every = np.maximum(lines, 1)
@@ -207,20 +229,34 @@ class Counter:
             "words_per_sentence": words / np.maximum(sentences, 1),
             "sentence_word_share": sentence_words / some,
             "mean_line_words": words / every,
+            "n_common": common.astype(np.int64),
+            "symbol_word_ratio": marks / some,
+            "ellipsis_line_share": by_line(ellipsis),
+            "alpha_word_share": alpha / tokens,
         }
 
 
-# Own thresholds: reason, statistic, and the least and greatest value of prose.
-RULES = [
-    ("empty", "n_words", 1, None),
+# Reason, statistic, and the least and greatest value of prose, as published.
+PUBLISHED = [
+    ("too_many_words", "n_words", None, 100_000),
+    ("mean_word_length", "mean_word_length", 3.0, 10.0),
+    ("symbols_per_word", "symbol_word_ratio", None, 0.1),
+    ("mostly_bullets", "bullet_line_share", None, 0.9),
+    ("mostly_ellipses", "ellipsis_line_share", None, 0.3),
+    ("few_words_with_letters", "alpha_word_share", 0.8, None),
+    ("no_stop_words", "n_common", 2, None),
+]
+# Own values for specification prose.
+ADAPTED = [
+    ("no_ended_line", "ended_line_share", 1e-9, None),
     ("few_sentences", "sentence_word_share", 0.5, None),
     ("few_common_words", "common_share", 0.12, None),
-    ("mean_word_length", "mean_word_length", 2.5, 12.0),
     ("many_symbols", "symbol_share", None, 0.05),
     ("many_digits", "digit_share", None, 0.3),
     ("few_letters", "letter_share", 0.6, None),
     ("mostly_items", "item_word_share", None, 0.5),
 ]
+RULES = [("empty", "n_words", 1, None), *PUBLISHED, *ADAPTED]
 
 
 def judge(stats: dict[str, np.ndarray]) -> tuple[list[list[str]], list[str]]:
@@ -268,7 +304,7 @@ def assess(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", t
     """
     common = common_words_by_language(common_words)
     picked = documents.select(key, documents[text].alias("__text"))
-    whole = ("n_words", "longest_word", "n_lines")
+    whole = ("n_words", "longest_word", "n_lines", "n_common")
     schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, " + ", ".join(f"{c} {'long' if c in whole else 'double'}" for c in STATISTICS) + ", reasons string, kind string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

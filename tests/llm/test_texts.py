@@ -1,5 +1,7 @@
 """Characters, residue and quality on texts made here."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -147,11 +149,15 @@ def brute(text):
         "distinct_share": len({w.lower() for w in words}) / max(len(words), 1),
         "n_lines": len(lines),
         "ended_line_share": sum(x.rstrip()[-1] in quality.ENDS for x in lines) / max(len(lines), 1),
+        "n_common": max(sum(w.lower() in ws for w in words) for ws in COMMON.values()),
+        "symbol_word_ratio": len(re.findall(r"#|…|\.{3,}", text or "")) / max(len(words), 1),
+        "ellipsis_line_share": sum(x.rstrip().endswith(("…", "...")) for x in lines) / max(len(lines), 1),
+        "alpha_word_share": sum(any(map(str.isalpha, w)) for w in (text or "").split()) / max(len((text or "").split()), 1),
     }
 
 
 PROSE = "Provide the pump at the riser and keep it in service. The valve shall be set with care for the owner.\nIt is to be tested in the order of the drawings, and the log shall be kept."
-TEXTS = [PROSE, "", None, "a) pump;\nb) valve;\nc) tank;\nd) fan;", "| A | 1 |\n| B | 2 |\n| C | 3 |", "------", "  \n \r\n ", "Ünïcode Ä и в не к", "x" * 5000, "word", PROSE.replace("\n", "\r\n"), "😀 mixed \U0001f600 text.", "end.\n\n\n"]
+TEXTS = [PROSE, "", None, "a) pump;\nb) valve;\nc) tank;\nd) fan;", "| A | 1 |\n| B | 2 |\n| C | 3 |", "------", "  \n \r\n ", "Ünïcode Ä и в не к", "x" * 5000, "word", PROSE.replace("\n", "\r\n"), "😀 mixed \U0001f600 text.", "end.\n\n\n", "# one ... two…\n3 4 x5.....\nto be …", "....", "a ..\n... b"]
 
 
 def test_counts_equal_brute_force():
