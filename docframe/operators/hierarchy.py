@@ -3,15 +3,18 @@
 Every node has at most one parent, so the links of a scope form trees and circles. A round
 *rakes* all leaves onto their parents and *compresses* unary chains: an independent set of
 nodes with exactly one child is spliced out, its child taking over its parent, edge length and
-edge label. After O(log n) rounds only roots and circles shrunk to a self-loop are left; the
-recorded removals, replayed backwards, give each node its root, depth and path. Raked subtree
-sizes flow upwards with the contraction.
+edge label. After O(log n) rounds only roots and circles shrunk to a self-loop are left. Subtree sizes
+flow upwards with the contraction: a raked leaf hands its size to its parent, a spliced node leaves
+its own on the edge of its child.
+
+The recorded removals are then reversed, all rounds at once: every record points to a node that
+outlives it, the parent for root, depth and path, the child for sizes and circles, so following
+these pointers by doubling takes log2(rounds) joins.
 
 No step groups rows of one tree into one task: counts per parent are pre-aggregated before the
-shuffle, and all joins of the forward pass and of the circle detection have unique keys on both
-sides. The replay left-joins removed nodes to their parents; the removed side is the streamed one,
-so adaptive execution splits a parent that holds a large part of it over many tasks. State is
-written to the shared checkpoint folder once a round; each round writes only what it adds.
+shuffle, and all joins have unique keys on one side. The other side is the streamed one, so adaptive
+execution splits a parent that holds a large part of it over many tasks. State is written to the
+shared checkpoint folder once a round; each round writes only what it adds.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from docframe.operators.skew import salted_lookup
@@ -34,102 +37,146 @@ class Contraction:
     top: DataFrame | None = None
 
 
-def contract(links: DataFrame, with_paths: bool = True, max_rounds: int = 400) -> Contraction:
+def contract(links: DataFrame, depths: bool = True, paths: bool = True, max_rounds: int = 400) -> Contraction:
     """Contract ``links(g, id, parent)``; ``(g, id)`` is unique and a parent without row is null.
 
-    A record has ``action`` (rake, splice), the ``parent`` and edge length ``w`` at removal, the
-    edge label ``seg`` (ids after the parent up to the node itself), for a splice the ``child``.
-    ``top`` holds roots (``loop`` false) and circle cores (``loop`` true, ``seg`` names members).
+    A record has ``action`` (rake, splice), the ``parent`` at removal, for a splice the ``child``. With
+    ``depths`` also the edge length ``w``, the least id ``low`` on the edge, the subtree size ``acc``
+    gathered so far and ``extra`` of the nodes spliced into the edge (of a splice: into that of its
+    child); with ``paths`` the edge label ``seg`` (ids after the parent up to the node itself).
+    ``top`` holds roots (``loop`` false) and circle cores (``loop`` true, ``low`` their least id).
     """
-    seg = F.array("id") if with_paths else F.lit(None).cast("array<string>")
-    live = cut(
-        links.select("g", "id", "parent", F.lit(1).cast("bigint").alias("w"), seg.alias("seg"), (F.col("id") == F.col("parent")).alias("loop"))
-        .withColumn("loop", F.coalesce("loop", F.lit(False)))
-        .withColumn("parent", F.when(~F.col("loop"), F.col("parent")))
-    )
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    first = {"w": one, "low": F.col("id"), "acc": one, "extra": none} if depths else {}
+    if paths:
+        first["seg"] = F.array("id")
+    loop = F.coalesce(F.col("id") == F.col("parent"), F.lit(False))
+    state = links.select("g", "id", F.when(~loop, F.col("parent")).alias("parent"), loop.alias("loop"), F.lit("keep").alias("action"), F.lit(None).cast("string").alias("child"), *(c.alias(k) for k, c in first.items()))
+    open_edges = Observation()
+    state = cut(state.observe(open_edges, F.count("parent").alias("n")))
     done = Contraction()
     for turn in range(max_rounds):
-        if live.where(F.col("parent").isNotNull()).isEmpty():
-            done.top = live
-            return done
-        kids = (
-            live.where(F.col("parent").isNotNull())
-            .groupBy("g", F.col("parent").alias("id"))
-            .agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("child"))
-        )
-        coin = lambda c: F.xxhash64(F.lit(turn), "g", c).bitwiseAND(F.lit(1))
-        acted = live.join(kids, ["g", "id"], "left").withColumn(
-            "action",
-            F.when(F.col("parent").isNull(), "keep")
-            .when(F.col("n").isNull(), "rake")
-            .when((F.col("n") == 1) & (coin(F.col("id")) == 1) & (coin(F.col("child")) == 0), "splice")
-            .otherwise("keep"),
-        )
-        handed = acted.where(F.col("action") == "splice").select(
-            "g", F.col("child").alias("id"), F.col("parent").alias("up"), F.col("w").alias("up_w"), F.col("seg").alias("up_seg")
+        kept = F.col("action") == "keep"
+        # Children by parent, and the sizes of those raked in the last round.
+        edge = {"id": F.col("id"), "extra": F.col("extra")} if depths else {"id": F.col("id")}
+        kids = state.where(F.col("parent").isNotNull() & (F.col("action") != "splice")).groupBy("g", F.col("parent").alias("id"))
+        kids = kids.agg(
+            F.count_if(kept).alias("n"),
+            F.min(F.when(kept, F.struct(*(c.alias(k) for k, c in edge.items())))).alias("kid"),
+            *([F.coalesce(F.sum(F.when(~kept, F.col("acc") + F.col("extra"))), none).alias("gain")] if depths else []),
         )
+        live = state.where(kept).drop("action", "child").join(kids, ["g", "id"], "left")
+        if depths:
+            live = live.withColumn("acc", F.col("acc") + F.coalesce("gain", none)).drop("gain")
+        if not open_edges.get["n"]:
+            done.top = live.drop("n", "kid", "parent")
+            return done
+        order = lambda c: F.xxhash64(F.lit(turn), "g", c)
+        mine = order(F.col("id"))
+        peak = (mine > order(F.col("kid.id"))) & (mine > order(F.col("parent")))
+        action = F.when(F.col("parent").isNull(), "keep").when(F.coalesce("n", none) == 0, "rake").when((F.col("n") == 1) & peak, "splice").otherwise("keep")
+        acted = live.withColumn("action", action)
+        up = {"up": F.col("parent")}
+        if depths:
+            up |= {"up_w": F.col("w"), "up_low": F.col("low"), "up_extra": F.col("acc") + F.col("extra")}
+        if paths:
+            up["up_seg"] = F.col("seg")
+        handed = acted.where(F.col("action") == "splice").select("g", F.col("kid.id").alias("id"), *(c.alias(k) for k, c in up.items()))
         # A spliced-out node hands its upward edge to its only child, also to one that is raked in
         # this round: so every removed node hangs on a node that outlives the round.
-        moved = F.col("up").isNotNull()
-        step = acted.join(handed, ["g", "id"], "left").select(
-            "g",
-            "id",
-            F.when(moved, F.col("up")).otherwise(F.col("parent")).alias("parent"),
-            F.when(moved, F.col("w") + F.col("up_w")).otherwise(F.col("w")).alias("w"),
-            (F.when(moved, F.concat("up_seg", "seg")).otherwise(F.col("seg")) if with_paths else F.col("seg")).alias("seg"),
-            "loop",
-            "action",
-            F.when(F.col("action") == "splice", F.col("child")).alias("child"),
-        )
-        step = step.withColumn("loop", F.col("loop") | F.coalesce((F.col("action") == "keep") & (F.col("id") == F.col("parent")), F.lit(False)))
-        step = cut(step.withColumn("parent", F.when(~F.col("loop"), F.col("parent"))))
-        done.rounds.append(step.where(F.col("action") != "keep"))
-        live = step.where(F.col("action") == "keep").drop("action", "child")
+        moved, splice = F.col("up").isNotNull(), F.col("action") == "splice"
+        parent = F.when(moved, F.col("up")).otherwise(F.col("parent"))
+        closed = F.col("loop") | F.coalesce((F.col("action") == "keep") & (F.col("id") == parent), F.lit(False))
+        columns = {"g": F.col("g"), "id": F.col("id"), "parent": F.when(~closed, parent), "loop": closed, "action": F.col("action"), "child": F.when(splice, F.col("kid.id"))}
+        if depths:
+            columns |= {
+                "w": F.col("w") + F.coalesce("up_w", none),
+                "low": F.least("low", "up_low"),
+                "acc": F.col("acc"),
+                "extra": F.when(splice, F.col("kid.extra")).otherwise(F.col("extra") + F.coalesce("up_extra", none)),
+            }
+        if paths:
+            columns["seg"] = F.when(moved, F.concat("up_seg", "seg")).otherwise(F.col("seg"))
+        step = acted.join(handed, ["g", "id"], "left").select(*(c.alias(k) for k, c in columns.items()))
+        open_edges = Observation()
+        state = cut(step.observe(open_edges, F.count_if(kept & F.col("parent").isNotNull()).alias("n")))
+        done.rounds.append(state.where(F.col("action") != "keep"))
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 
-def circle_members(contraction: Contraction) -> DataFrame:
-    """``(g, id)`` of all nodes on a circle.
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
 
-    A spliced node lies on a circle exactly if the child it was spliced onto does; raked nodes never
-    do. So the members spread from the circle cores over splice records, until none is added.
+def spliced(contraction: Contraction, sizes: bool = True) -> DataFrame:
+    """``(g, id, on_circle, size)`` of the spliced nodes, by way of the child that each was spliced onto.
+
+    A spliced node lies on a circle exactly if its child does; raked nodes never do. Its subtree
+    holds what it had gathered, what was spliced onto its child's edge, and the child's subtree.
     """
-    members = contraction.top.where(F.col("loop")).select("g", "id")
-    if not contraction.rounds or members.isEmpty():
-        return members
-    splices = [r.where(F.col("action") == "splice").select("g", F.col("id").alias("was"), F.col("child").alias("id")) for r in contraction.rounds]
-    spliced = cut(reduce(DataFrame.unionByName, splices))
-    found = [members]
-    while not found[-1].isEmpty():
-        found.append(cut(spliced.join(found[-1], ["g", "id"]).select("g", F.col("was").alias("id"))))
-    return reduce(DataFrame.unionByName, found)
-
-
-def resolve(contraction: Contraction) -> DataFrame:
-    """``(g, id, status, root, depth, path)``: status is tree, circle or into_circle.
-
-    ``path`` holds the ids from the root to the node, depth is 0 at a root. On and below a circle
-    depth and path are null and ``root`` is the least id of the circle.
+    add = [F.col("acc") + F.col("extra")] if sizes else [F.lit(0).cast("bigint")]
+    jumps = cut(_all(contraction.rounds).where(F.col("action") == "splice").select("g", "id", F.col("child").alias("at"), add[0].alias("size")))
+    onward = jumps.select("g", F.col("id").alias("at"), F.col("at").alias("next"), F.col("size").alias("more"))
+    reach = 1
+    while reach < len(contraction.rounds):
+        # The pointer of a jump whose target is no jump has reached its end and stays.
+        jumps = cut(jumps.join(onward, ["g", "at"], "left").select("g", "id", F.coalesce("next", "at").alias("at"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")))
+        onward = jumps.select("g", F.col("id").alias("at"), F.col("at").alias("next"), F.col("size").alias("more"))
+        reach *= 2
+    acc = F.col("acc") if sizes else F.lit(0).cast("bigint")
+    raked = _all(contraction.rounds).where(F.col("action") == "rake")
+    ends = [f.select("g", F.col("id").alias("at"), F.col("loop").alias("on_circle"), acc.alias("more")) for f in ([raked, contraction.top] if sizes else [contraction.top.where("loop")])]
+    return jumps.join(_all(ends), ["g", "at"]).select("g", "id", "on_circle", (F.col("size") + F.col("more")).alias("size"))
+
+
+def circle_members(contraction: Contraction) -> DataFrame:
+    """``(g, id)`` of all nodes on a circle: the cores and the nodes spliced out of them."""
+    cores = contraction.top.where("loop").select("g", "id")
+    if not contraction.rounds or cores.isEmpty():
+        return cores
+    return cores.unionByName(spliced(contraction, sizes=False).where("on_circle").select("g", "id"))
+
+
+def resolve(contraction: Contraction, paths: bool = True) -> DataFrame:
+    """``(g, id, status, root, depth, path, size)``: status is tree, circle or into_circle.
+
+    ``path`` holds the ids from the root to the node, depth is 0 at a root, ``size`` counts the node
+    and its descendants. On and below a circle these are null and ``root`` is the least id of the
+    circle. Without ``paths`` the path is null.
     """
     tree = ~F.col("loop")
-    known = [
-        contraction.top.select(
-            "g",
-            "id",
-            tree.alias("tree"),
-            F.when(tree, F.col("id")).otherwise(F.array_min("seg")).alias("root"),
-            F.when(tree, F.lit(0).cast("bigint")).alias("depth"),
-            F.when(tree, F.array("id")).alias("path"),
+    label = {"seg": F.col("seg")} if paths else {}
+    top = contraction.top.select(
+        "g",
+        "id",
+        tree.alias("tree"),
+        F.when(tree, F.col("id")).otherwise(F.col("low")).alias("root"),
+        F.when(tree, F.lit(0).cast("bigint")).alias("w"),
+        *([F.when(tree, F.array("id")).alias("seg")] if paths else []),
+        F.when(tree, F.col("acc")).alias("acc"),
+    )
+    if not contraction.rounds:
+        return top.select("g", "id", F.when(F.col("tree"), "tree").otherwise("circle").alias("status"), "root", F.col("w").alias("depth"), (F.col("seg") if paths else F.lit(None).cast("array<string>")).alias("path"), F.col("acc").alias("size"))
+    known = [top.withColumn("at", F.lit(None).cast("string"))]
+    open_ = _all(contraction.rounds).select("g", "id", F.lit(None).cast("boolean").alias("tree"), F.lit(None).cast("string").alias("root"), "w", *label, F.when(F.col("action") == "rake", F.col("acc")).alias("acc"), F.col("parent").alias("at"))
+    reach = 1
+    while reach <= len(contraction.rounds):
+        up = _all([*known, open_]).select("g", F.col("id").alias("at"), F.col("tree").alias("up_tree"), F.col("root").alias("up_root"), F.col("w").alias("up_w"), *(F.col(c).alias(f"up_{c}") for c in label), F.col("at").alias("up_at"))
+        step = cut(
+            open_.join(up, ["g", "at"]).select(
+                "g", "id", F.col("up_tree").alias("tree"), F.col("up_root").alias("root"), (F.col("w") + F.col("up_w")).alias("w"), *(F.concat(f"up_{c}", c).alias(c) for c in label), "acc", F.col("up_at").alias("at")
+            )
         )
-    ]
-    for removed in reversed(contraction.rounds):
-        up = reduce(DataFrame.unionByName, known).select("g", F.col("id").alias("parent"), "tree", "root", F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
-        got = removed.select("g", "id", "parent", "w", "seg").join(up, ["g", "parent"], "left")
-        known.append(cut(got.select("g", "id", "tree", "root", (F.col("up_depth") + F.col("w")).alias("depth"), F.concat("up_path", "seg").alias("path"))))
-    whole = reduce(DataFrame.unionByName, known)
-    members = circle_members(contraction).withColumn("on_circle", F.lit(True))
+        known.append(step.where(F.col("root").isNotNull()))
+        open_ = step.where(F.col("root").isNull())
+        reach *= 2
+    whole = _all(known)
+    got = spliced(contraction).withColumnRenamed("size", "spliced_size")
+    cores = contraction.top.where("loop").select("g", "id", F.lit(True).alias("on_circle"), F.lit(None).cast("bigint").alias("spliced_size"))
     status = F.when(F.col("on_circle"), "circle").when(F.col("tree"), "tree").otherwise("into_circle")
-    return whole.join(members, ["g", "id"], "left").select("g", "id", status.alias("status"), "root", "depth", "path")
+    size = F.when(F.col("tree"), F.coalesce("spliced_size", "acc"))
+    path = F.col("seg") if paths else F.lit(None).cast("array<string>")
+    return whole.join(got.unionByName(cores), ["g", "id"], "left").select("g", "id", status.alias("status"), "root", F.col("w").alias("depth"), path.alias("path"), size.alias("size"))
 
 
 def current_rows(rows: DataFrame, keys: list[str], revision: str, tie: list[str]) -> DataFrame:
@@ -172,17 +219,14 @@ def style_hierarchy(style_defs: DataFrame) -> DataFrame:
     An empty table gives an empty result. ``path`` joins ids with `` > ``. On and below a circle
     ``path`` is null and ``depth`` and ``n_descendants`` are -1.
     """
-    known = resolve(contract(style_links(style_defs)))
-    below = descendants(known).groupBy("template_key", "style_id").agg(F.count(F.lit(1)).alias("n_descendants"))
-    return known.select(
+    return resolve(contract(style_links(style_defs))).select(
         F.col("g").alias("template_key"),
         F.col("id").alias("style_id"),
         "status",
         "root",
-        F.coalesce("depth", F.lit(-1).cast("bigint")).alias("depth"),
+        F.coalesce("depth", F.lit(-1)).alias("depth"),
         F.array_join("path", " > ").alias("path"),
-    ).join(below, ["template_key", "style_id"], "left").withColumn(
-        "n_descendants", F.when(F.col("status") == "tree", F.coalesce("n_descendants", F.lit(0))).otherwise(-1).cast("bigint")
+        F.coalesce(F.col("size") - 1, F.lit(-1)).alias("n_descendants"),
     )
 
 
@@ -207,5 +251,5 @@ def style_descendants(style_defs: DataFrame) -> DataFrame:
 
 def styles_in_circles(style_defs: DataFrame) -> DataFrame:
     """``(template_key, style_id)`` of styles that reach themselves by ``based_on``."""
-    members = circle_members(contract(style_links(style_defs), with_paths=False))
+    members = circle_members(contract(style_links(style_defs), depths=False, paths=False))
     return members.select(F.col("g").alias("template_key"), F.col("id").alias("style_id"))

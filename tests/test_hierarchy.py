@@ -50,10 +50,23 @@ def test_resolve_equals_walk(spark, shape):
     want = walk(links)
     assert {r.id: (r.status, r.root, r.path) for r in resolved} == want
     assert all(r.depth == len(r.path) - 1 for r in resolved if r.path)
-    members = {r.id for r in hierarchy.circle_members(contraction).collect()}
+    below = {x: sum(x in (path or []) for _, _, path in want.values()) for x in want}
+    assert all(r.size == (below[r.id] if r.status == "tree" else None) for r in resolved)
+    bare = hierarchy.resolve(hierarchy.contract(rows, paths=False), paths=False).collect()
+    assert sorted((r.id, r.status, r.root, r.depth, r.size) for r in bare) == sorted((r.id, r.status, r.root, r.depth, r.size) for r in resolved)
+    members = {r.id for r in hierarchy.circle_members(hierarchy.contract(rows, depths=False, paths=False)).collect()}
     assert members == {x for x, (status, _, _) in want.items() if status == "circle"}
 
 
+def test_sizes_of_a_long_chain(spark):
+    """Neither pairs nor paths are expanded, so the work does not grow with the square of the depth."""
+    n = 20_000
+    rows = spark.range(n).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent"))
+    got = hierarchy.resolve(hierarchy.contract(rows, paths=False), paths=False)
+    wrong = got.where((F.col("depth") != F.col("id").cast("bigint")) | (F.col("size") != n - F.col("id").cast("bigint")) | (F.col("root") != "0"))
+    assert got.count() == n and wrong.isEmpty()
+
+
 def test_style_rules(spark):
     rows = [
         style("t", "A", "B"), style("t", " B ", " A"), style("t", "C", "A"), style("t", "D", "E"), style("t", "E", "D", deleted=True), style("t", "F", "F"),
