@@ -172,4 +172,4 @@ def fragment_error(xml: Column, tag: str) -> Column:
 def header_footer_relationships(rels: Column) -> Column:
     """The relationships to headers and footers, sorted."""
     every = F.regexp_extract_all(rels, F.lit(r"(<Relationship\b[^>]*>)"), F.lit(1))
-    return F.array_sort(F.filter(every, lambda r: r.contains("/header") | r.contains("/footer")))
+    return F.array_sort(F.filter(every, lambda r: r.rlike(r'\sType="[^"]*/relationships/(header|footer)"')))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from docframe.operators.classify import merge_chunks, payload_violations
 from docframe.operators.context import MAX_CHARS, MAX_ROWS, chunk_completeness, chunk_rows, overlapping_chunks
 from docframe.operators.relational import raise_if_any
 
-MAX_REQUESTS = 10_000
+MAX_REQUESTS, POLL_SECONDS = 10_000, 30.0
 ANSWER = "classifications array<struct<paragraph_index int, csi_role string>>, notes array<string>"
 
 
@@ -34,9 +38,53 @@ def build_requests(chunks: DataFrame, instruction: str, roles: list[str], limit:
     grouped = chunks.groupBy("file_key", "chunk").agg(F.array_sort(F.collect_list(F.struct("paragraph_index", record.alias("r")))).alias("rows"))
     bundle = F.to_json(F.struct(F.transform("rows", lambda x: x["r"]).alias("paragraphs"), F.col("chunk").alias("chunk_index")))
     requests = grouped.select(ids.request_id(F.col("file_key"), F.col("chunk")).alias("custom_id"), "file_key", "chunk", request_text(instruction, roles, bundle).alias("message"))
-    if requests.limit(limit + 1).count() > limit:
+    if chunks.select("file_key", "chunk").distinct().limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} requests; split the run")
-    return requests
+    return requests.orderBy("file_key", "chunk")
+
+
+class Transport(Protocol):
+    """A service that takes requests as a batch; any object with these three methods."""
+
+    def submit(self, requests: list[dict]) -> str: ...
+
+    def status(self, batch: str) -> tuple[bool, dict[str, int]]: ...
+
+    def results(self, batch: str) -> list[dict]: ...
+
+
+def submit_and_poll(
+    requests: DataFrame, transport: Transport, poll_seconds: float = POLL_SECONDS, attempts: int = 10_000, progress: Callable[[dict[str, int]], None] | None = None, wait: Callable[[float], None] = time.sleep
+) -> DataFrame:
+    """``custom_id, status, text`` of all requests, asked once the batch has ended.
+
+    ``transport.submit`` takes the requests (at most MAX_REQUESTS, so they fit the driver) and names the
+    batch, ``status`` tells whether it has ended and its counts, which ``progress`` receives, and
+    ``results`` gives the answers. A request without an answer comes back with status ``missing``, so
+    :func:`reassemble` fails its file. Between two polls at least a second passes.
+    """
+    rows = requests.select("custom_id", "message").limit(MAX_REQUESTS + 1).collect()
+    if len(rows) > MAX_REQUESTS:
+        raise ValueError(f"more than {MAX_REQUESTS} requests; split the run")
+    batch = transport.submit([r.asDict() for r in rows])
+    for _ in range(attempts):
+        ended, counts = transport.status(batch)
+        if progress:
+            progress(counts)
+        if ended:
+            break
+        wait(max(1.0, poll_seconds))
+    else:
+        raise TimeoutError(f"batch {batch} has not ended after {attempts} polls")
+    got = requests.sparkSession.createDataFrame([(r["custom_id"], r.get("status"), r.get("text")) for r in transport.results(batch)], "custom_id string, status string, text string")
+    return requests.select("custom_id").join(got, "custom_id", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
+
+
+def notes(responses: DataFrame) -> DataFrame:
+    """``file_key, notes``: the notes of all answers of a file, in the order of its chunks."""
+    got = responses.select(ids.request_key(F.col("custom_id")).alias("file_key"), ids.request_chunk(F.col("custom_id")).alias("chunk"), answer(F.col("text"))["notes"].alias("n")).where("size(n) > 0")
+    ordered = F.array_sort(F.collect_list(F.struct("chunk", "n")))
+    return got.groupBy("file_key").agg(F.flatten(F.transform(ordered, lambda x: x["n"])).alias("notes"))
 
 
 def text_of_blocks(blocks: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.operators.relational import conflicts, duplicates, raise_if_any
+from docframe.session import cut
 
 ATTEMPTS = 3
 
@@ -61,6 +62,31 @@ def classify(open_rows: DataFrame, keys: list[str], roles: list[str], classifier
     return picked.mapInPandas(run, schema)
 
 
+def classify_chunks(chunks: DataFrame, roles: list[str], classifier: Classifier | None = None) -> DataFrame:
+    """``file_key, chunk, paragraph_index, csi_role`` for every row of every chunk.
+
+    ``chunks(file_key, chunk, paragraph_index, text, ...)``; a chunk is one request and bounded by the
+    chunk size. A classifier with ``classify_rows(rows, roles)`` gets the rows of a chunk in order
+    with all their columns, such as the texts before and after; one without gets the texts.
+    """
+    model = classifier or RuleClassifier()
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("paragraph_index")
+        if hasattr(model, "classify_rows"):
+            records = rows.astype(object).where(rows.notna(), None).to_dict("records")
+            answer = with_retries(lambda: model.classify_rows(records, roles))
+        else:
+            texts = rows["text"].fillna("").tolist()
+            answer = with_retries(lambda: model.classify(texts, roles))
+        if len(answer) != len(rows):
+            raise ValueError("a classifier must answer once per row")
+        return rows[["file_key", "chunk", "paragraph_index"]].assign(csi_role=answer)
+
+    kind = {f.name: f.dataType.simpleString() for f in chunks.schema}
+    return chunks.groupBy("file_key", "chunk").applyInPandas(run, f"file_key string, chunk {kind['chunk']}, paragraph_index {kind['paragraph_index']}, csi_role string")
+
+
 def payload_violations(payload: DataFrame, allowed: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:
     """``keys, rule``: null or repeated keys, keys that are not allowed, roles that are not allowed."""
     missing_key = F.lit(False)
@@ -76,7 +102,11 @@ def payload_violations(payload: DataFrame, allowed: DataFrame, keys: list[str],
 
 
 def merge_chunks(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """One role per key from overlapping chunks; disagreement is an error, not last-wins."""
+    """One role per key from overlapping chunks; disagreement is an error, not last-wins.
+
+    The chunks are written first, so a classifier behind them answers once.
+    """
+    chunks = cut(chunks.select(*keys, "csi_role"))
     raise_if_any(conflicts(chunks, keys, "csi_role"), "chunks disagree", 10)
     return chunks.groupBy(*keys).agg(F.min("csi_role").alias("csi_role"))
 

@@ -7,20 +7,22 @@ itself is. Everything that relates packages or catalogues to each other stays re
 from __future__ import annotations
 
 import difflib
+import time
 import traceback
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.functions import casing, edit, markup
-from docframe.operators import environment, numbering
-from docframe.operators.classify import Classifier, classify
-from docframe.operators.numbering import Plan
+from docframe.functions import edit, markup, text
+from docframe.operators import batches, environment, footers, numbering
+from docframe.operators.classify import Classifier, classify_chunks, merge_chunks
 from docframe.operators.paragraphs import Analysis, analyse
 from docframe.operators.relational import compare_maps, missing_from_bag, raise_if_any
-from docframe.operators.styles import Sheet, has_layout, import_styles
+from docframe.operators.styles import Sheet, has_layout, import_styles, style_blocks
+from docframe.session import cut, cut_counted
 from docframe.sources import docx, registry
 
 Parts = dict[str, bytes]
@@ -84,34 +86,22 @@ def markup_open(xml: str, at: int) -> int | None:
     return None
 
 
-def tokens_of(xml: str, spans: list[tuple[int, int]], classes: list[tuple[int, str]]) -> dict[str, str]:
-    """Section number and title of a document: the first of each role in payload order."""
-    out: dict[str, str] = {}
-    for index, role in classes:
-        if role in ("SectionID", "SectionTitle") and role not in out and 0 <= index < len(spans):
-            block = xml[slice(*spans[index])]
-            text = " ".join("".join(environment.html.unescape(edit.inner(block, n)) for n in edit.visible_text_nodes(block)).split())
-            out[role] = text
-            if role == "SectionID":
-                out["SectionID_numeric"] = casing.section_number(text)
-            else:
-                out["SectionTitle_display"] = casing.title_case(text)
-    return out
-
-
-def import_numbers(parts: Parts, template: dict, sheet: Sheet, style_ids: list[str]) -> Plan:
-    """The template's numbering that the styles use, put into the package; an error if it cannot be."""
-    used = {s for s in sheet.used_numbers() if s in style_ids}
-    if not used:
-        return Plan()
-    known = template.get("numbering") or {}
-    if not known.get("abstract_nums") and not known.get("nums"):
-        raise ValueError(f"styles {sorted(used)} are numbered but the template has no numbering")
-    if NUMBERING not in parts:
-        raise ValueError(f"styles {sorted(used)} are numbered but the package has no numbering part")
-    made = numbering.plan(known, sheet, environment.read(parts, NUMBERING), style_ids)
-    environment.write(parts, NUMBERING, numbering.inject(environment.read(parts, NUMBERING), made))
-    return made
+def plan_numbers(parts: DataFrame, final: DataFrame, config: Config) -> numbering.Plan:
+    """The numbering that the styles of each package's classifications use, from the template."""
+    spark = parts.sparkSession
+    roles = spark.createDataFrame(list(config.roles.items()), "csi_role string, style_id string")
+    sheet = spark.createDataFrame([("", config.sheet)], "template_key string, xml string")
+    used = numbering.style_numbers(style_blocks(sheet, ["template_key"]), ["template_key"])
+    usage = final.join(roles, "csi_role").select("file_key", "style_id").distinct().join(used, "style_id")
+    known = config.template.get("numbering") or {}
+    nums = [("", n["numId"], n["abstractNumId"], n["xml"] or "") for n in known.get("nums") or []]
+    abstracts = [("", a["abstractNumId"], a["xml"] or "") for a in known.get("abstract_nums") or []]
+    return numbering.plan(
+        usage,
+        spark.createDataFrame(nums, "template_key string, num_id int, abstract_id int, xml string"),
+        spark.createDataFrame(abstracts, "template_key string, abstract_id int, xml string"),
+        docx.part_text(parts, NUMBERING),
+    )
 
 
 def apply_roles(xml: str, styles: Sheet, roles: dict[str, str], classes: list[tuple[int, str]]) -> tuple[str, Report]:
@@ -154,19 +144,14 @@ def snapshot(parts: Parts) -> dict[str, bytes]:
     return held
 
 
-def process_package(parts: Parts, classes: list[tuple[int, str]], config: Config) -> tuple[Parts, Report, list[str]]:
+def process_package(parts: Parts, classes: list[tuple[int, str]], config: Config, numbers: dict[str, tuple[int, int]]) -> tuple[Parts, Report, list[str]]:
     """The package in the template's styles and environment, its report and its log."""
     parts, sheet = dict(parts), Sheet(config.sheet)
-    xml = environment.read(parts, DOCUMENT)
-    tokens = tokens_of(xml, block_spans(xml), classes)
     log = environment.apply_environment(parts, config.template, config.raw_settings)
-    if config.tokens and tokens:
-        log += environment.patch_footers(parts, config.tokens, tokens)
     needed = sorted({config.roles[r] for _, r in classes if r in config.roles})
-    made = import_numbers(parts, config.template, sheet, needed)
-    styles, done = import_styles(environment.read(parts, STYLES), sheet, needed, made.styles)
+    styles, done = import_styles(environment.read(parts, STYLES), sheet, needed, numbers)
     environment.write(parts, STYLES, styles)
-    log.append(f"styles: {sum(a in ('insert', 'replace') for a in done.values())} of {len(done)} written, {len(made.nums)} numbers")
+    log.append(f"styles: {sum(a in ('insert', 'replace') for a in done.values())} of {len(done)} written, {len(numbers)} numbered")
     before = snapshot(parts)
     document, report = apply_roles(environment.read(parts, DOCUMENT), Sheet(styles), config.roles, classes)
     environment.write(parts, DOCUMENT, document)
@@ -176,43 +161,54 @@ def process_package(parts: Parts, classes: list[tuple[int, str]], config: Config
     return parts, report, log
 
 
-RESULT = "file_key string, kind string, ordinal int, part_name string, compress_type int, content binary, success boolean, error string, log array<string>, modified int, requested int"
+RESULT = "file_key string, kind string, part_name string, content binary, success boolean, error string, log array<string>, modified int, requested int, duration_seconds double"
 
 
 def apply(parts: DataFrame, final: DataFrame, config: Config) -> DataFrame:
-    """``RESULT`` rows: the parts of every package that succeeded (kind part), and one result row per package (kind result).
+    """``RESULT`` rows of every package: its changed and new parts (kind part), the parts to leave out (kind gone), one row of kind result.
 
     A package that fails keeps no parts and says why; others are not affected.
     """
+    planned = plan_numbers(parts, final, config)
+    injected = numbering.inject(docx.part_text(parts, NUMBERING), planned)
+    columns = {"paragraph_index": "int", "csi_role": "string", "style_id": "string", "old_id": "int", "new_id": "int", "xml": "string", "problem": "string"}
+
+    def shaped(rows: DataFrame) -> DataFrame:
+        return rows.select("file_key", *((F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()))
 
-    def run(package: pd.DataFrame, classified: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in RESULT.split(", ")]
+    # One line per fact about a package: its classifications, the numbers of its styles, its numbering part, what is wrong.
+    wrong = planned.violations.select("file_key", F.format_string("numbering: %s %s for styles %s", "rule", F.col("item").cast("string"), F.array_join("styles", ", ")).alias("problem"))
+    facts = shaped(final).unionByName(shaped(planned.styles)).unionByName(shaped(injected.withColumnRenamed("error", "problem"))).unionByName(shaped(wrong))
+
+    def run(package: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in RESULT.split(", ")]
         if package.empty:
-            return pd.DataFrame(columns=columns)
-        key = package["file_key"].iloc[0]
-        held = {r.part_name: (r.ordinal, r.compress_type, bytes(r.content)) for r in package.sort_values("ordinal").itertuples() if r.part_name}
+            return pd.DataFrame(columns=names)
+        key, began = package["file_key"].iloc[0], time.perf_counter()
+        old = {r.part_name: bytes(r.content) for r in package.sort_values("ordinal").itertuples() if r.part_name and r.part_name != docx.COMMENT}
+        classified = told[told["csi_role"].notna()]
         rows: list[tuple] = []
         try:
             if (broken := package["error"].dropna()).size:
                 raise ValueError(broken.iloc[0])
+            if (problems := sorted(told["problem"].dropna())):
+                raise ValueError("; ".join(problems))
+            held = dict(old)
+            for xml in told["xml"].dropna():
+                held[NUMBERING] = xml.encode("utf-8")
+            numbers = {r.style_id: (int(r.old_id), int(r.new_id)) for r in told[told["style_id"].notna()].itertuples()}
             classes = [(int(i), r) for i, r in sorted(zip(classified["paragraph_index"], classified["csi_role"], strict=True))]
-            old = {n: c for n, (_, _, c) in held.items() if n != docx.COMMENT}
-            new, report, log = process_package(old, classes, config)
-            if docx.COMMENT in held:
-                new[docx.COMMENT] = held[docx.COMMENT][2]
-            behind = max((o for o, _, _ in held.values()), default=0) + 1
-            for i, (name, content) in enumerate(new.items()):
-                ordinal, kind, _ = held.get(name, (behind + i, 8, b""))
-                rows.append((key, "part", int(ordinal), name, int(kind), content, None, None, None, None, None))
-            rows.append((key, "result", None, None, None, None, True, None, log, report.modified, report.requested))
+            new, report, log = process_package(held, classes, config, numbers)
+            rows += ((key, "part", name, content, None, None, None, None, None, None) for name, content in new.items() if old.get(name) != content)
+            rows += ((key, "gone", name, None, None, None, None, None, None, None) for name in old if name not in new)
+            rows.append((key, "result", None, None, True, None, log, report.modified, report.requested, time.perf_counter() - began))
         except Exception as error:
-            rows = [(key, "result", None, None, None, None, False, str(error) or type(error).__name__, [traceback.format_exc(limit=-1)], 0, len(classified))]
-        out = pd.DataFrame(rows, columns=columns)
-        return out.astype({c: "Int32" for c in ("ordinal", "compress_type", "modified", "requested")})
+            rows = [(key, "result", None, None, False, str(error) or type(error).__name__, [traceback.format_exc(limit=-1)], 0, len(classified), time.perf_counter() - began)]
+        out = pd.DataFrame(rows, columns=names)
+        return out.astype({c: "Int32" for c in ("modified", "requested")})
 
-    left = parts.select("file_key", "ordinal", "part_name", "compress_type", "content", "error")
-    right = final.select("file_key", F.col("paragraph_index").cast("int").alias("paragraph_index"), "csi_role")
-    return left.groupBy("file_key").cogroup(right.groupBy("file_key")).applyInPandas(run, RESULT)
+    left = parts.select("file_key", "ordinal", "part_name", "content", "error")
+    return left.groupBy("file_key").cogroup(facts.groupBy("file_key")).applyInPandas(run, RESULT)
 
 
 def analyse_packages(parts: DataFrame, config: Config) -> Analysis:
@@ -220,33 +216,73 @@ def analyse_packages(parts: DataFrame, config: Config) -> Analysis:
 
 
 def classify_packages(analysis: Analysis, config: Config, classifier: Classifier | None = None) -> DataFrame:
-    """Rule roles and the classifier's roles of the open rows."""
-    open_rows = analysis.unresolved
-    roles = config.available or list(config.roles)
-    answered = classify(open_rows, ["file_key", "paragraph_index"], roles, classifier)
-    return analysis.deterministic.unionByName(answered)
-
-
-def run_batch(spark, folder: str, contracts: str, out: str, classifier: Classifier | None = None, strict: bool = False) -> DataFrame:
-    """Process all packages of a folder into ``out``; gives ``file_key, success, error, log, modified, requested`` by key.
-
-    ``strict`` writes nothing unless every package succeeds.
+    """Rule roles and the classifier's roles of the open rows, asked in chunks with the texts around each row."""
+    rows = analysis.unresolved.select("file_key", "paragraph_index", "text", "prev_text", "next_text", "marker_type", "p_style")
+    labelled = classify_chunks(batches.chunked(rows), config.available or list(config.roles), classifier)
+    return analysis.deterministic.unionByName(merge_chunks(labelled, ["file_key", "paragraph_index"]))
+
+
+def patched_footers(parts: DataFrame, replacements: DataFrame, gone: DataFrame, final: DataFrame, config: Config) -> DataFrame:
+    """``file_key, part_name, content``: the footers that hold tokens of the template, with those of the document."""
+    keys = ["file_key", "part_name"]
+    footer = F.col("part_name").rlike(r"^word/footer[^/]*\.xml$")
+    kept = parts.where(footer).select(*keys, "content").join(replacements.select(*keys).unionByName(gone.select(*keys)), keys, "left_anti")
+    rows = kept.unionByName(replacements.where(footer).select(*keys, "content")).select(*keys, F.decode("content", "UTF-8").alias("xml"))
+    paragraphs = markup.explode_blocks(docx.part_text(parts, DOCUMENT), "xml", "w:p", "paragraph_index").select("file_key", "paragraph_index", markup.block_text(F.col("block")).alias("text"))
+    title, number = config.tokens.get("SectionTitle") or "", config.tokens.get("SectionID_numeric")
+    number = F.lit(number) if number else text.section_number(F.lit(config.tokens.get("SectionID") or ""))
+    tokens = footers.document_tokens(final, paragraphs).withColumn("title", F.lit(title)).withColumn("number", number)
+    changed = footers.patch_tokens(rows, tokens).withColumnRenamed("xml", "new").join(rows, keys).where("new <> xml")
+    return changed.select(*keys, F.encode("new", "UTF-8").alias("content"))
+
+
+def run_batch(
+    spark, folder: str, contracts: str, out: str, classifier: Classifier | None = None, strict: bool = False, progress: Callable[[str, dict[str, int]], None] | None = None
+) -> DataFrame:
+    """Process all packages of a folder into ``out``; one row per package, by key.
+
+    Gives ``file_key, source, success, error, log, modified, requested, duration_seconds, path, n_bytes``.
+    A package fails alone: by an archive that cannot be read, by a step, by a part that must not be
+    patched or is not well-formed, or by a paragraph that changed by more than an edit may. Only
+    packages without any such problem are written. ``strict`` writes nothing unless every package
+    succeeds. ``progress`` is told the counts of each stage, observed while the stage runs.
     """
-    from docframe.session import cut
-
+    tell = progress or (lambda stage, counts: None)
     config = load_config(spark, contracts)
-    parts = cut(docx.read_packages(spark, folder))
-    final = cut(classify_packages(analyse_packages(parts, config), config, classifier))
-    done = cut(apply(parts, final, config))
-    results = done.where("kind = 'result'").select("file_key", "success", "error", "log", "modified", "requested")
+    parts, counts = cut_counted(docx.read_packages(spark, folder), parts=F.count(F.lit(1)), unreadable=F.count("error"))
+    tell("read", counts)
+    final, counts = cut_counted(classify_packages(analyse_packages(parts, config), config, classifier), paragraphs=F.count(F.lit(1)))
+    tell("classify", counts)
+    done, counts = cut_counted(apply(parts, final, config), packages=F.count_if(F.col("kind") == "result"), failed=F.count_if(~F.col("success")), modified=F.sum("modified"))
+    tell("apply", counts)
+    keys = ["file_key", "part_name"]
+    made, gone = done.where("kind = 'part'").select(*keys, "content"), done.where("kind = 'gone'").select(*keys)
+    if config.tokens:
+        footed = cut(patched_footers(parts, made, gone, final, config))
+        made = made.join(footed.select(*keys), keys, "left_anti").unionByName(footed)
+    problems = docx.patch_violations(made, gone).select("file_key", "error").unionByName(contract_violations(parts, made))
+    problems = cut(problems.groupBy("file_key").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("problem")))
+    results = done.where("kind = 'result'").drop("kind", "part_name", "content").join(problems, "file_key", "left")
+    results = results.withColumn("success", F.col("success") & F.col("problem").isNull()).withColumn("error", F.coalesce("error", "problem")).drop("problem")
+    results = cut(parts.groupBy("file_key").agg(F.min("path").alias("source")).join(results, "file_key"))
     if strict:
         raise_if_any(results.where("not success").select("file_key", "error"), "packages failed")
-    made = done.where("kind = 'part'")
-    raise_if_any(docx.xml_errors(made), "parts that are not well-formed")
-    written = docx.write_packages(made, out)
+    good = results.where("success").select("file_key")
+    only_good = lambda rows: rows.join(good, "file_key", "left_semi")
+    written, counts = cut_counted(docx.write_packages(docx.patch_packages(only_good(parts), only_good(made), only_good(gone), check=False), out), packages=F.count(F.lit(1)), n_bytes=F.sum("n_bytes"))
+    tell("write", counts)
     return results.join(written, "file_key", "left").orderBy("file_key")
 
 
+def contract_violations(parts: DataFrame, made: DataFrame) -> DataFrame:
+    """``file_key, error`` of the paragraphs without section properties that changed by more than an edit may, with their difference."""
+    changes = contract_changes(docx.part_text(parts, DOCUMENT), docx.part_text(made, DOCUMENT).select("file_key", "xml"))
+    touched = changes.join(made.where(F.col("part_name") == DOCUMENT).select("file_key"), "file_key", "left_semi")
+    section = lambda c: F.coalesce(F.contains(c, F.lit("<w:sectPr")), F.lit(False))
+    differs = edit.column(difference, 2)(F.coalesce("before", F.lit("")), "after")
+    return touched.where(~section(F.col("before")) & ~section(F.col("after"))).select("file_key", F.format_string("paragraph %d changed: %s", "idx", differs).alias("error"))
+
+
 def contract_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Paragraphs that differ by more than an edit may change: ``file_key, idx`` with both forms."""
     forms = [markup.explode_blocks(d.select("file_key", "xml"), "xml", "w:p").select("file_key", "idx", markup.contract_form(F.col("block")).alias("form")) for d in (before, after)]

@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from docframe.functions import edit
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docframe.functions import edit, markup
 
 # Styles that exist without a definition, and run properties an imported style must name itself.
 IMPLICIT = {"Normal", "DefaultParagraphFont", "TableNormal", "NoList"}
@@ -13,6 +16,17 @@ HARDENED = ("w:rFonts", "w:sz", "w:szCs", "w:lang")
 MAX_HOPS = 50
 
 
+def style_blocks(sheets: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, pos, style_id, xml`` of all style blocks of ``sheets(keys, xml)`` in order; blocks without id are left out."""
+    rows = sheets.select(*keys, F.posexplode(markup.blocks(F.col("xml"), "w:style")).alias("pos", "xml"))
+    return rows.select(*keys, "pos", markup.attribute(F.col("xml"), "w:style", "w:styleId").alias("style_id"), "xml").where("style_id is not null")
+
+
+def first_and_last(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, style_id, first_xml, last_xml``: the block of an id that wins as a definition, and the one that wins in a map."""
+    return blocks.groupBy(*keys, "style_id").agg(F.min_by("xml", "pos").alias("first_xml"), F.max_by("xml", "pos").alias("last_xml"))
+
+
 @dataclass
 class Sheet:
     """A style sheet with its blocks by id; the first block of an id is the one that counts."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -37,22 +39,46 @@ def cut(df: DataFrame) -> DataFrame:
 
     Unlike a checkpointed frame, a table also gives the planner its true size. The size estimate of
     a join is the product of its sides, and a checkpoint keeps it: in a loop of joins that number
-    triples its digits each round. Tables live until the application ends.
+    triples its digits each round. Tables live until :func:`release` or the end of the application.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
+        atexit.unregister(_remove_tables)
         atexit.register(_remove_tables)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cut` with aggregates observed while the table is written, without a further pass."""
+    seen = Observation()
+    written = cut(df.observe(seen, *(c.alias(name) for name, c in counts.items())))
+    return written, dict(seen.get)
+
+
+def release(since: int = 0) -> None:
+    """Delete the tables written since the ``since``-th; frames that read them cannot be used any more."""
+    while len(_written) > since:
+        spark, path = _written.pop()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """Delete the tables written inside when the block ends, for long sessions that run one query after another."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        release(before)
+
+
 def _remove_tables() -> None:
-    for spark, path in _written:
-        try:
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session is gone; the folder's owner cleans up
-            return
+    try:
+        release()
+    except Exception:  # the session is gone; the folder's owner cleans up
+        return

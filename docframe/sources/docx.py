@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import os
 import uuid
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,10 @@ PATCHABLE = [
 PATCHABLE_NUMBERED = r"^word/(header[0-9]+\.xml|footer[0-9]+\.xml|_rels/header[0-9]+\.xml\.rels|_rels/footer[0-9]+\.xml\.rels)$"
 
 
+def _uri(folder: str) -> str:
+    return folder if "://" in folder else os.path.abspath(folder.removeprefix("file:"))
+
+
 def expand(files: DataFrame) -> DataFrame:
     """``PARTS`` rows of ``files(file_key, path, content)``; an unreadable archive gives one row with ``error``."""
 
@@ -35,25 +41,33 @@ def expand(files: DataFrame) -> DataFrame:
         names = [p.split()[0] for p in PARTS.split(", ")]
         types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.string()]
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one archive in memory at a time, one batch out per archive
+                key, path, content = (batch.column(c)[i].as_py() for c in ("file_key", "path", "content"))
                 rows = []
                 try:
-                    with zipfile.ZipFile(io.BytesIO(row["content"])) as archive:
+                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
                         if archive.comment:
                             rows.append((-1, COMMENT, 0, archive.comment, None))
-                        for i, info in enumerate(archive.infolist()):
-                            rows.append((i, info.filename, info.compress_type, archive.read(info), None))
+                        for ordinal, info in enumerate(archive.infolist()):
+                            rows.append((ordinal, info.filename, info.compress_type, archive.read(info), None))
                 except (zipfile.BadZipFile, RuntimeError, OSError, TypeError, ValueError) as error:
                     rows = [(None, None, None, None, f"{type(error).__name__}: {error}")]
-                columns = zip(*((row["file_key"], row["path"], *r) for r in rows), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names) if rows else pa.RecordBatch.from_pylist([], pa.schema(list(zip(names, types, strict=True))))
+                columns = list(zip(*((key, path, *r) for r in rows), strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return files.select("file_key", "path", "content").mapInArrow(run, PARTS)
 
 
 def read_packages(spark: SparkSession, folder: str, pattern: str = "*.docx") -> DataFrame:
-    """The parts of all packages directly in a folder. Keys keep equal base names apart; Spark's listing leaves out empty files."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    """The parts of all packages directly in a folder; keys keep equal base names apart.
+
+    Spark's scan leaves out empty files; those found in the listing come as unreadable archives.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    system, root = pafs.FileSystem.from_uri(_uri(folder))
+    empty = [f"file:{i.path}" if isinstance(system, pafs.LocalFileSystem) else i.path for i in system.get_file_info(pafs.FileSelector(root)) if i.is_file and i.size == 0 and fnmatch.fnmatch(i.base_name, pattern)]
+    if empty:
+        files = files.unionByName(spark.createDataFrame([(path, bytearray()) for path in empty], "path string, content binary"))
     return expand(files.select(file_key(F.col("path")).alias("file_key"), "path", "content"))
 
 
@@ -86,18 +100,33 @@ def xml_errors(parts: DataFrame) -> DataFrame:
     return parts.select("file_key", "part_name", _xml_error("part_name", "content").alias("error")).where("error is not null")
 
 
-def patch_packages(base: DataFrame, replacements: DataFrame, excluded: DataFrame) -> DataFrame:
+def namespace_errors(parts: DataFrame) -> DataFrame:
+    """``file_key, part_name, error`` of parts with prefixes that a serializer made up (``ns0:``), which Word does not take."""
+    text = F.decode("content", "UTF-8")
+    made_up = F.regexp_extract(text, r"(?:xmlns:|</?)(ns[0-9]+)[:=\s]", 1)
+    xml = F.col("part_name").rlike(r"\.(xml|rels)$")
+    return parts.where(xml).select("file_key", "part_name", F.when(made_up != "", F.format_string("%s: made-up prefix %s", "part_name", made_up)).alias("error")).where("error is not null")
+
+
+def patch_violations(replacements: DataFrame, excluded: DataFrame) -> DataFrame:
+    """``file_key, part_name, error``: names that must not be patched, replaced parts that do not parse or have made-up prefixes."""
+    names = replacements.select("file_key", "part_name").unionByName(excluded.select("file_key", "part_name"))
+    forbidden = names.where(~patchable(F.col("part_name"))).select("file_key", "part_name", F.concat("part_name", F.lit(": must not be patched")).alias("error"))
+    return forbidden.unionByName(xml_errors(replacements)).unionByName(namespace_errors(replacements))
+
+
+def patch_packages(base: DataFrame, replacements: DataFrame, excluded: DataFrame, check: bool = True) -> DataFrame:
     """Base parts with replaced contents, without excluded ones, new parts behind them; order and compression kept.
 
-    ``replacements(file_key, part_name, content)``, ``excluded(file_key, part_name)``. Nothing is
-    returned unless every name may be patched and every replaced XML part parses.
+    ``replacements(file_key, part_name, content)``, ``excluded(file_key, part_name)``; a part that is
+    both is replaced. With ``check`` nothing is returned unless :func:`patch_violations` finds nothing.
     """
-    names = replacements.select("file_key", "part_name").unionByName(excluded.select("file_key", "part_name"))
-    raise_if_any(names.where(~patchable(F.col("part_name"))), "parts that must not be patched")
-    raise_if_any(xml_errors(replacements), "parts that are not well-formed")
+    if check:
+        raise_if_any(patch_violations(replacements, excluded), "parts that must not be patched or are not well-formed")
     keys = ["file_key", "part_name"]
     rows = base.select("file_key", "ordinal", "part_name", "compress_type", "content")
-    patched = patch_parts(rows, replacements.select(*keys, "content"), excluded, keys, "content")
+    gone = excluded.select(*keys).join(replacements.select(*keys), keys, "left_anti")
+    patched = patch_parts(rows, replacements.select(*keys, "content"), gone, keys, "content")
     last = F.coalesce("ordinal", F.lit(2**31 - 1))
     return patched.withColumn("ordinal", last).withColumn("compress_type", F.coalesce("compress_type", F.lit(zipfile.ZIP_DEFLATED)))
 
@@ -127,19 +156,22 @@ def build_packages(parts: DataFrame) -> DataFrame:
 def write_packages(parts: DataFrame, folder: str, suffix: str = ".docx") -> DataFrame:
     """Write one archive per key into a folder that all executors share; gives ``file_key, path, n_bytes``.
 
-    Each file is written under another name and then renamed, so a repeated task leaves one whole file.
+    The folder may lie in any file system that Arrow knows by its URI. Each file is written under
+    another name and then moved, so a repeated task leaves one whole file.
     """
+    uri = _uri(folder)
 
     def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        system, root = pafs.FileSystem.from_uri(uri)
+        system.create_dir(root, recursive=True)
         for batch in batches:
             rows = []
             for row in batch.itertuples():
-                path = os.path.join(folder, row.file_key + suffix)
+                path = f"{root}/{row.file_key}{suffix}"
                 draft = f"{path}.{uuid.uuid4().hex}"
-                with open(draft, "wb") as out:
+                with system.open_output_stream(draft) as out:
                     out.write(bytes(row.content))
-                os.replace(draft, path)
+                system.move(draft, path)
                 rows.append((row.file_key, path, len(row.content)))
             yield pd.DataFrame(rows, columns=["file_key", "path", "n_bytes"])
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docframe.functions import markup
-from docframe.operators import batches, pipeline
+from docframe.operators import batches, classify, pipeline
 
 ROLES = ["PART", "PARAGRAPH"]
 
@@ -62,6 +62,57 @@ def test_reports(spark):
     assert {r.role: r.mapped for r in batches.preflight_report(final, styles).collect()} == {"PART": True, "ODD": False}
     blocks = spark.sql("select array(struct('text' as type, 'a' as text), struct('thinking' as type, 'b' as text), struct('text' as type, 'c' as text)) as b")
     assert blocks.select(batches.text_of_blocks(F.col("b"))).first()[0] == "ac"
-    rels = spark.sql("""select '<R><Relationship Id="2" Type="x/header"/><Relationship Id="1" Type="x/footer"/><Relationship Id="0" Type="x/styles"/></R>' as r""")
+    rels = spark.sql("""select '<R><Relationship Id="2" Type="x/relationships/header"/><Relationship Id="1" Type="x/relationships/footer"/><Relationship Id="0" Type="x/relationships/styles" Target="a/header"/></R>' as r""")
     assert len(rels.select(markup.header_footer_relationships(F.col("r"))).first()[0]) == 2
     assert "-a" in pipeline.difference("a\nb", "c\nb")
+
+
+class Service:
+    """A transport that ends at the third look and loses what it is told to."""
+
+    def __init__(self, lose=()):
+        self.looks, self.lose = 0, lose
+
+    def submit(self, requests):
+        self.requests = requests
+        return "b1"
+
+    def status(self, batch):
+        self.looks += 1
+        return self.looks == 3, {"done": self.looks}
+
+    def results(self, batch):
+        import json
+        import re
+
+        for r in self.requests:
+            if r["custom_id"] not in self.lose:
+                rows = [{"paragraph_index": int(i), "csi_role": "PARAGRAPH"} for i in re.findall(r'"paragraph_index":([0-9]+)', r["message"])]
+                yield {"custom_id": r["custom_id"], "status": "succeeded", "text": json.dumps({"classifications": rows, "notes": [f"note {r['custom_id'][-1]}"]})}
+
+
+def test_submit_and_poll(spark, rows):
+    chunks = batches.chunked(rows, 0, 1500, 300)
+    requests = batches.build_requests(chunks, "Do.", ROLES)
+    counts, pauses = [], []
+    responses = batches.submit_and_poll(requests, Service(), 0.1, progress=counts.append, wait=pauses.append)
+    assert counts == [{"done": 1}, {"done": 2}, {"done": 3}] and pauses == [1.0, 1.0]
+    final, failed = batches.reassemble(chunks, responses, ROLES)
+    assert final.count() == 61 and failed.count() == 0
+    notes = {r.file_key: r.notes for r in batches.notes(responses).collect()}
+    assert notes["b"] == ["note 0"] and notes["a"][:2] == ["note 0", "note 1"]
+    _, failed = batches.reassemble(chunks, batches.submit_and_poll(requests, Service({"a__chunk1"}), wait=pauses.append), ROLES)
+    assert [(r.file_key, "missing" in r.reason or "expected" in r.reason) for r in failed.collect()] == [("a", True)]
+    with pytest.raises(TimeoutError):
+        batches.submit_and_poll(requests, Service(), attempts=2, wait=pauses.append)
+
+
+def test_classifier_sees_the_rows_of_its_chunk(spark, rows):
+    class Reader:
+        def classify_rows(self, records, roles):
+            assert [r["paragraph_index"] for r in records] == sorted(r["paragraph_index"] for r in records)
+            return ["PART" if r["prev_text"] is None else "PARAGRAPH" for r in records]
+
+    seen = rows.withColumn("prev_text", F.when(F.col("paragraph_index") > 0, "x"))
+    got = classify.merge_chunks(classify.classify_chunks(batches.chunked(seen, 0, 2500, 300), ROLES, Reader()), ["file_key", "paragraph_index"])
+    assert {(r.file_key, r.paragraph_index) for r in got.where("csi_role = 'PART'").collect()} == {("a", 0)} and got.count() == 61

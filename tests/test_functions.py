@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docframe.functions import casing, edit, ids, markup, text
+from docframe.functions import edit, ids, markup, text
 from docframe.operators import context, relational
 from docframe.operators.styles import Sheet, import_styles, same
 
@@ -63,13 +63,13 @@ def test_strip_is_idempotent(spark):
 
 def test_case(spark):
     values = ["DIRECT-DIGITAL HVAC", "O'BRIEN AIR", "Mixed CASE", "", "lower words", "Air And water Pipe"]
-    assert column(spark, values, text.title_case) == [casing.title_case(v) for v in values] == ["Direct-Digital HVAC", "O'Brien Air", "Mixed Case", "", "lower words", "Air And water Pipe"]
-    assert column(spark, values, text.case_pattern) == [casing.case_pattern(v) for v in values] == ["upper", "upper", "title", "unknown", "mixed", "title"]
+    assert column(spark, values, text.title_case) == ["Direct-Digital HVAC", "O'Brien Air", "Mixed Case", "", "lower words", "Air And water Pipe"]
+    assert column(spark, values, text.case_pattern) == ["upper", "upper", "title", "unknown", "mixed", "title"]
 
 
 def test_section_number(spark):
     values = ["SECTION 09 13 29 - X", "no 4 and 5", "none", ""]
-    assert column(spark, values, text.section_number) == [casing.section_number(v) for v in values] == ["09 13 29", "4 5", "", ""]
+    assert column(spark, values, text.section_number) == ["09 13 29", "4 5", "", ""]
 
 
 def test_blocks(spark):

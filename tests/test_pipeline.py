@@ -94,8 +94,14 @@ def test_batch(spark, tmp_path, contracts):
     (source / "broken.docx").write_bytes(b"no archive")
     (source / "nonum.docx").write_bytes(package(**{"word/numbering.xml": None}))
     (source / "other.txt").write_bytes(b"")
-    results = {r.file_key.split("__")[0]: r for r in pipeline.run_batch(spark, str(source), str(contracts), str(out)).collect()}
-    assert set(results) == {"good", "broken", "nonum"}
+    (source / "empty.docx").write_bytes(b"")
+    (source / "odd.docx").write_bytes(package(**{"word/theme/theme1.xml": "<a/>", "word/footer1x.xml": "<ns0:ftr xmlns:ns0='n'/>"}))
+    stages = {}
+    results = {r.file_key.split("__")[0]: r for r in pipeline.run_batch(spark, str(source), str(contracts), str(out), progress=stages.__setitem__).collect()}
+    assert set(results) == {"good", "broken", "nonum", "empty", "odd"}
+    assert list(stages) == ["read", "classify", "apply", "write"] and stages["read"]["unreadable"] == 2 and stages["apply"]["packages"] == 5 and stages["write"]["packages"] == 1
+    assert not results["empty"].success and results["empty"].source.endswith("empty.docx") and results["good"].duration_seconds > 0
+    assert not results["odd"].success and "footer1x.xml: must not be patched" in results["odd"].error and results["odd"].path is None
     assert results["good"].success, results["good"].error
     assert not results["broken"].success and not results["nonum"].success and "numbering" in results["nonum"].error
     (path,) = out.glob("*.docx")
@@ -190,8 +196,24 @@ def test_patch_packages(spark, tmp_path):
     with zipfile.ZipFile(io.BytesIO(bytes(content))) as archive:
         assert archive.namelist() == ["[Content_Types].xml", "word/document.xml", "word/styles.xml", "word/numbering.xml", "word/_rels/document.xml.rels", "word/media/x.bin"]
         assert archive.read("word/styles.xml") == b"<a/>" and archive.comment == b"kept"
-    with pytest.raises(ValueError, match="must not be patched"):
+    with pytest.raises(ValueError, match="docProps/app.xml"):
         docx.patch_packages(base, new([("k", "docProps/app.xml", bytearray(b"<a/>"))]), none)
-    with pytest.raises(ValueError, match="not well-formed"):
+    with pytest.raises(ValueError, match="XML parse error"):
         docx.patch_packages(base, new([("k", "word/styles.xml", bytearray(b"<a>"))]), none)
     assert docx.part_text(base, "word/styles.xml").select(F.length("xml")).first()[0] == len(STYLES)
+
+
+def test_only_contract_breaches_fail(spark):
+    frame = lambda rows: spark.createDataFrame([("k", "word/document.xml", bytearray(x.encode())) for x in rows], "file_key string, part_name string, content binary")
+    before = DOCUMENT
+    allowed = before.replace("<w:pPr/>", '<w:pPr><w:pStyle w:val="P"/></w:pPr>')
+    assert pipeline.contract_violations(frame([before]), frame([allowed])).collect() == []
+    assert pipeline.contract_violations(frame([before]), frame([])).collect() == []
+    (row,) = pipeline.contract_violations(frame([before]), frame([allowed.replace("GYPSUM", "PLASTER")])).collect()
+    assert row.error.startswith("paragraph 1 changed") and "+" in row.error and "PLASTER" in row.error
+
+
+def test_namespace_errors(spark):
+    rows = [("a", "word/document.xml", b"<ns0:p xmlns:ns0='x'/>"), ("b", "word/document.xml", b"<w:p xmlns:w='x'>ns0:</w:p>"), ("c", "word/media/a.png", b"<ns0:p"), ("d", None, b"<ns0:p"), ("e", "word/document.xml", None)]
+    frame = spark.createDataFrame([(k, n, None if c is None else bytearray(c)) for k, n, c in rows], "file_key string, part_name string, content binary")
+    assert [r.file_key for r in docx.namespace_errors(frame).collect()] == ["a"]
