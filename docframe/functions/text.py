@@ -139,17 +139,29 @@ def section_number(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(nullif_empty(named), groups), SPACES, " "))
 
 
-# Own rules for text that does not belong to the specification: pattern and tag, applied in order.
+# Own rules for text that does not belong to the specification: pattern and tag, applied in order. Java and RE2 read them alike.
+_PART_NOUN = r"(?:sub)?paragraphs?|articles?|options?|definitions?|sentences?|terms?|lists?|requirements?|schedules?"
 BOILERPLATE = [
-    (r"(?i)[\[(<]?\s*(note to specifier|specifier'?s? note|note to editor)\b[^\n]*", "specifier_note"),
-    (r"(?i)\[\s*(retain|delete|revise|edit|select|coordinate|insert|verify)\s[^\]\n]*(article|paragraph|subparagraph|option|below|above|list)[^\]\n]*\]", "masterspec_instruction"),
-    (r"(?im)^\s*(retain|delete|revise|edit)\s[^\n]*\b(article|paragraph|subparagraph|option)s?\s[^\n]*\b(below|above|if|when|for)\b[^\n]*$", "masterspec_instruction"),
-    (r"(?im)^[^\n]*(copyright|\(c\)|©)\s*[^\n]*[0-9]{4}[^\n]*$", "copyright"),
-    (r"(?i)all rights reserved\.?", "copyright"),
-    (r"(?m)^\s*[-=_*]{3,}\s*$", "separator"),
-    (r"(?im)^\s*page\s+[0-9]+(\s+of\s+[0-9]+)?\s*$", "page_number"),
-    (r"(?im)^\s*rev(ision)?\.?\s*[0-9A-Z]{1,3}\s*$", "revision_mark"),
-    (r"(?i)\[?hidden text\]?:?[^\n]*", "hidden_text"),
+    (r"(?i)[\[(<*]*\s*\b(?:notes? to (?:the )?(?:specifier|editor|designer|spec writer)|(?:specifier|designer|editor|spec writer)(?:'s|s')? notes?)\b[^\n]*", "specifier_note"),
+    (r"(?i)\[\s*(?:retain|delete|revise|edit|select|coordinate|insert|verify|specify|indicate)\s[^\]\n]*\b(?:" + _PART_NOUN + r"|below|above)\b[^\]\n]*\]", "masterspec_instruction"),
+    (r"(?im)^\s*(?:retain|delete|revise|edit|insert|verify|specify|select|indicate|coordinate|consult|expand)\s[^\n]*\b(?:" + _PART_NOUN + r")\b[^\n]*\b(?:below|above|remaining|if|when|for)\b[^\n]*$", "masterspec_instruction"),
+    (r"(?im)^\s*(?:" + _PART_NOUN + r")\s+(?:below|above)\s+(?:is|are|requires?|lists?|applies|apply|may|assumes?|describes?|includes?|specif(?:y|ies))\b[^\n]*$", "masterspec_instruction"),
+    (r"(?im)^[^\n]*\bin (?:the )?(?:(?:first|second|third|last|next|two|three|four|both|this|these)\s)*(?:sub)?(?:paragraphs?|articles?) (?:below|above)\b[^\n]*$", "masterspec_instruction"),
+    (r"(?im)^\s*options?:\s[^\n]*\bmay be (?:used|specified|included|omitted|deleted|retained)\b[^\n]*$", "masterspec_instruction"),
+    (r"(?im)^\s*manufacturers'? (?:catalogs?|catalogues?|literature|data|websites?) (?:indicates?|shows?|states?|lists?)\b[^\n]*$", "masterspec_instruction"),
+    (r"(?im)^[^\n]*\bmay permit (?:the )?use of\b[^\n]*$", "masterspec_instruction"),
+    (r"(?im)^\s*this section (?:uses|assumes|is based on|does not specify)\b[^\n]*$", "masterspec_instruction"),
+    (r"(?im)^\s*see\s[^\n]*\b(?:evaluations?|section text|supporting documents?)\b[^\n]*$", "masterspec_instruction"),
+    (r"(?im)^\s*do not (?:duplicate|repeat)\b[^\n]*$", "masterspec_instruction"),
+    (r"(?im)^[^\n]*(?:\bcopyright\b|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$", "copyright"),
+    (r"(?i)\ball rights reserved\b\.?", "copyright"),
+    (r"(?im)^[^\n]*\bunauthori[sz]ed (?:reproduction|copying|use|distribution)\b[^\n]*$", "copyright"),
+    (r"(?m)^\s*(?:[-=_*~#]\s?){3,}\s*$", "separator"),
+    (r"(?im)^\s*(?:page\s+[0-9]+(?:\s+of\s+[0-9]+)?|-\s*[0-9]+\s*-|[0-9]+ of [0-9]+)\s*$", "page_number"),
+    (r"(?im)^\s*(?:rev(?:ision)?\.?\s*[0-9A-Z]{1,3}|revised:?\s[0-9./-]+)\s*$", "revision_mark"),
+    (r"(?i)\{[^{}\n]*\brevision\b[^{}\n]*\}", "revision_mark"),
+    (r"(?i)<<[^<>\n]*\bhidden\b[^<>\n]*>>", "hidden_text"),
+    (r"(?i)\[?\bhidden text\b\]?:?[^\n]*", "hidden_text"),
 ]
 
 

@@ -6,11 +6,13 @@ Rounds are written to the shared checkpoint folder.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.operators.skew import salted_lookup
-from docframe.session import cut
+from docframe.session import cut, cut_counted
 
 
 def dependency_closure(seeds: DataFrame, edges: DataFrame, scope: list[str], max_rounds: int = 10_000) -> DataFrame:
@@ -23,14 +25,15 @@ def dependency_closure(seeds: DataFrame, edges: DataFrame, scope: list[str], max
     for _ in range(2):
         onward = links.select(*scope, F.col("id").alias("dst"), F.col("dst").alias("far"))
         links = cut(links.unionByName(links.join(onward, [*scope, "dst"]).select(*scope, "id", F.col("far").alias("dst"))).distinct())
-    known = cut(seeds.select(*scope, "seed", F.col("seed").alias("id")).distinct())
-    frontier = known
+    known = [cut(seeds.select(*scope, "seed", F.col("seed").alias("id")).distinct())]
     for _ in range(max_rounds):
-        reached = frontier.join(links, [*scope, "id"]).select(*scope, "seed", F.col("dst").alias("id")).distinct()
-        frontier = cut(reached.join(known, [*scope, "seed", "id"], "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = cut(known.unionByName(frontier))
+        reached = known[-1].join(links, [*scope, "id"]).select(*scope, "seed", F.col("dst").alias("id")).distinct()
+        whole = reduce(DataFrame.unionByName, known)
+        # Each round adds its own rows as a table of their own; nothing is written twice.
+        frontier, added = cut_counted(reached.join(whole, [*scope, "seed", "id"], "left_anti"), n=F.count(F.lit(1)))
+        if not added["n"]:
+            return whole
+        known.append(frontier)
     raise RuntimeError(f"no end after {max_rounds} rounds")
 
 

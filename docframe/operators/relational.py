@@ -37,8 +37,23 @@ def positional_fill(targets: DataFrame, sources: DataFrame, default: Column, pos
 
 
 def numbered(df: DataFrame, partition: list[str], order: list[Column], name: str = "pos") -> DataFrame:
-    """0-based position within a partition."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("bigint"))
+    """0-based position within a partition.
+
+    Rows are range-partitioned by key and order and ranked inside each range; ranges of one key are offset by the
+    counts of those before, so no task holds all rows of a large key.
+    """
+    whose = [F.col(c) for c in partition]
+    ranged = cut(df.repartitionByRange(*whose, *order).withColumn("__part", F.spark_partition_id()))  # written, so the numbers hold
+    counts = ranged.groupBy(*partition, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*partition).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    bases = counts.select(*partition, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy(*partition, "__part").orderBy(*order)) - 1
+    same = F.col("__part") == F.col("__other")
+    for c in partition:
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    bases = bases.select(*(F.col(c).alias(f"__k_{c}") for c in partition), F.col("__part").alias("__other"), "__base")
+    ranked = ranged.withColumn("__rank", inside).join(bases, same)
+    return ranked.select(*df.columns, (F.col("__base") + F.col("__rank")).cast("bigint").alias(name))
 
 
 def compare_maps(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -90,13 +105,8 @@ def allocate_ids(new: DataFrame, existing: DataFrame, order: str, identifier: st
     ``start`` is the greatest id of an empty table. Ranks are computed per range partition and
     offset by the partition counts, so no task holds all rows.
     """
-    ranged = cut(new.repartitionByRange(F.col(order)).withColumn("__part", F.spark_partition_id()))  # written, so the numbers hold
-    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
-    bases = counts.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
     top = existing.select(F.coalesce(F.max(identifier), F.lit(start)).cast("bigint")).scalar()
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return ranged.withColumn("__rank", rank).join(bases, "__part").withColumn(name, top + F.col("__base") + F.col("__rank")).drop("__part", "__rank", "__base")
+    return numbered(new, [], [F.col(order)], "__rank").withColumn(name, top + F.col("__rank") + 1).drop("__rank")
 
 
 def first_by(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:

@@ -136,9 +136,10 @@ def except_all(spark, folder):
 
 
 def set_symmetric_diff(spark, folder):
-    users = table(spark, folder, "events").select("user_id", "event_type").distinct()
-    side = lambda pick: users.where(F.col("event_type") == users.select(pick("event_type")).scalar())
-    return relational.symmetric_difference(side(F.min), side(F.max), ["user_id"])
+    """Header and footer parts that only the entries or only the parts of a package name."""
+    entries = table(spark, folder, "hf_entries").select("file_key", part_key(F.col("part_name")).alias("part")).where("file_key is not null and part is not null")
+    parts = table(spark, folder, "package_parts").select("file_key", part_key(F.col("part_name")).alias("part")).where(F.col("part").rlike(r"^word/(header|footer)[^/]*\.xml$"))
+    return relational.symmetric_difference(entries, parts, ["file_key", "part"])
 
 
 def hash_diff(spark, folder):
@@ -186,7 +187,9 @@ def duplicates(spark, folder):
 
 
 def merge_conflicts(spark, folder):
-    return relational.conflicts(table(spark, folder, "doc_labels"), ["doc_id"], "label")
+    """Styles whose paragraph layout differs between their rows."""
+    rows = table(spark, folder, "style_defs").where("trim(style_id) <> ''").select("template_key", F.trim("style_id").alias("style_id"), "ppr")
+    return relational.conflicts(rows, ["template_key", "style_id"], "ppr")
 
 
 def first_per_role(spark, folder):
@@ -217,21 +220,11 @@ def canonical_order(spark, folder):
     return held.select("l_orderkey", F.array_join(F.transform(put, lambda e: e["tag"]), "").alias("letters"))
 
 
-def _closure(now, seeds):
-    seeds = seeds.select("template_key", F.col("style_id").alias("seed"))
-    return closure.dependency_closure(seeds, closure.style_edges(now, ["template_key"]), ["template_key"]).select("template_key", "seed", "id")
-
-
 def dep_closure(spark, folder):
-    """Everything a title style of a template needs over based_on, link and next; ``dep_closure_all`` has all styles."""
-    now = styles(spark, folder)
-    return _closure(now, now.where("style_id like 'Title%'"))
-
-
-def dep_closure_all(spark, folder):
     """Everything any current style of a template needs over based_on, link and next."""
     now = styles(spark, folder)
-    return _closure(now, now)
+    seeds = now.select("template_key", F.col("style_id").alias("seed"))
+    return closure.dependency_closure(seeds, closure.style_edges(now, ["template_key"]), ["template_key"]).select("template_key", "seed", "id")
 
 
 def inherited_attr(spark, folder):
@@ -264,10 +257,14 @@ _STUB = "case when length(coalesce(text, '')) > 60 and text like '%.' then 'PARA
 
 
 def final_merge(spark, folder):
+    """Payloads of three kinds by library: the open rows only, all rows, and all rows with some fixed ones changed."""
     keys = ["file_key", "idx"]
     fixed = deterministic(spark, folder).groupBy(*keys).agg(F.min("csi_role").alias("csi_role"))
     open_rows = unresolved_filter(spark, folder)
-    rows = classify.final_classifications(fixed, stub_classify(spark, folder), open_rows, keys, ["file_key"])
+    library = table(spark, folder, "slim_bundle").groupBy("file_key").agg(F.min("library_code").alias("library"))
+    changed = F.when((F.col("library") >= "LB-27") & (F.col("csi_role") == "PART"), "ARTICLE").otherwise(F.col("csi_role"))
+    whole = fixed.join(library, "file_key").where("library >= 'LB-14'").select(*keys, changed.alias("csi_role"))
+    rows = classify.final_classifications(fixed, stub_classify(spark, folder).unionByName(whole), open_rows, keys, ["file_key"])
     return rows.select("file_key", "idx", "csi_role", "mode", "status")
 
 
@@ -309,9 +306,9 @@ def revenue_rollup(spark, folder):
 
 
 def request_messages(spark, folder):
-    """Requests for the rows that rules leave open, one per chunk, with the length of the rows they carry."""
-    rows = unresolved_filter(spark, folder).select("file_key", F.col("idx").cast("int").alias("paragraph_index"))
-    requests = batches.build_requests(batches.chunked(rows, 0, 10**9, 50), "Classify.", text.ROLES, 10**9)
+    """Requests for the rows that rules leave open, with their texts, in chunks of the production limits."""
+    rows = unresolved_filter(spark, folder).join(bundle_rows(spark, folder).select("file_key", "idx", "text"), ["file_key", "idx"]).select("file_key", F.col("idx").cast("int").alias("paragraph_index"), "text")
+    requests = batches.build_requests(batches.chunked(rows), "Classify.", text.ROLES, 10**9)
     asked = F.size(F.regexp_extract_all("message", F.lit('"paragraph_index":([0-9]+)'), F.lit(1)))
     return requests.select("custom_id", F.col("chunk").cast("bigint").alias("chunk"), asked.cast("bigint").alias("n_rows"))
 
@@ -333,7 +330,7 @@ QUERIES = {
     for f in (
         unresolved_filter, role_lookup, unmapped_roles, used_styles, fk_violations, range_containment, two_hop, style_numbering_hop, positional_fill, package_patch, merge_upsert, upsert_result,
         bag_containment, except_all, set_symmetric_diff, hash_diff, substring_theta, role_counts_by_template, coverage, max_ids, alloc_ids, duplicates, merge_conflicts, first_per_role,
-        first_last_revision, missing_preview, canonical_order, dep_closure, dep_closure_all, inherited_attr, preflight_violations, stub_classify, final_merge, payload_checks, chunk_merge, batch_summary,
+        first_last_revision, missing_preview, canonical_order, dep_closure, inherited_attr, preflight_violations, stub_classify, final_merge, payload_checks, chunk_merge, batch_summary,
         roles_of_registry, tag_dedupe, revenue_rollup, request_messages, answers, hourly_events,
     )
 }
@@ -363,8 +360,8 @@ from base b full join later l on l.file_key = b.file_key and l.part = b.part whe
     "upsert_result": f"with {_STYLES}, {_FIRST} select template_key, style_id, coalesce(ppr, '') as ppr from styles union all select * from first_ f where not exists (select 1 from styles s where s.template_key = f.template_key and s.style_id = f.style_id)",
     "bag_containment": f"with {LINES}, c as (select line, count(*) filter (where source = 'harbor_specs') as before_n, count(*) filter (where source <> 'harbor_specs') as after_n from lines where line <> '' group by all) select * from c where after_n < before_n",
     "except_all": f"with {LINES} select line, count(*) as n from (select line from lines where line <> '' and lang = 'en' except all select line from lines where line <> '' and coalesce(lang, '') <> 'en') group by all",
-    "set_symmetric_diff": """with u as (select distinct user_id, event_type from events), a as (select user_id from u where event_type = (select min(event_type) from u)), b as (select user_id from u where event_type = (select max(event_type) from u))
-select user_id, 'left' as side from (select * from a except select * from b) union all select user_id, 'right' from (select * from b except select * from a)""",
+    "set_symmetric_diff": f"""with a as (select file_key, {_PART} as part from hf_entries where file_key is not null and {_PART} is not null), b as (select file_key, {_PART} as part from package_parts where regexp_matches({_PART}, '^word/(header|footer)[^/]*\\.xml$'))
+select *, 'left' as side from (select * from a except select * from b) union all select *, 'right' from (select * from b except select * from a)""",
     "hash_diff": f"""with {_STYLES}, {_FIRST} select coalesce(f.template_key, s.template_key) as template_key, coalesce(f.style_id, s.style_id) as style_id, sha256(f.ppr) as before, case when s.style_id is not null then sha256(coalesce(s.ppr, '')) end as after,
   case when f.style_id is null then 'added' when s.style_id is null then 'removed' else 'changed' end as change
 from first_ f full join styles s on f.template_key = s.template_key and f.style_id = s.style_id where f.style_id is null or s.style_id is null or f.ppr <> coalesce(s.ppr, '')""",
@@ -379,14 +376,13 @@ select *, floor(n_done * 10000 / n_expected)::bigint as basis_points from c""",
     "max_ids": "select p.file_key, coalesce(max(nullif(regexp_extract(rid, '^rId([0-9]+)$', 1), '')::bigint), 0)::bigint as max_id from packages p left join hf_entries h on h.file_key = p.file_key group by all",
     "alloc_ids": "select s_suppkey, ((select max(p_partkey) from part) + row_number() over (order by s_suppkey))::bigint as new_id from supplier",
     "duplicates": "select template_key, trim(style_id) as style_id, revision, count(*) as n from style_defs where trim(style_id) <> '' group by all having count(*) > 1",
-    "merge_conflicts": "select doc_id, count(distinct label) as n_values, min(label) as least, max(label) as greatest from doc_labels group by all having count(distinct label) > 1",
+    "merge_conflicts": "select template_key, trim(style_id) as style_id, count(distinct ppr) as n_values, min(ppr) as least, max(ppr) as greatest from style_defs where trim(style_id) <> '' group by all having count(distinct ppr) > 1",
     "first_per_role": f"with {ROWS}, {_FIXED} select file_key, csi_role, arg_min(text, idx) as text from fixed join rows_ using (file_key, idx) where text is not null group by all",
     "first_last_revision": """with r as (select template_key, trim(style_id) as style_id, revision, coalesce(ui_priority, -1) as p from style_defs where trim(style_id) <> '' and revision is not null)
 select template_key, style_id, arg_min(p, struct_pack(r := revision, p := p))::bigint as first_priority, arg_max(p, struct_pack(r := revision, p := p))::bigint as last_priority from r group by all""",
     "missing_preview": "select doc_id from documents where doc_id not in (select doc_id from doc_labels) order by doc_id limit 20",
     "canonical_order": "select l_orderkey, array_to_string(list_sort(list_concat(list_distinct(list(l_returnflag)), list_distinct(list(l_linestatus)))), '') as letters from lineitem group by all",
-    "dep_closure": f"with recursive {_STYLES}, {_EDGES}, reach as (select template_key, style_id as seed, style_id as id from styles where style_id like 'Title%' union select r.template_key, r.seed, e.dst from reach r join edges e on e.template_key = r.template_key and e.src = r.id) select template_key, seed, id from reach",
-    "dep_closure_all": f"with recursive {_STYLES}, {_EDGES}, reach as (select template_key, style_id as seed, style_id as id from styles union select r.template_key, r.seed, e.dst from reach r join edges e on e.template_key = r.template_key and e.src = r.id) select template_key, seed, id from reach",
+    "dep_closure": f"with recursive {_STYLES}, {_EDGES}, reach as (select template_key, style_id as seed, style_id as id from styles union select r.template_key, r.seed, e.dst from reach r join edges e on e.template_key = r.template_key and e.src = r.id) select template_key, seed, id from reach",
     "inherited_attr": f"""with recursive {_STYLES}, up as (
   select template_key, style_id as id, based_on as anc, rpr, ppr, 0::bigint as hop from styles
   union all select u.template_key, u.id, s.based_on, s.rpr, s.ppr, u.hop + 1 from up u join styles s on s.template_key = u.template_key and s.style_id = u.anc where u.hop < 49)
@@ -398,8 +394,10 @@ select template_key, id, coalesce(arg_min(rpr, hop) filter (where rpr is not nul
   union all select template_key, lower(style_id), 'case_twin' from styles group by all having count(*) > 1)
 select template_key, item, rule, count(*) as n from v group by all""",
     "stub_classify": f"with {_OPEN} select file_key, idx, {_STUB} as csi_role from open_",
-    "final_merge": f"""with {_OPEN} select file_key, idx, min(csi_role) as csi_role, 'merged' as mode, 'ok' as status from fixed group by file_key, idx
-union all select file_key, idx, {_STUB}, 'merged', 'ok' from open_""",
+    "final_merge": f"""with {_OPEN}, lib as (select file_key, min(library_code) as library from slim_bundle group by all), f as (select file_key, idx, min(csi_role) as role from fixed group by all),
+w as (select *, library >= 'LB-14' as total, library >= 'LB-27' and role = 'PART' as over_ from f join lib using (file_key)), t as (select file_key, bool_or(coalesce(total, false)) as total from w group by all)
+select file_key, idx, case when over_ then 'ARTICLE' else role end as csi_role, case when total then 'total' else 'merged' end as mode, case when over_ then 'override' else 'ok' end as status from w
+union all select o.file_key, idx, {_STUB}, case when coalesce(total, false) then 'total' else 'merged' end, 'ok' from open_ o left join t using (file_key)""",
     "payload_checks": """select doc_id, 'duplicate' as rule from doc_labels group by doc_id having count(*) > 1
 union all select doc_id, 'not_classifiable' from doc_labels where doc_id not in (select doc_id from documents where lang = 'en')
 union all select doc_id, 'bad_role' from doc_labels where label not in ('prose', 'list', 'table')""",
@@ -409,8 +407,12 @@ union all select doc_id, 'bad_role' from doc_labels where label not in ('prose',
     "tag_dedupe": """with s as (select file_key, unnest(filter_report.paragraphs_stripped) as s from slim_bundle),
 t as (select file_key, s.paragraph_index::bigint as idx, s.tags as tags, unnest(generate_series(1, greatest(1, len(s.tags)))) as i from s)
 select distinct file_key, idx, array_to_string(list_filter(tags, lambda x, j: list_position(tags, x) = j), ',') as tags from t""",
-    "request_messages": f"""with {_OPEN}, n as (select file_key, row_number() over (partition by file_key order by idx) as rn, count(*) over (partition by file_key) as n from open_)
-select file_key || '__chunk0' as custom_id, 0::bigint as chunk, count(*) as n_rows from n group by file_key""",
+    "request_messages": f"""with {_OPEN}, r as (select file_key, idx, length(case when text is null then '{{"paragraph_index":' || idx || '}}' else '{{"paragraph_index":' || idx || ',"text":' || to_json(text) || '}}' end) as n_chars from open_),
+s as (select file_key, sum(n_chars) + 200 as chars, count(*) as n from r group by all),
+z as (select file_key, n, case when chars <= 320000 and n <= 300 then n else greatest(10, floor(319800 / greatest((chars - 200) / greatest(n, 1), 1.0)))::bigint end as size from s),
+c as (select r.file_key, n, size, case when size >= n then greatest(size, 1) else size - 20 end as step, row_number() over (partition by r.file_key order by idx) as rn from r join z using (file_key)),
+k as (select file_key, unnest(generate_series(greatest(0, ceil((rn - size) / step::double))::bigint, least(floor((rn - 1) / step::double), greatest(0, ceil((n - size) / step::double)))::bigint)) as chunk from c)
+select file_key || '__chunk' || chunk as custom_id, chunk, count(*) as n_rows from k group by all""",
     "answers": f"with {_FIXED} select file_key, idx, min(csi_role) as csi_role from fixed group by all",
     "hourly_events": "select date_trunc('hour', ts)::timestamp as start, event_type, count(*) as n from events group by all",
     "revenue_rollup": "select l_returnflag, l_linestatus, sum(l_quantity::decimal(18,2))::double as sum_qty, count(*) as n, max(l_shipdate) as latest from lineitem group by all",

@@ -82,103 +82,84 @@ def role_fallback(spark, folder):
     return rows.select("file_key", "idx", "role", text.available_role(F.col("role"), F.col("have")).alias("resolved"))
 
 
-QUERY_RULES = [(r"(?m)^\s*[0-9]+\.[0-9]{2} [A-Z ]+$", "heading"), (r"\[[0-9]+ mm\]", "metric_size"), (r"(?i)unless the drawings show otherwise", "exception"), *text.BOILERPLATE[5:6]]
+# Lines that do not belong to the specification, one of which is put behind each text by its length; the last ones do belong.
+PROBES = [
+    "[Note to Specifier: choose one of the two makers.]", "Designer's note, remove before issue", "[Retain one of the two options below.]", "Retain definitions remaining when editing is done.", "Paragraph below is described in another place.",
+    "Brackets in first two paragraphs below are to be sized.", "Option: plastic shields may be used.", "Manufacturers' catalogs show that such hangers are small.", "Stronger inserts may permit use of shorter shields.", "This Section uses the term of the owner.",
+    "See the Evaluations for a discussion.", "Do not repeat what other parts say.", "Copyright 2031 by the office", "all rights reserved.", "Unauthorized copying of this text is an offence.", "- - - - -", "Page 4 of 17", "3 of 9", "Rev. B", "before {revision 4} behind",
+    "before <<hidden until printed>> behind", "[hidden text]: not shown", "Retain existing supports where shown.", "Verify all sizes in the field before work begins.", "Option: Provide bracing where the code asks for it.", "See Section 01 33 00 for submittals.",
+]
 
 
-def _stripped(spark, folder, rules=None):
-    return bundle_rows(spark, folder).where("text is not null").withColumn("s", text.strip_boilerplate(F.col("text"), rules))
+def _probed(spark, folder):
+    """Every paragraph with one of the probes as a further line."""
+    rows = bundle_rows(spark, folder).where("text is not null")
+    probe = F.element_at(F.array(*map(F.lit, PROBES)), F.length("text") % len(PROBES) + 1)
+    return rows.withColumn("text", F.concat("text", F.lit("\n"), probe))
 
 
-def _clean(rows):
-    return rows.select("file_key", "idx", F.col("s.text").alias("clean"), F.array_join("s.tags", ",").alias("tags"))
+def _stripped(spark, folder):
+    return _probed(spark, folder).withColumn("s", text.strip_boilerplate(F.col("text")))
 
 
 def boilerplate_strip(spark, folder):
-    """Stripping by sample rules that SQL can follow; ``boilerplate_strip_all`` has the engine's own."""
-    return _clean(_stripped(spark, folder, QUERY_RULES))
+    """Every paragraph with a probe behind it, stripped by the rules of the engine."""
+    return _stripped(spark, folder).select("file_key", "idx", F.col("s.text").alias("clean"), F.array_join("s.tags", ",").alias("tags"))
 
 
-def boilerplate_strip_all(spark, folder):
-    """Every paragraph stripped by all rules of the engine."""
-    return _clean(_stripped(spark, folder))
+def sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
 
 
-def _strip_sql() -> str:
-    value, tags = "text", []
-    for pattern, tag in QUERY_RULES:
-        tags.append(f"case when regexp_matches({value}, '{pattern}') then ['{tag}'] else [] end")
-        value = f"regexp_replace({value}, '{pattern}', '', 'g')"
+def strip_sql(value: str) -> tuple[str, str]:
+    """Stripped text and list of tags of a SQL expression under the rules of the engine."""
+    tags = []
+    for pattern, tag in text.BOILERPLATE:
+        tags.append(f"case when regexp_matches({value}, {sql_text(pattern)}) then ['{tag}'] else [] end")
+        value = f"regexp_replace({value}, {sql_text(pattern)}, '', 'g')"
     clean = f"regexp_replace(regexp_replace(regexp_replace({value}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
-    return f"trim({clean}) as clean, array_to_string(list_distinct_ordered, ',') as tags", "list_concat(" + ", ".join(tags) + ")"
+    return f"trim({clean})", "list_concat(" + ", ".join(tags) + ")"
 
 
-_CLEAN, _TAGS = _strip_sql()
-_STRIP = f"with {ROWS}, tagged as (select *, {_TAGS} as list_distinct_ordered from rows_ where text is not null) select file_key, idx, {_CLEAN} from tagged"
-
-
-def _report(rows):
-    rows = rows.where("size(s.tags) > 0").select(F.when(F.col("s.text") == "", "removed").otherwise("stripped").alias("action"), F.explode("s.tags").alias("tag"))
-    return rows.groupBy("action", "tag").agg(F.count(F.lit(1)).alias("n"))
+_CLEAN, _TAGS = strip_sql("text")
+_STRIP = f"""with {ROWS}, probed as (select file_key, idx, text || chr(10) || ([{", ".join(map(sql_text, PROBES))}])[length(text) % {len(PROBES)} + 1] as text from rows_ where text is not null),
+tagged as (select *, {_TAGS} as found from probed)
+select file_key, idx, {_CLEAN} as clean, array_to_string(list_filter(found, lambda x, i: list_position(found, x) = i), ',') as tags from tagged"""
 
 
 def filter_report(spark, folder):
-    """What cleaning by the sample rules does per tag: paragraphs removed entirely or stripped."""
-    return _report(_stripped(spark, folder, QUERY_RULES))
-
-
-def filter_report_all(spark, folder):
-    """What cleaning by all rules of the engine does per tag."""
-    return _report(_stripped(spark, folder))
-
-
-def _ascii_rows(spark, folder):
-    """Paragraphs of printable ASCII signs only, on which Spark and DuckDB agree."""
-    return bundle_rows(spark, folder).where(F.col("text").rlike("^[ -~]+$"))
-
-
-def _cases(rows):
-    return rows.select("file_key", "idx", text.case_pattern(F.col("text")).alias("pattern"), text.title_case(F.col("text")).alias("title"))
+    """What cleaning does per tag: paragraphs removed entirely or stripped."""
+    rows = _stripped(spark, folder).where("size(s.tags) > 0").select(F.when(F.col("s.text") == "", "removed").otherwise("stripped").alias("action"), F.explode("s.tags").alias("tag"))
+    return rows.groupBy("action", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def case_pattern(spark, folder):
-    """The ASCII rows, compared with SQL; ``case_pattern_all`` has every row."""
-    return _cases(_ascii_rows(spark, folder))
-
-
-def case_pattern_all(spark, folder):
     """Case pattern and title form of every paragraph, in any script; a null text is unknown."""
-    return _cases(bundle_rows(spark, folder))
+    return bundle_rows(spark, folder).select("file_key", "idx", text.case_pattern(F.col("text")).alias("pattern"), text.title_case(F.col("text")).alias("title"))
 
 
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]+"
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 _CASE = f"""with {ROWS}, words as (
-  select file_key, idx, text, list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda w: w <> '') as w from rows_ where regexp_matches(text, '^[ -~]+$'))
+  select file_key, idx, text, trim(regexp_replace(coalesce(text, ''), '{_SPACE}', ' ', 'g')) as t, list_filter(string_split_regex(text, '{_SPACE}'), lambda w: w <> '') as w from rows_)
 select file_key, idx,
-  case when trim(text) = '' then 'unknown' when trim(text) = upper(trim(text)) then 'upper'
-    when len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) * 10 >= len(w) * 7 then 'title' else 'mixed' end as pattern,
+  case when t = '' then 'unknown' when t = upper(t) then 'upper'
+    when len(list_filter(w, lambda x: regexp_matches(x, '^\\p{{Lu}}'))) * 10 >= len(w) * 7 then 'title' else 'mixed' end as pattern,
   array_to_string(list_transform(w, lambda x: array_to_string(list_transform(string_split(x, '-'), lambda p:
     case when upper(regexp_replace(p, '[^A-Za-z]', '', 'g')) in ({", ".join(f"'{a}'" for a in text.ACRONYMS)}) then p
-      when upper(p) = p and regexp_matches(p, '[A-Za-z]') then array_to_string(list_transform(regexp_extract_all(p, '([A-Za-z]+|[^A-Za-z]+)'), lambda r: upper(r[1:1]) || lower(r[2:])), '')
+      when upper(p) = p and regexp_matches(p, '\\p{{Lu}}') and not regexp_matches(p, '[\\p{{Ll}}\\p{{Lt}}]') then array_to_string(list_transform(regexp_extract_all(p, '([{_CASED}]+|[^{_CASED}]+)'), lambda r: upper(r[1:1]) || lower(r[2:])), '')
       else p end), '-')), ' ') as title
 from words"""
 
 
-def _numbers(rows):
-    return rows.select("file_key", "idx", text.section_number(F.col("text")).alias("number"))
-
-
 def section_number(spark, folder):
-    """The ASCII rows with a digit, compared with SQL; ``section_number_all`` has every row."""
-    return _numbers(_ascii_rows(spark, folder).where(F.col("text").rlike("[0-9]")))
-
-
-def section_number_all(spark, folder):
     """Section number of every paragraph; empty where there is none."""
-    return _numbers(bundle_rows(spark, folder))
+    return bundle_rows(spark, folder).select("file_key", "idx", text.section_number(F.col("text")).alias("number"))
 
 
 _NUMBER = f"""with {ROWS} select file_key, idx, trim(regexp_replace(
-  coalesce(nullif(regexp_extract(text, '(?i)section\\s+([0-9][0-9\\s]*)', 1), ''), array_to_string(regexp_extract_all(text, '([0-9]+)', 1), ' ')), '\\s+', ' ', 'g')) as number
-from rows_ where regexp_matches(text, '^[ -~]+$') and regexp_matches(text, '[0-9]')"""
+  coalesce(nullif(regexp_extract(coalesce(text, ''), '(?i)section{_SPACE}(\\p{{Nd}}[\\p{{Nd}}{_SPACE[1:-2]}]*)', 1), ''), array_to_string(regexp_extract_all(coalesce(text, ''), '(\\p{{Nd}}+)', 1), ' ')), '{_SPACE}', ' ', 'g')) as number
+from rows_"""
 
 
 def blocks_explode(spark, folder):
@@ -199,9 +180,11 @@ _PLAIN = f"trim(regexp_replace(replace(replace(replace(replace(replace({_RAW}, '
 
 
 def block_spans(spark, folder):
-    entries = table(spark, folder, "hf_entries").where("xml is not null").select("entry_id", "xml").distinct()
-    spans = entries.select("entry_id", "xml", F.posexplode(markup.block_spans(F.col("xml"), "w:t")).alias("idx", "s"))
-    return spans.select("entry_id", F.col("idx").cast("bigint").alias("idx"), F.col("s.start").cast("bigint").alias("start"), F.col("s.stop").cast("bigint").alias("stop"))
+    """Spans of all text nodes in the header and footer parts of a file, joined in the order of their ids."""
+    entries = table(spark, folder, "hf_entries").where("xml is not null and file_key is not null").select("file_key", "entry_id", "xml").distinct()
+    joined = context.splice(entries, ["file_key"], "entry_id", "xml")
+    spans = joined.select("file_key", F.posexplode(markup.block_spans(F.col("xml"), "w:t")).alias("idx", "s"))
+    return spans.select("file_key", F.col("idx").cast("bigint").alias("idx"), F.col("s.start").cast("bigint").alias("start"), F.col("s.stop").cast("bigint").alias("stop"))
 
 
 def first_attr(spark, folder):
@@ -231,8 +214,11 @@ def escape_attr(spark, folder):
 
 
 def fragment_check(spark, folder):
+    """Fragments of styles held against another element (error), their own (sound) and cut by their last sign (cut)."""
     styles = table(spark, folder, "style_defs").where("style_id is not null").select("template_key", "style_id", "revision", "ppr", "rpr").distinct()
-    return styles.select("template_key", "style_id", "revision", markup.fragment_error(F.col("ppr"), "w:rPr").alias("error"), markup.fragment_error(F.col("rpr"), "w:rPr").alias("sound")).where("error is not null or sound is not null")
+    short = F.substring(F.col("rpr"), F.lit(1), F.length("rpr") - 1)
+    checks = {"error": markup.fragment_error(F.col("ppr"), "w:rPr"), "cut": markup.fragment_error(short, "w:rPr"), "sound": markup.fragment_error(F.col("rpr"), "w:rPr").isNull()}
+    return styles.select("template_key", "style_id", "revision", *(c.alias(n) for n, c in checks.items()))
 
 
 def hash_snapshot(spark, folder):
@@ -248,10 +234,11 @@ def durable_id(spark, folder):
 
 
 def free_ids(spark, folder):
-    """Hash ids of part names, avoiding the ones taken by the first parts."""
+    """Hash ids of part names, avoiding those of the dearer half of their brand."""
     parts = table(spark, folder, "part")
-    taken = parts.where("p_partkey <= 5").select(F.collect_list(ids.short_hash(F.col("p_name")))).scalar()  # five values
-    return parts.withColumn("taken", taken).select("p_partkey", ids.free_hash(F.col("p_name"), F.col("taken"), tries=9).alias("free"))
+    mean = parts.groupBy("p_brand").agg(F.avg("p_retailprice").alias("mean"))
+    taken = parts.join(mean, "p_brand").where("p_retailprice > mean").groupBy("p_brand").agg(F.collect_set(ids.short_hash(F.col("p_name"))).alias("taken"))
+    return parts.join(taken, "p_brand", "left").select("p_partkey", ids.free_hash(F.col("p_name"), F.coalesce("taken", F.array()), tries=9).alias("free"))
 
 
 def custom_id(spark, folder):
@@ -326,7 +313,7 @@ def stable_rank(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        lines_explode, marker_type, rule_role, role_counts, role_fallback, boilerplate_strip, boilerplate_strip_all, filter_report, filter_report_all, case_pattern, case_pattern_all, section_number, section_number_all, blocks_explode, block_text,
+        lines_explode, marker_type, rule_role, role_counts, role_fallback, boilerplate_strip, filter_report, case_pattern, section_number, blocks_explode, block_text,
         block_spans, first_attr, on_off_hints, contract_diff, escape_attr, fragment_check, hash_snapshot, short_key, durable_id, free_ids, custom_id, json_props, rel_target,
         context_prev_next, running_offset, chunk_overlap, chunk_ranges, chunk_sizing, chunk_completeness, splice_roundtrip, document_analysis, stable_rank,
     )
@@ -350,20 +337,25 @@ select file_key, idx, c.role, list_filter(coalesce(chain, [c.role]), lambda r: l
     "section_number": _NUMBER,
     "blocks_explode": f"with {_BLOCKS} select entry_id, idx, block from blocks",
     "block_text": f"with {_BLOCKS} select entry_id, idx, {_PLAIN} as text, {_PLAIN} as basic_text from blocks",
-    "block_spans": """with e as (select distinct entry_id, xml from hf_entries where xml is not null)
-select entry_id, 0::bigint as idx, (strpos(xml, '<w:t>') - 1)::bigint as start, (strpos(xml, '</w:t>') + 5)::bigint as stop from e where strpos(xml, '<w:t>') > 0""",
+    "block_spans": """with e as (select distinct file_key, entry_id, xml from hf_entries where xml is not null and file_key is not null),
+o as (select *, coalesce(sum(length(xml)) over (partition by file_key order by entry_id rows between unbounded preceding and 1 preceding), 0)::bigint as base from e where true)
+select file_key, row_number() over (partition by file_key order by entry_id) - 1 as idx, base + strpos(xml, '<w:t>') - 1 as start, base + strpos(xml, '</w:t>') + 5 as stop from o where strpos(xml, '<w:t>') > 0""",
     "first_attr": """select distinct template_key, style_id, revision, ppr_ as after, rpr_ as size from (
   select distinct template_key, style_id, revision, ppr, rpr, nullif(regexp_extract(ppr, 'w:after="([^"]+)"', 1), '') as ppr_, nullif(regexp_extract(rpr, '<w:sz w:val="([^"]+)"', 1), '') as rpr_ from style_defs where style_id is not null)""",
     "on_off_hints": "select distinct template_key, style_id, revision, semi_hidden::varchar as semi_hidden, qformat::varchar as qformat, (not semi_hidden)::varchar as bold, case when qformat then 'true' end as italic from style_defs where style_id is not null",
     "contract_diff": "select distinct entry_id, xml || '<!-- changed -->' as after from hf_entries where contains(xml, 'INSTALLATION')",
     "escape_attr": """select p_partkey, '&lt;a b=&quot;' || p_name || '&quot; &amp; ''c''&gt;' as escaped, true as round_trip from part""",
-    "fragment_check": "select distinct template_key, style_id, revision, 'expected <w:rPr>: ' || substr(trim(ppr), 1, 60) as error, null::varchar as sound from (select distinct template_key, style_id, revision, ppr, rpr from style_defs) where style_id is not null and trim(coalesce(ppr, '')) <> ''",
+    "fragment_check": """select template_key, style_id, revision, case when trim(coalesce(ppr, '')) <> '' then 'expected <w:rPr>: ' || substr(trim(ppr), 1, 60) end as error,
+  case when rpr is not null then 'expected <w:rPr>: ' || substr(substr(rpr, 1, length(rpr) - 1), 1, 60) end as cut, true as sound
+from (select distinct template_key, style_id, revision, ppr, rpr from style_defs) where style_id is not null""",
     "hash_snapshot": f"select doc_id, sha256(text) as digest, {_HASH.format(c='text')} as short from documents",
     "short_key": """select file_key, regexp_replace(regexp_replace(file_name, '\\.[^.]*$', ''), '[^A-Za-z0-9_.-]', '_', 'g') || '__' || substr(sha1('/in/' || template_key || '/' || file_name), 1, 12) as made,
   regexp_matches(file_key, '__[0-9a-f]{12}$') as well_formed from packages""",
     "durable_id": f"select p_partkey, ('0x' || {_HASH.format(c='p_name')})::bigint % 2147483646 + 1 as durable_id, {_HASH.format(c='p_name')} as nsid from part",
-    "free_ids": f"""with taken as (select {_HASH.format(c='p_name')} as h from part where p_partkey <= 5)
-select p_partkey, case when {_HASH.format(c='p_name')} not in (select h from taken) then {_HASH.format(c='p_name')} else {_HASH.format(c="p_name || '__collision_1'")} end as free from part""",
+    "free_ids": f"""with m as (select p_brand, avg(p_retailprice) as mean from part group by all),
+taken as (select distinct p_brand, {_HASH.format(c='p_name')} as h from part join m using (p_brand) where p_retailprice > mean),
+tries as (select p_partkey, p_brand, i, {_HASH.format(c="(p_name || case when i > 0 then '__collision_' || i else '' end)")} as h from part, (select unnest(range(10)) as i))
+select p_partkey, arg_min(t.h, i) as free from tries t left join taken k on k.p_brand = t.p_brand and k.h = t.h where k.h is null group by all""",
     "custom_id": f"with {ROWS} select file_key || '__chunk' || idx as request, file_key as key, idx::int as chunk from rows_",
     "json_props": "select event_id, json_extract_string(props, '$.k')::bigint as k from events",
     "rel_target": "select distinct part_name, ltrim(trim(part_name), './') as target from package_parts where part_name is not null",

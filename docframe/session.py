@@ -52,6 +52,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name beside the tables, deleted with them."""
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/files-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.unregister(_remove_tables)
+        atexit.register(_remove_tables)
+    _written.append((spark, path))
+    return path
+
+
 def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """:func:`cut` with aggregates observed while the table is written, without a further pass."""
     seen = Observation()

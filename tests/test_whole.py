@@ -2,7 +2,10 @@
 
 import re
 
-from docframe.plans import catalog
+from pyspark.sql import functions as F
+
+from docframe.functions import text
+from docframe.plans import catalog, text_queries
 
 
 def test_closure_of_every_style(spark, tmp_path):
@@ -21,7 +24,7 @@ def test_closure_of_every_style(spark, tmp_path):
             if (template, seed, at) not in want:
                 want.add((template, seed, at))
                 todo += edges.get((template, at), ())
-    got = [tuple(r) for r in catalog.QUERIES["dep_closure_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalog.QUERIES["dep_closure"](spark, str(tmp_path)).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -54,17 +57,16 @@ def _number(text):
 
 def test_cases_and_numbers_of_every_text(spark, tmp_path):
     spark.createDataFrame([("f", [(i, t, False, None) for i, t in enumerate(TEXTS)])], "file_key string, paragraphs array<struct<paragraph_index int, text string, in_table boolean, marker_type string>>").write.parquet(f"{tmp_path}/slim_bundle.parquet")
-    cases = {r.idx: (r.pattern, r.title) for r in catalog.QUERIES["case_pattern_all"](spark, str(tmp_path)).collect()}
+    cases = {r.idx: (r.pattern, r.title) for r in catalog.QUERIES["case_pattern"](spark, str(tmp_path)).collect()}
     assert cases == {i: (_pattern(t), None if t is None else " ".join(map(_title, t.split()))) for i, t in enumerate(TEXTS)}
-    numbers = {r.idx: r.number for r in catalog.QUERIES["section_number_all"](spark, str(tmp_path)).collect()}
+    numbers = {r.idx: r.number for r in catalog.QUERIES["section_number"](spark, str(tmp_path)).collect()}
     assert numbers == {i: _number(t) for i, t in enumerate(TEXTS)}
 
 
-def test_all_boilerplate_rules_run(spark, tmp_path):
-    texts = ["[Note to Specifier: pick one.]", "Retain paragraph below if needed.", "Copyright 2030 by X", "-----", "Page 3 of 9", "REV 2", "Hidden text: x", "Provide [9 mm] pins unless the drawings show otherwise.", "All rights reserved. Provide pumps.", None]
-    spark.createDataFrame([("f", [(i, t, False, None) for i, t in enumerate(texts)])], "file_key string, paragraphs array<struct<paragraph_index int, text string, in_table boolean, marker_type string>>").write.parquet(f"{tmp_path}/slim_bundle.parquet")
-    got = {r.idx: (r.clean, r.tags) for r in catalog.QUERIES["boilerplate_strip_all"](spark, str(tmp_path)).collect()}
-    tags = ["specifier_note", "masterspec_instruction", "copyright", "separator", "page_number", "revision_mark", "hidden_text"]
-    assert got == {**{i: ("", t) for i, t in enumerate(tags)}, 7: (texts[7], ""), 8: ("Provide pumps.", "copyright")}
-    report = {(r.action, r.tag): r.n for r in catalog.QUERIES["filter_report_all"](spark, str(tmp_path)).collect()}
-    assert report == {**{("removed", t): 1 for t in tags}, ("stripped", "copyright"): 1}
+def test_boilerplate_both_ways(spark):
+    """All probes but the last four are boilerplate and go as a whole, or leave what stands around them."""
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate(text_queries.PROBES)], "i int, t string").withColumn("s", text.strip_boilerplate(F.col("t")))
+    got = [(r.t, r.s.text, r.s.tags) for r in frame.orderBy("i").collect()]
+    assert all(clean in ("", "before  behind") and tags for _, clean, tags in got[:-4])
+    assert all(clean == t and not tags for t, clean, tags in got[-4:])
+    assert {t for *_, tags in got for t in tags} == {"specifier_note", "masterspec_instruction", "copyright", "separator", "page_number", "revision_mark", "hidden_text"}
