@@ -7,6 +7,7 @@ self-closing element is swallowed together with the next one. Block numbers coun
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,16 +23,24 @@ def blocks(xml: Column, tag: str) -> Column:
     return F.regexp_extract_all(xml, F.lit(rf"(<{tag}\b[\s\S]*?</{tag}>)"), F.lit(1))
 
 
-def block_spans(xml: Column, tag: str) -> Column:
-    """``array<struct<start, stop, xml>>`` of the blocks, 0-based, stop exclusive."""
-    start = F.struct(F.array().cast("array<struct<start:int,stop:int,xml:string>>").alias("out"), F.lit(0).alias("at"))
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("xml", T.StringType())])
+
+
+@F.pandas_udf(T.ArrayType(_SPAN))
+def _spans(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, tags in batches:
+        tag = re.escape(tags.iloc[0]) if len(tags) else ""
+        pattern = re.compile(rf"<{tag}\b[\s\S]*?</{tag}>", re.ASCII)
+        yield texts.map(lambda t: None if t is None else [{"start": m.start(), "stop": m.end(), "xml": m[0]} for m in pattern.finditer(t)])
 
-    def step(state, block):
-        first = F.call_function("locate", block, xml, state["at"] + 1) - 1
-        stop = first + F.length(block)
-        return F.struct(F.array_append(state["out"], F.struct(first.alias("start"), stop.alias("stop"), block.alias("xml"))).alias("out"), stop.alias("at"))
 
-    return F.aggregate(blocks(xml, tag), start, step)["out"]
+def block_spans(xml: Column, tag: str) -> Column:
+    """``array<struct<start, stop, xml>>`` of the blocks, 0-based, stop exclusive.
+
+    Native functions give no offsets, and a fold over the blocks copies its array for each of them, so
+    this is one pass per document in an Arrow batch.
+    """
+    return _spans(xml, F.lit(tag))
 
 
 def explode_blocks(df: DataFrame, column: str, tag: str, index: str = "idx", block: str = "block") -> DataFrame:

@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.functions import ids
@@ -27,6 +27,11 @@ def chunked(rows: DataFrame, overhead: int = 200, max_chars: int = MAX_CHARS, ma
     return overlapping_chunks(rows.join(sizes, "file_key"), ["file_key"], "paragraph_index", F.col("__rows")).drop("rn", "__rows")
 
 
+def read_prompt(spark: SparkSession, path: str) -> str:
+    """An instruction kept as a text file, without surrounding white space."""
+    return spark.read.text(path, wholetext=True).first().value.strip()
+
+
 def request_text(instruction: str, roles: list[str], bundle: Column) -> Column:
     """Instruction, roles and bundle as one message."""
     return F.concat(F.lit(instruction.strip() + "\n\navailable_roles: "), F.to_json(F.array(*map(F.lit, roles))), F.lit("\n\n"), bundle)

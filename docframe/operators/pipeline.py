@@ -289,6 +289,12 @@ def contract_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return compare_maps(forms[0], forms[1], ["file_key", "idx"], "form")
 
 
+def stability_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Header and footer parts whose content differs between two states of packages: ``file_key, part_name, before, after, change``, contents as hashes."""
+    held = lambda parts: parts.where(F.col("part_name").rlike(r"^word/(header|footer)[^/]*\.xml$")).select("file_key", "part_name", F.sha2("content", 256).alias("digest"))
+    return compare_maps(held(before), held(after), ["file_key", "part_name"], "digest")
+
+
 def difference(before: str, after: str | None, most: int = 4000) -> str:
     """A unified diff of two forms, cut at ``most`` characters."""
     lines = difflib.unified_diff((before or "").splitlines(), (after or "").splitlines(), "before", "after", lineterm="")

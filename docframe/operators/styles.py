@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docframe.functions import edit, markup
+from docframe.functions.text import squeeze
 
 # Styles that exist without a definition, and run properties an imported style must name itself.
 IMPLICIT = {"Normal", "DefaultParagraphFont", "TableNormal", "NoList"}
@@ -27,6 +30,21 @@ def first_and_last(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return blocks.groupBy(*keys, "style_id").agg(F.min_by("xml", "pos").alias("first_xml"), F.max_by("xml", "pos").alias("last_xml"))
 
 
+def brings_layout(xml: Column) -> Column:
+    """Whether a style brings its own paragraph layout."""
+    return F.coalesce(xml.rlike("<w:(spacing|ind|jc|numPr)"), F.lit(False))
+
+
+def renumbered(xml: Column, old: Column, new: Column) -> Column:
+    """A style block with one number in place of another."""
+    return F.regexp_replace(xml, F.concat(F.lit(r'(<w:numId\s+w:val=")'), old.cast("string"), F.lit('"')), F.concat(F.lit("$1"), new.cast("string"), F.lit('"')))
+
+
+def same_form(a: Column, b: Column) -> Column:
+    """Whether two blocks differ in white space only."""
+    return squeeze(a).eqNullSafe(squeeze(b))
+
+
 @dataclass
 class Sheet:
     """A style sheet with its blocks by id; the first block of an id is the one that counts."""
@@ -169,3 +187,23 @@ def import_styles(target_xml: str, template: Sheet, wanted: list[str], numbers:
             raise ValueError("the target style sheet is not closed")
         xml = put
     return xml, done
+
+
+IMPORTED = "file_key string, xml string, done map<string,string>, error string"
+
+
+def import_rows(rows: DataFrame) -> DataFrame:
+    """:func:`import_styles` for ``rows(file_key, target, template, wanted)``, sheets as texts: ``file_key, xml, done, error``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                try:
+                    xml, done = import_styles(row.target, Sheet(row.template), list(row.wanted))
+                    out.append((row.file_key, xml, done, None))
+                except ValueError as error:
+                    out.append((row.file_key, None, None, str(error)))
+            yield pd.DataFrame(out, columns=["file_key", "xml", "done", "error"])
+
+    return rows.select("file_key", "target", "template", "wanted").mapInPandas(run, IMPORTED)

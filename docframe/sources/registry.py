@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.functions import markup
@@ -30,23 +31,34 @@ FRAGMENTS = {"pPr": "w:pPr", "rPr": "w:rPr", "tblPr": "w:tblPr", "trPr": "w:trPr
 
 def contract_root(path: str) -> str:
     """The folder of both contract files, given it or one of them."""
-    folder = os.path.dirname(path) if os.path.isfile(path) else path
-    missing = [n for n in (STYLE_FILE, TEMPLATE_FILE) if not os.path.exists(os.path.join(folder, n))]
+    system, place = pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+    is_file = system.get_file_info(place).type == pafs.FileType.File
+    folder, place = (os.path.dirname(x) if is_file else x for x in (path, place))
+    missing = [n for n in (STYLE_FILE, TEMPLATE_FILE) if system.get_file_info(f"{place}/{n}").type != pafs.FileType.File]
     if missing:
         raise FileNotFoundError(f"{folder} lacks {', '.join(missing)}")
     return folder
 
 
+def parsed(text: Column, schema: str) -> Column:
+    """A contract's JSON as a struct. Names that differ in case only are told apart before parsing."""
+    return F.from_json(F.replace(F.replace(text, F.lit('"styleId"'), F.lit('"styleId_"')), F.lit('"rId"'), F.lit('"rid"')), schema)
+
+
 def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One row per file. Names that differ in case only are told apart before parsing."""
-    text = F.replace(F.replace(F.col("value"), F.lit('"styleId"'), F.lit('"styleId_"')), F.lit('"rId"'), F.lit('"rid"'))
-    return spark.read.text(path, wholetext=True).select(F.from_json(text, schema).alias("j")).select("j.*")
+    """One row per file."""
+    return spark.read.text(path, wholetext=True).select(parsed(F.col("value"), schema).alias("j")).select("j.*")
+
+
+def usable_roles(contracts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, role, style_id`` of parsed style registries: usable roles only, either spelling of the key, trimmed."""
+    rows = contracts.select(*keys, F.explode("roles").alias("role", "r"))
+    return rows.select(*keys, "role", F.coalesce(nullif_empty(F.trim("r.style_id")), nullif_empty(F.trim("r.styleId_"))).alias("style_id")).where("style_id is not null")
 
 
 def role_styles(spark: SparkSession, folder: str) -> DataFrame:
-    """``role, style_id``: usable roles only, either spelling of the key, trimmed; an error if none is usable."""
-    rows = _json(spark, os.path.join(folder, STYLE_FILE), ROLE_SCHEMA).select(F.explode("roles").alias("role", "r"))
-    usable = rows.select("role", F.coalesce(nullif_empty(F.trim("r.style_id")), nullif_empty(F.trim("r.styleId_"))).alias("style_id")).where("style_id is not null")
+    """``role, style_id`` of one registry; an error if no role is usable."""
+    usable = usable_roles(_json(spark, os.path.join(folder, STYLE_FILE), ROLE_SCHEMA), [])
     if usable.isEmpty():
         raise ValueError("no role of the style registry has a style")
     return usable
@@ -55,7 +67,8 @@ def role_styles(spark: SparkSession, folder: str) -> DataFrame:
 def available_roles(spark: SparkSession, folder: str) -> list[str] | None:
     """All role names, usable or not, sorted; None without a registry file."""
     path = os.path.join(folder, STYLE_FILE)
-    if not os.path.exists(path):
+    system, place = pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+    if system.get_file_info(place).type != pafs.FileType.File:
         return None
     return _json(spark, path, ROLE_SCHEMA).select(F.array_sort(F.map_keys("roles")).alias("r")).first().r
 
@@ -69,9 +82,9 @@ def template(spark: SparkSession, folder: str) -> DataFrame:
     return _json(spark, os.path.join(folder, TEMPLATE_FILE), TEMPLATE_SCHEMA)
 
 
-def style_defs(template_row: DataFrame) -> DataFrame:
+def style_defs(template_row: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Style definitions with their position."""
-    return template_row.select(F.posexplode("styles.style_defs").alias("pos", "s")).select("pos", "s.*")
+    return template_row.select(*keys, F.posexplode("styles.style_defs").alias("pos", "s")).select(*keys, "pos", "s.*")
 
 
 def style_markup() -> F.Column:
@@ -119,36 +132,37 @@ def template_sheet(template_row: DataFrame, raw: str | None = None) -> str:
     return sheet.xml if sheet else f"{SHEET_HEAD}\n</w:styles>"
 
 
-def header_footer_entries(template_row: DataFrame) -> DataFrame:
+def header_footer_entries(template_row: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Headers, then footers: ``kind, pos, part_name, xml, rels_xml, rels_part_name, rid, media``, alias columns merged."""
     parts = []
     for kind, column in (("header", "headers"), ("footer", "footers")):
-        rows = template_row.select(F.lit(kind).alias("kind"), F.posexplode(f"headers_footers.{column}").alias("pos", "e")).where("e is not null")
+        rows = template_row.select(*keys, F.lit(kind).alias("kind"), F.posexplode(f"headers_footers.{column}").alias("pos", "e")).where("e is not null")
         parts.append(
             rows.select(
-                "kind", "pos", "e.part_name", F.coalesce(nullif_empty(F.col("e.xml")), F.col("e.part_xml")).alias("xml"), F.coalesce(nullif_empty(F.col("e.rels_xml")), F.col("e.relationships_xml")).alias("rels_xml"),
+                *keys, "kind", "pos", "e.part_name", F.coalesce(nullif_empty(F.col("e.xml")), F.col("e.part_xml")).alias("xml"), F.coalesce(nullif_empty(F.col("e.rels_xml")), F.col("e.relationships_xml")).alias("rels_xml"),
                 "e.rels_part_name", F.coalesce("e.relationship_id", "e.rid", "e.rel_id").alias("rid"), F.when(F.size("e.media") > 0, F.col("e.media")).otherwise(F.col("e.media_files")).alias("media"),
             )
         )
     return parts[0].unionByName(parts[1])
 
 
-def media_items(entries: DataFrame) -> DataFrame:
+def media_items(entries: DataFrame, keys: list[str] = ()) -> DataFrame:
     """``part_name, item, filename, content`` of the media with a name and a content; names are base names."""
-    rows = entries.select("part_name", F.posexplode("media").alias("item", "m"))
+    rows = entries.select(*keys, "part_name", F.posexplode("media").alias("item", "m"))
     name = F.coalesce(*(nullif_empty(F.trim(f"m.{c}")) for c in ("path", "target", "name", "filename")))
     content = F.coalesce(*(nullif_empty(F.col(f"m.{c}")) for c in ("content_base64", "base64", "data", "data_base64")))
-    return rows.select("part_name", (F.col("item") + 1).alias("item"), F.element_at(F.split(name, "/"), -1).alias("filename"), F.unbase64(content).alias("content")).where("filename <> '' and content is not null")
+    return rows.select(*keys, "part_name", (F.col("item") + 1).alias("item"), F.element_at(F.split(name, "/"), -1).alias("filename"), F.unbase64(content).alias("content")).where("filename <> '' and content is not null")
 
 
-def violations(template_row: DataFrame, roles: DataFrame) -> DataFrame:
-    """All problems of both contracts at once: ``rule, item``; empty if they are sound."""
-    defs = style_defs(template_row).withColumn("id", F.trim(F.coalesce("style_id", F.lit(""))))
-    rule = lambda df, name, item: df.select(F.lit(name).alias("rule"), item.cast("string").alias("item"))
+def violations(template_row: DataFrame, roles: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """All problems of both contracts at once: ``keys, rule, item``; empty if they are sound. ``keys`` tell templates apart."""
+    keys = list(keys)
+    defs = style_defs(template_row, keys).withColumn("id", F.trim(F.coalesce("style_id", F.lit(""))))
+    rule = lambda df, name, item: df.select(*keys, F.lit(name).alias("rule"), item.cast("string").alias("item"))
     out = [
         rule(defs.where("id = ''"), "style_without_id", F.col("pos")),
-        rule(defs.where("id <> ''").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "duplicate_style", F.col("id")),
-        rule(roles.join(defs.select(F.col("id").alias("style_id")), "style_id", "left_anti"), "role_style_unknown", F.concat_ws(":", "role", "style_id")),
+        rule(defs.where("id <> ''").groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "duplicate_style", F.col("id")),
+        rule(roles.join(defs.select(*keys, F.col("id").alias("style_id")), [*keys, "style_id"], "left_anti"), "role_style_unknown", F.concat_ws(":", "role", "style_id")),
     ]
     for column, tag in FRAGMENTS.items():
         error = markup.fragment_error(F.col(column), tag)
@@ -158,13 +172,13 @@ def violations(template_row: DataFrame, roles: DataFrame) -> DataFrame:
         out.append(rule(template_row.where(error.isNotNull()), "bad_fragment", F.lit(column)))
     default = F.col("page_layout.default_section.sectPr")
     out.append(rule(template_row.where(F.trim(F.coalesce(default, F.lit(""))) == ""), "no_default_section", F.lit("page_layout.default_section.sectPr")))
-    chain = template_row.select(F.posexplode("page_layout.section_chain").alias("pos", "s"))
+    chain = template_row.select(*keys, F.posexplode("page_layout.section_chain").alias("pos", "s"))
     out.append(rule(chain.where(markup.fragment_error(F.col("s.sectPr"), "w:sectPr").isNotNull()), "bad_section", F.col("pos")))
-    abstracts = template_row.select(F.explode("numbering.abstract_nums").alias("a")).select("a.abstractNumId")
-    nums = template_row.select(F.explode("numbering.nums").alias("n")).select("n.numId", "n.abstractNumId")
+    abstracts = template_row.select(*keys, F.explode("numbering.abstract_nums").alias("a")).select(*keys, "a.abstractNumId")
+    nums = template_row.select(*keys, F.explode("numbering.nums").alias("n")).select(*keys, "n.numId", "n.abstractNumId")
     out.append(rule(abstracts.where("abstractNumId is null"), "abstract_without_id", F.lit("numbering.abstract_nums")))
     out.append(rule(nums.where("numId is null or abstractNumId is null"), "num_without_id", F.col("numId")))
-    out.append(rule(nums.where("numId is not null").join(abstracts, "abstractNumId", "left_anti").where("abstractNumId is not null"), "num_abstract_unknown", F.concat_ws(":", "numId", "abstractNumId")))
+    out.append(rule(nums.where("numId is not null").join(abstracts, [*keys, "abstractNumId"], "left_anti").where("abstractNumId is not null"), "num_abstract_unknown", F.concat_ws(":", "numId", "abstractNumId")))
     rows = out[0]
     for more in out[1:]:
         rows = rows.unionByName(more)
