@@ -66,6 +66,26 @@ def fold(text: str) -> tuple[str, set[str]]:
     return composed, why
 
 
+class _Plain(dict):
+    """A translation table that folds each character once and remembers it."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        self[code] = plain = ch if " " <= ch < "\x7f" else fold_char(ch)[0]
+        return plain
+
+
+class _Latin(dict):
+    """Look-alike letters as Latin ones, everything else as it is."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
+_PLAIN, _LATIN = _Plain(), _Latin({k: ord(v) for k, v in TO_LATIN.items()})
+
+
 def skeleton(text: str) -> str:
     """``text`` folded, with look-alike letters as Latin ones; equal for texts that look equal."""
-    return text if text.isascii() else fold(text)[0].translate(TO_LATIN)
+    return text if text.isascii() else unicodedata.normalize("NFC", text.translate(_PLAIN)).translate(_LATIN)

@@ -159,13 +159,15 @@ SLOTS = {
     "tbd": r"(?<![A-Za-z0-9])TBD(?![A-Za-z0-9])",
 }
 # A heading or paragraph that only names itself.
-SELF_NAMED = re.compile(r"(?:(?:heading|paragraph|section|title|überschrift|absatz|titre|paragraphe|título|párrafo|заголовок|абзац) ?[0-9]{1,2}[ ,]*){2,}", re.I)
+_NAMES = [skeleton(w).lower() for w in "heading paragraph section title überschrift absatz titre título párrafo заголовок абзац".split()]
+SELF_NAMED = re.compile(rf"(?:(?:{'|'.join(_NAMES)})e? ?[0-9]{{1,2}}[ ,]*){{2,}}", re.I)
 
 # Texts that are nothing but an unset value.
 UNSET = {"undefined", "null", "nan", "[object object]"}
 
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"(?<=[.!?;])\s+|\s*\n\s*")
+_STRETCH = re.compile(r"[^.!?;\n]{20,}")
 _SPACES = str.maketrans("\t\n\v\f\r\u00a0", "      ")
 # The end of a message's variable tail: a code, or what was being done.
 _CODE = re.compile(r"\b0x[0-9a-f]+\b\)?|\b(?:code|error|fehler|erreur|código|код)\b[ .:#]*[0-9][0-9a-f-]*\b\)?|\((?:status|reference|ref|request|id)\b[^()]*[0-9][^()]*\)")
@@ -208,7 +210,8 @@ def build_automaton() -> ahocorasick.Automaton:
         for shape in dict.fromkeys(x for p in phrases for x in _shapes(p)):
             entries.setdefault(shape, []).append((kind, None))
     for word in DUMMY_WORDS:
-        entries.setdefault(word, []).append(("dummy", None))
+        if word not in PLAIN_WORDS:  # those count beside one of these only
+            entries.setdefault(word, []).append(("dummy", None))
     for opener, pattern in SLOTS.items():
         entries.setdefault(opener, []).append(("slot", re.compile(pattern)))
     for text, kinds in entries.items():
@@ -253,7 +256,7 @@ def repeated(low: str, start: int) -> list[tuple[int, int]]:
     """The stretches from any word start behind ``start`` in which :func:`repeats` finds a phrase said over and over."""
     words = low.split()
     # Three phrases of n words agree with what stands n words on in 2n words, the last of which may carry a full stop.
-    if len(set(words)) == len(words) or not any(bytes(map(eq, words, words[n:])).find(b"\1" * (2 * n - 1)) >= 0 for n in (1, 2, 3)):
+    if not (b"\1" in bytes(map(eq, words, words[1:])) or b"\1\1\1" in bytes(map(eq, words, words[2:])) or b"\1\1\1\1\1" in bytes(map(eq, words, words[3:]))):
         return []
     spaced = low.translate(_SPACES)
     words = spaced[start:].split(" ")
@@ -305,13 +308,11 @@ def _judge(plain: str, low: str, s: int, e: int, spans: list[tuple[int, int, str
         return {k for a, b, k in spans if k == "error" and any(covered[a:b])}
     kinds, hit = set(), set()
     opening = words[0][0]
-    plain_latin = not any(w[2] in _DUMMY and w[2] not in PLAIN_WORDS for w in words)
+    latin = any(kind == "dummy" for *_, kind in spans)
     for a, b, kind in spans:
         inside = [i for i, w in enumerate(words) if w[0] < b and w[1] > a]
         if not inside and kind not in ("error", "filler"):
             continue
-        if kind == "dummy" and plain_latin:
-            continue
         if kind in ("state", "noun"):
             other = _near(words, inside[0], inside[-1], _NOUNS if kind == "state" else _ACTS)
             if other is None:
@@ -346,7 +347,12 @@ def _judge(plain: str, low: str, s: int, e: int, spans: list[tuple[int, int, str
             covered[s : code.end()] = b"\1" * (code.end() - s)
     if not kinds:
         return kinds
-    if not plain_latin and len(words) >= 4 and not any(w[2] in _FUNCTION and w[2] not in _LATIN_WORDS for w in words):
+    if latin:
+        for i, w in enumerate(words):
+            if w[2] in PLAIN_WORDS:
+                hit.add(i)
+                covered[w[0] : w[1]] = b"\1" * (w[1] - w[0])
+    if latin and len(words) >= 4 and not any(w[2] in _FUNCTION and w[2] not in _LATIN_WORDS for w in words):
         hit.update(range(len(words)))  # dummy Latin with words of its own
         covered[s:e] = b"\1" * (e - s)
     core = set(hit)
@@ -366,12 +372,9 @@ def _judge(plain: str, low: str, s: int, e: int, spans: list[tuple[int, int, str
     return set()
 
 
-_DUMMY = frozenset(DUMMY_WORDS)
-
-
 def says_the_same(words: list[str]) -> bool:
     """Whether a sentence of seven words or more without function words has few different ones."""
-    return len(words) >= 7 and len(set(words)) <= 0.7 * len(words) and all(w.isalpha() and w not in _FUNCTION for w in words)
+    return len(words) >= 7 and len(set(words)) <= 0.7 * len(words) and _FUNCTION.isdisjoint(words) and all(map(str.isalpha, words))
 
 
 def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float = MIN_COVERAGE) -> tuple[str, float] | None:
@@ -403,12 +406,12 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float
     if len(set(every)) < len(every):
         spans += ((a, b, "filler") for a, b in repeated(low, body))
         if len(set(every)) <= 0.85 * len(every):
-            for m in re.finditer(r"[^.!?;\n]+", low[body:]):
-                if says_the_same(_WORD.findall(m[0])):
-                    spans.append((body + m.start(), body + m.end(), "filler"))
+            for m in _STRETCH.finditer(low, body):
+                if says_the_same(m[0].split()):
+                    spans.append((m.start(), m.end(), "filler"))
     if mash:
         spans += ((a, b, "filler") for a, b in mash_runs(low, mash))
-    if "1" in low:
+    if "1" in low and any(w in low for w in _NAMES):
         spans += ((m.start(), m.end(), "filler") for m in SELF_NAMED.finditer(plain))
     if not spans:
         return None
