@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docframe.functions import markup, text
 from docframe.operators.context import CONTEXT_CHARS, PREVIEW_CHARS, TEXT_CHARS, neighbours
 from docframe.operators.relational import inside_any
+from docframe.session import cut
 
 
 @dataclass
@@ -40,7 +41,7 @@ def analyse(documents: DataFrame, available_roles: list[str] | None = None) -> A
     roles = available_roles or text.ROLES
     allowed = F.array(*map(F.lit, roles))
     spans = documents.where("xml is not null").select(
-        "file_key", markup.block_spans(F.col("xml"), "w:tbl").alias("tables"), F.posexplode(markup.block_spans(F.col("xml"), "w:p")).alias("paragraph_index", "p")
+        "file_key", F.transform(markup.block_spans(F.col("xml"), "w:tbl"), lambda t: F.struct(t["start"], t["stop"])).alias("tables"), F.posexplode(markup.block_spans(F.col("xml"), "w:p")).alias("paragraph_index", "p")
     )
     raw = spans.select("file_key", "paragraph_index", inside_any(F.col("p.start"), F.col("tables")).alias("in_table"), F.col("p.xml").alias("xml"))
     raw = raw.where(~markup.has_section_break(F.col("xml"))).withColumn("raw_text", markup.block_text(F.col("xml"))).where("raw_text <> ''")
@@ -67,6 +68,7 @@ def analyse(documents: DataFrame, available_roles: list[str] | None = None) -> A
         text.marker_type(F.col("clean_text"), markup.attribute(xml, "w:numId")).alias("marker_type"),
         markup.numbering(xml).alias("num_pr"),
     )
+    kept = cut(kept)  # the rows meet their neighbours and are read again by what follows
     seen = neighbours(kept, ["file_key"], "paragraph_index", F.col("text"))
     head = lambda c: F.coalesce(F.substring(c, 1, CONTEXT_CHARS), F.lit(""))
     role = text.rule_role(F.col("text"), F.col("marker_type"), F.col("before"), F.col("in_table"))

@@ -7,6 +7,7 @@ itself is. Everything that relates packages or catalogues to each other stays re
 from __future__ import annotations
 
 import difflib
+import json
 import time
 import traceback
 from collections.abc import Callable
@@ -42,7 +43,10 @@ class Config:
 
 
 def load_config(spark, folder: str, raw_styles: str | None = None, raw_settings: str | None = None) -> Config:
-    """Read and check both contracts; any violation stops here, before anything is changed."""
+    """Read and check both contracts; any violation stops here, before anything is changed.
+
+    Raw style and settings parts beside the contracts count unless others are given.
+    """
     root = registry.contract_root(folder)
     roles, template = registry.role_styles(spark, root), registry.template(spark, root)
     registry.check(template, roles)
@@ -50,9 +54,9 @@ def load_config(spark, folder: str, raw_styles: str | None = None, raw_settings:
         {r.role: r.style_id for r in roles.collect()},  # a row per role
         registry.available_roles(spark, root),
         template.first().asDict(recursive=True),
-        registry.template_sheet(template, raw_styles),
+        registry.template_sheet(template, raw_styles or registry.raw_part(spark, root, registry.RAW_STYLES)),
         registry.source_tokens(spark, root),
-        raw_settings,
+        raw_settings or registry.raw_part(spark, root, registry.RAW_SETTINGS),
     )
 
 
@@ -93,15 +97,9 @@ def plan_numbers(parts: DataFrame, final: DataFrame, config: Config) -> numberin
     sheet = spark.createDataFrame([("", config.sheet)], "template_key string, xml string")
     used = numbering.style_numbers(style_blocks(sheet, ["template_key"]), ["template_key"])
     usage = final.join(roles, "csi_role").select("file_key", "style_id").distinct().join(used, "style_id")
-    known = config.template.get("numbering") or {}
-    nums = [("", n["numId"], n["abstractNumId"], n["xml"] or "") for n in known.get("nums") or []]
-    abstracts = [("", a["abstractNumId"], a["xml"] or "") for a in known.get("abstract_nums") or []]
-    return numbering.plan(
-        usage,
-        spark.createDataFrame(nums, "template_key string, num_id int, abstract_id int, xml string"),
-        spark.createDataFrame(abstracts, "template_key string, abstract_id int, xml string"),
-        docx.part_text(parts, NUMBERING),
-    )
+    contract = spark.createDataFrame([("", json.dumps({"numbering": config.template.get("numbering")}))], "template_key string, json string")
+    template = contract.select("template_key", registry.parsed(F.col("json"), registry.TEMPLATE_SCHEMA).alias("j")).select("template_key", "j.*")
+    return numbering.plan(usage, *registry.numbering_rows(template, ["template_key"]), docx.part_text(parts, NUMBERING))
 
 
 def apply_roles(xml: str, styles: Sheet, roles: dict[str, str], classes: list[tuple[int, str]]) -> tuple[str, Report]:

@@ -65,7 +65,7 @@ def style_references(style_defs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "revision",
         "loaded_at",
     ).where("owner_key is not null and item_key <> ''")
-    rank = F.struct(F.coalesce("revision", F.lit(-(2**31))).alias("r"), F.col("loaded_at"), F.col("is_deleted"), F.col("based_on"))
+    rank = F.struct(F.coalesce("revision", F.lit(-(2**31))).alias("r"), F.col("loaded_at"), F.col("is_deleted"), F.col("based_on"), F.col("next"), F.col("link"))
     now = rows.groupBy("owner_key", "item_key").agg(
         F.max_by(F.struct("based_on", "next", "link", "is_deleted", "loaded_at"), rank).alias("row"),
         F.min("loaded_at").alias("first_loaded"),

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docframe.functions import edit, markup, text
-from docframe.operators import batches, closure, environment, footers, layout, numbering, pipeline, relational, styles
+from docframe.operators import batches, classify, environment, footers, layout, numbering, pipeline, relational, styles
 from docframe.operators import paragraphs as doc_paragraphs
-from docframe.operators.context import splice
+from docframe.operators.context import splice, with_context
 from docframe.operators.hierarchy import current_rows
 from docframe.operators.references import part_key
 from docframe.plans.link_queries import ROLE_STYLES, deterministic, unresolved_filter
@@ -393,7 +393,18 @@ def _numbering(spark, folder):
     usage = packages.join(now.where("semi_hidden and qformat").select("template_key", "style_id", F.col("ui_priority").alias("num_id")), "template_key").select("file_key", "template_key", "style_id", "num_id")
     k = F.col("size_bytes") % 50
     targets = packages.where("size_bytes is not null").select("file_key", text_of('<w:numbering><w:abstractNum w:abstractNumId="', k, '"><w:nsid w:val="AAAAAAAA"/></w:abstractNum><w:num w:numId="', k, '"><w:abstractNumId w:val="', k, '"/></w:num></w:numbering>').alias("xml"))
-    return usage, nums, abstracts, targets
+    # The definitions travel as registries do: arrays in the JSON of each template.
+    held = lambda rows, **names: rows.groupBy("template_key").agg(F.collect_list(F.struct(*(F.col(c).alias(n) for n, c in names.items()))).alias("held"))
+    made = held(nums, numId="num_id", abstractNumId="abstract_id", xml="xml").withColumnRenamed("held", "nums").join(held(abstracts, abstractNumId="abstract_id", xml="xml").withColumnRenamed("held", "abstract_nums"), "template_key", "left")
+    made = made.select("template_key", registry.parsed(F.to_json(F.struct(F.struct("nums", "abstract_nums").alias("numbering"))), registry.TEMPLATE_SCHEMA).alias("j")).select("template_key", "j.*")
+    return usage, *registry.numbering_rows(made, ["template_key"]), targets
+
+
+def numbering_registry(spark, folder):
+    """Numbers of every template's registry with their abstract definition, null where it is missing."""
+    _, nums, abstracts, _ = _numbering(spark, folder)
+    rows = nums.join(abstracts.select("template_key", "abstract_id", F.col("xml").alias("abstract_xml")), ["template_key", "abstract_id"], "left")
+    return rows.select("template_key", "num_id", "abstract_id", "xml", "abstract_xml")
 
 
 def numbering_plan(spark, folder):
@@ -533,7 +544,8 @@ def _hf_packages(spark, folder):
     rows = entries(spark, folder).where("part rlike '^word/(header|footer)[0-9]+\\\\.xml$' and rid is not null and rid <> ''")
     one = rows.groupBy("file_key", "part").agg(F.min_by(F.struct("entry_id", "hf_kind", "rid", "xml"), "entry_id").alias("e")).select("file_key", "part", "e.*")
     name = F.concat(F.col("entry_id").cast("string"), F.lit(".png"))
-    media = F.array(F.struct(F.concat(F.lit("word/media/"), name).alias("path"), F.base64(F.encode("xml", "UTF-8")).alias("content_base64")))
+    item = lambda path, content: F.struct(path.alias("path"), F.base64(F.encode(content, "UTF-8")).alias("content_base64"))
+    media = F.array(item(F.concat(F.lit("word/media/"), name), F.col("xml")), item(F.lit("logo.JPEG"), F.col("part")))
     rels = F.concat(F.lit('<R Target="./media/'), name, F.lit('"/>'))
     entry = F.struct("entry_id", F.struct(F.col("part").alias("part_name"), "xml", F.col("rid").alias("rId"), rels.alias("rels_xml"), media.alias("media")).alias("e"))
     held = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("hf_kind") == kind, entry))), lambda x: x["e"]).alias(f"{kind}s")
@@ -636,6 +648,20 @@ def reassembly(spark, folder):
     return good.unionByName(bad)
 
 
+class Reader:
+    """A classifier that reads the texts around a row: what follows a part heading is an article, what precedes one a paragraph."""
+
+    def classify_rows(self, records, roles):
+        return ["ARTICLE" if (r["prev_text"] or "").startswith("PART ") else "PARAGRAPH" if (r["next_text"] or "").startswith("PART ") else "SUBPARAGRAPH" for r in records]
+
+
+def context_classify(spark, folder):
+    """Rows classified chunk by chunk with the texts before and after them, the chunks merged."""
+    rows = bundle_rows(spark, folder).where("file_key is not null").select("file_key", F.col("idx").cast("int").alias("paragraph_index"), F.substring("text", 1, 40).alias("text"))
+    chunks = batches.chunked(with_context(rows, ["file_key"], "paragraph_index"), 0, 6000, 60)
+    return classify.merge_chunks(classify.classify_chunks(chunks, text.ROLES, Reader()), ["file_key", "paragraph_index"])
+
+
 class Recorder:
     """A transport that answers every request at the second look."""
 
@@ -687,7 +713,9 @@ def package_run(spark, folder):
     _write_text(contracts, registry.TEMPLATE_FILE, _template_json(spark, folder))
     docs = documents(spark, folder).select("file_key", F.regexp_replace(F.regexp_replace("xml", "^<w:document>", '<w:document xmlns:w="w">'), "</w:body></w:document>$", '<w:sectPr><w:pgSz w:w="1"/></w:sectPr></w:body></w:document>').alias("xml"))
     parts = {"[Content_Types].xml": F.lit("<Types/>"), "word/document.xml": F.col("xml"), "word/styles.xml": F.lit('<w:styles xmlns:w="w"></w:styles>'), "word/_rels/document.xml.rels": F.lit("<Relationships/>")}
-    rows = docs.select("file_key", F.inline(F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("part_name"), F.lit(8).alias("compress_type"), F.encode(c, "UTF-8").alias("content")) for i, (n, c) in enumerate(parts.items())))))
+    # Packages of one library lack their style sheet and fail alone.
+    lacking = table(spark, folder, "slim_bundle").groupBy("file_key").agg((F.min("library_code") == "LB-07").alias("lacking"))
+    rows = docs.join(lacking, "file_key").select("file_key", "lacking", F.inline(F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("part_name"), F.lit(8).alias("compress_type"), F.encode(c, "UTF-8").alias("content")) for i, (n, c) in enumerate(parts.items()))))).where("not (lacking and part_name = 'word/styles.xml')")
     docx.write_packages(rows, source).count()
     done = pipeline.run_batch(spark, source, contracts, out)
     return done.select(F.regexp_extract("file_key", "^(.*)__[0-9a-f]{12}$", 1).alias("file_key"), "success", F.col("requested").cast("bigint").alias("requested"), F.col("modified").cast("bigint").alias("modified"), F.col("path").isNotNull().alias("written"), (F.col("duration_seconds") > 0).alias("timed"), F.col("error"))
@@ -697,9 +725,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         package_scan, single_part, output_assembly, allowed_parts, wellformed_parts, prefix_check, role_preflight, answer_blocks, registry_roles, registry_available, template_registry, registry_violations, style_sheets, contract_config,
-        hf_registry, media_decode, bundle_analysis, bundle_report, table_ranges, restyle_paragraphs, style_edits, style_maps, style_extract, run_blocks, section_blocks, hf_relationships, numbering_plan, numbering_inject, footer_tokens,
+        hf_registry, media_decode, bundle_analysis, bundle_report, table_ranges, restyle_paragraphs, style_edits, style_maps, style_extract, run_blocks, section_blocks, hf_relationships, numbering_registry, numbering_plan, numbering_inject, footer_tokens,
         apply_case_pattern, page_layout, layout_violations, fonts_missing, theme_step, settings_step, fonts_step, defaults_step, headers_step, environment_run, style_import, stability_check, output_checks, contract_run, reassembly,
-        submitted, request_cap, prompt_text, package_run,
+        context_classify, submitted, request_cap, prompt_text, package_run,
     )
 }
 
@@ -793,6 +821,8 @@ select template_key, style_id, min(revision)::bigint as first_revision, max(revi
     "section_blocks": f"""with {ENTRIES} select file_key, row_number() over (partition by file_key order by entry_id) - 1 as idx, 'headerReference,pgSz,pgMar,custom' as children,
   '<w:sectPr w:rsidR="' || entry_id || '"><w:custom w:val="' || hf_kind || '"/></w:sectPr>' as form, length(xml)::varchar as top, '3' as left, null::varchar as right from entries""".replace(" as left", ' as "left"').replace(" as right", ' as "right"'),
     "hf_relationships": f"""with {ENTRIES} select distinct file_key, '<Relationship Id="' || coalesce(rid, '') || '" Type="http://x/relationships/' || hf_kind || '" Target="' || part || '"/>' as relationship from entries""",
+    "numbering_registry": f"""with {_NUMBERING} select n.template_key, num_id, n.abstract_id, {_N_OLD} as xml, case when a.abstract_id is not null then {_A_XML.format(a='a.abstract_id', h="'0000000' || a.abstract_id")} end as abstract_xml
+from nums n left join abstracts a on a.template_key = n.template_key and a.abstract_id = n.abstract_id""",
     "numbering_plan": f"""with {_NUMBERING} select s.file_key, 'style' as kind, style_id as item, s.num_id as old_id, n.new_id from sound s join new_n n on n.file_key = s.file_key and n.num_id = s.num_id
 union all select file_key, rule, styles, item, null from wrong""",
     "numbering_inject": f"""with {_NUMBERING}, a as (select file_key, k, string_agg({_A_XML.format(a='new_id', h=_HASH.format(c='(' + _A_OLD + ')'))}, chr(10) order by new_id) as x from new_a group by all),
@@ -824,7 +854,7 @@ select file_key, '<w:fonts><w:font w:name="Body"></w:font><w:font w:name="' || l
 select file_key, case when full_ then '<w:styles>' || block || '<w:s/></w:styles>' when library_code = 'LB-33' then '<other/>' else '<w:styles a=''b''>' || chr(10) || block || chr(10) || '<w:s/></w:styles>' end as styles,
   case when full_ then 'defaults: replaced' when library_code = 'LB-33' then 'defaults: the style sheet has no root, nothing changed' else 'defaults: inserted' end as log from b""",
     "headers_step": f"""with {_HF}, names as (
-  select file_key, part as name from hf union all select file_key, 'word/_rels/' || {_LAST} || '.xml.rels' from hf union all select file_key, 'word/media/hf_' || {_LAST} || '_01_' || substr(sha1(xml), 1, 8) || '.png' from hf
+  select file_key, part as name from hf union all select file_key, 'word/_rels/' || {_LAST} || '.xml.rels' from hf union all select file_key, 'word/media/hf_' || {_LAST} || '_01_' || substr(sha1(xml), 1, 8) || '.png' from hf union all select file_key, 'word/media/hf_' || {_LAST} || '_02_' || substr(sha1(part), 1, 8) || '.jpeg' from hf
   union all select distinct file_key, unnest(['[Content_Types].xml', 'word/_rels/document.xml.rels', 'word/document.xml']) from hf),
 h as (select file_key, n, string_agg('<Relationship Id="rId' || new_id || '" Type="{environment.REL_BASE}' || kind || '" Target="' || {_LAST} || '.xml"/>', '' order by new_id) as added from hf group by all)
 select h.file_key, (select string_agg(name, ',' order by name) from names m where m.file_key = h.file_key) as names, {_RELS_SQL} || added || '</Relationships>' as rels,
@@ -853,10 +883,13 @@ union all select file_key, 'missing_part', part from want w where not exists (se
     "reassembly": f"""with {_CHUNKED}, lib as (select file_key, min(library_code) as library from slim_bundle group by all)
 select k.file_key, case when library in ('LB-03', 'LB-04') then 0 else count(distinct idx) end as n, case when library not in ('LB-03', 'LB-04') then (select string_agg('n' || c, ',' order by c) from (select unnest(range(max(chunk) + 1)) as c)) end as notes,
   case when library in ('LB-03', 'LB-04') then 'coverage' end as reason from k join lib using (file_key) group by k.file_key, library""",
+    "context_classify": f"""with {ROWS}, t as (select file_key, idx, coalesce(lag(substr(text, 1, 40)) over w, '') as before, coalesce(lead(substr(text, 1, 40)) over w, '') as after from rows_ where file_key is not null window w as (partition by file_key order by idx))
+select file_key, idx::int as paragraph_index, case when before like 'PART %' then 'ARTICLE' when after like 'PART %' then 'PARAGRAPH' else 'SUBPARAGRAPH' end as csi_role from t""",
     "submitted": "select library_code || '__chunk0' as custom_id, 'succeeded' as status, 'True' as text from style_libraries",
     "request_cap": f"with {_CHUNKED}, n as (select count(*) as n from (select distinct file_key, chunk from k)) select cap, n > cap as refused from n, (values (1), (100), (1000000000)) v(cap)",
     "prompt_text": "select library_code, 'Read each row.' || chr(10) || 'Name its role.' || chr(10) || chr(10) || 'available_roles: [\"PART\"]' || chr(10) || chr(10) || title as message from style_libraries",
-    "package_run": f"""with {ANALYSIS}, f as (select distinct file_key from rows_ where file_key is not null), n as (select file_key, count(*) filter (where not in_table) as n from analysed group by all)
-select file_key, true as success, coalesce(n, 0) as requested, coalesce(n, 0) as modified, true as written, true as timed, null::varchar as error from f left join n using (file_key)""",
+    "package_run": f"""with {ANALYSIS}, f as (select distinct file_key from rows_ where file_key is not null), n as (select file_key, count(*) filter (where not in_table) as n from analysed group by all),
+lib as (select file_key, min(library_code) <> 'LB-07' as good from slim_bundle group by all)
+select file_key, good as success, coalesce(n, 0) as requested, case when good then coalesce(n, 0) else 0 end as modified, good as written, true as timed, case when not good then '''word/styles.xml''' end as error from f join lib using (file_key) left join n using (file_key)""",
 }
 ORACLES = {name: blank_trim(sql) for name, sql in ORACLES.items()}

@@ -281,7 +281,8 @@ def chunk_ranges(spark, folder):
 
 
 def chunk_sizing(spark, folder):
-    sizes = bundle_rows(spark, folder).groupBy("file_key").agg(F.sum(F.length(F.coalesce("text", F.lit(""))) + 60).alias("chars"), F.count(F.lit(1)).alias("n_rows"))
+    record = F.to_json(F.struct(F.col("idx").alias("paragraph_index"), "text"))
+    sizes = bundle_rows(spark, folder).groupBy("file_key").agg(F.sum(F.length(record)).alias("chars"), F.count(F.lit(1)).alias("n_rows"))
     return sizes.select("file_key", "n_rows", context.chunk_rows(F.col("chars") + 200, F.col("n_rows"), F.lit(200), 6000).alias("rows_per_chunk"))
 
 
@@ -364,7 +365,7 @@ select file_key, idx, text, coalesce(lag(substr(text, 1, 80)) over w, '') as pre
     "running_offset": f"with {LINES} select doc_id, idx, coalesce(sum(length(line) + 1) over (partition by doc_id order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as offset from lines".replace(" as offset", ' as "offset"'),
     "chunk_overlap": f"with {_CHUNKS} select file_key, idx, chunk from chunks",
     "chunk_ranges": f"with {_CHUNKS} select file_key, chunk, min(idx) as first_index, max(idx) as last_index, count(*) as n_rows from chunks group by all",
-    "chunk_sizing": f"with {ROWS}, s as (select file_key, sum(length(coalesce(text, '')) + 60)::bigint as chars, count(*) as n_rows from rows_ group by all) select file_key, n_rows, greatest(10, floor(5800 / greatest(chars / n_rows, 1.0)))::bigint as rows_per_chunk from s",
+    "chunk_sizing": f"""with {ROWS}, s as (select file_key, sum(length(case when text is null then '{{"paragraph_index":' || idx || '}}' else '{{"paragraph_index":' || idx || ',"text":' || to_json(text) || '}}' end))::bigint as chars, count(*) as n_rows from rows_ group by all) select file_key, n_rows, greatest(10, floor(5800 / greatest(chars / n_rows, 1.0)))::bigint as rows_per_chunk from s""",
     "chunk_completeness": f"""with {_CHUNKS}, e as (select file_key, count(distinct chunk) as n_expected, count(distinct case when length(text) > 250 then chunk end) as n_received from chunks group by all)
 select *, n_expected = n_received as complete from e""",
     "splice_roundtrip": "select doc_id, true as same, length(replace(text, chr(13) || chr(10), chr(10)))::bigint as n_chars from documents where text is not null",

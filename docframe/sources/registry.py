@@ -25,6 +25,8 @@ TEMPLATE_SCHEMA = (
     "numbering struct<abstract_nums:array<struct<abstractNumId:int,xml:string>>,nums:array<struct<numId:int,abstractNumId:int,xml:string>>>, "
     f"page_layout struct<default_section:struct<{_SECTION}>,section_chain:array<struct<{_SECTION}>>>, headers_footers struct<headers:array<struct<{_ENTRY}>>,footers:array<struct<{_ENTRY}>>>"
 )
+# Optional raw parts beside the contracts.
+RAW_STYLES, RAW_SETTINGS = "arch_styles_raw.xml", "arch_settings_raw.xml"
 # Fragments of a style and the element each must be.
 FRAGMENTS = {"pPr": "w:pPr", "rPr": "w:rPr", "tblPr": "w:tblPr", "trPr": "w:trPr", "tcPr": "w:tcPr"}
 
@@ -40,6 +42,23 @@ def contract_root(path: str) -> str:
     return folder
 
 
+def raw_part(spark: SparkSession, folder: str, name: str) -> str | None:
+    """A raw part beside the contracts; None if there is none."""
+    path = os.path.join(folder, name)
+    system, place = pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+    if system.get_file_info(place).type != pafs.FileType.File:
+        return None
+    return spark.read.text(path, wholetext=True).first().value
+
+
+def numbering_rows(template_row: DataFrame, keys: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Numbers ``(keys, num_id, abstract_id, xml)`` and abstract definitions ``(keys, abstract_id, xml)`` of registries; the last row of an id counts."""
+    nums = template_row.select(*keys, F.posexplode("numbering.nums").alias("pos", "n")).select(*keys, "pos", F.col("n.numId").alias("num_id"), F.col("n.abstractNumId").alias("abstract_id"), F.coalesce("n.xml", F.lit("")).alias("xml"))
+    abstracts = template_row.select(*keys, F.posexplode("numbering.abstract_nums").alias("pos", "a")).select(*keys, "pos", F.col("a.abstractNumId").alias("abstract_id"), F.coalesce("a.xml", F.lit("")).alias("xml"))
+    last = lambda rows, name, *rest: rows.where(f"{name} is not null").groupBy(*keys, name).agg(*(F.max_by(c, "pos").alias(c) for c in rest))
+    return last(nums, "num_id", "abstract_id", "xml"), last(abstracts, "abstract_id", "xml")
+
+
 def parsed(text: Column, schema: str) -> Column:
     """A contract's JSON as a struct. Names that differ in case only are told apart before parsing."""
     return F.from_json(F.replace(F.replace(text, F.lit('"styleId"'), F.lit('"styleId_"')), F.lit('"rId"'), F.lit('"rid"')), schema)
