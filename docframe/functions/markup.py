@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -43,6 +44,32 @@ def block_spans(xml: Column, tag: str) -> Column:
     return _spans(xml, F.lit(tag))
 
 
+_PLACED = T.StructType([*_SPAN.fields, T.StructField("inside", T.BooleanType())])
+
+
+@F.pandas_udf(T.ArrayType(_PLACED))
+def _placed_spans(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def find(text: str | None, pattern: re.Pattern, outer: re.Pattern) -> list[dict] | None:
+        if text is None:
+            return None
+        ranges = [m.span() for m in outer.finditer(text)]
+        starts = [a for a, _ in ranges]
+        out = []
+        for m in pattern.finditer(text):
+            at = bisect_right(starts, m.start()) - 1
+            out.append({"start": m.start(), "stop": m.end(), "xml": m[0], "inside": at >= 0 and m.start() < ranges[at][1]})
+        return out
+
+    for texts, tags, outers in batches:
+        pattern, outer = (re.compile(rf"<{t}\b[\s\S]*?</{t}>", re.ASCII) for t in (re.escape(x.iloc[0]) if len(x) else "" for x in (tags, outers)))
+        yield texts.map(lambda t, pattern=pattern, outer=outer: find(t, pattern, outer))
+
+
+def placed_spans(xml: Column, tag: str, outer: str) -> Column:
+    """:func:`block_spans` with ``inside``: whether the block starts in a block of ``outer``."""
+    return _placed_spans(xml, F.lit(tag), F.lit(outer))
+
+
 def explode_blocks(df: DataFrame, column: str, tag: str, index: str = "idx", block: str = "block") -> DataFrame:
     """One row per block with its 0-based number; rows without blocks give none."""
     rest = [c for c in df.columns if c != column]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from docframe.functions import markup, text
 from docframe.operators.context import CONTEXT_CHARS, PREVIEW_CHARS, TEXT_CHARS, neighbours
-from docframe.operators.relational import inside_any
 from docframe.session import cut
 
 
@@ -40,12 +39,22 @@ def analyse(documents: DataFrame, available_roles: list[str] | None = None) -> A
     """
     roles = available_roles or text.ROLES
     allowed = F.array(*map(F.lit, roles))
-    spans = documents.where("xml is not null").select(
-        "file_key", F.transform(markup.block_spans(F.col("xml"), "w:tbl"), lambda t: F.struct(t["start"], t["stop"])).alias("tables"), F.posexplode(markup.block_spans(F.col("xml"), "w:p")).alias("paragraph_index", "p")
+    spans = documents.where("xml is not null").select("file_key", F.posexplode(markup.placed_spans(F.col("xml"), "w:p", "w:tbl")).alias("paragraph_index", "p"))
+    xml = F.col("p.xml")
+    rows = spans.where(~markup.has_section_break(xml)).select(
+        "file_key",
+        "paragraph_index",
+        F.col("p.inside").alias("in_table"),
+        markup.block_text(xml).alias("raw_text"),
+        markup.attribute(xml, "w:pStyle").alias("p_style"),
+        markup.layout_hints(xml).alias("ppr_hints"),
+        markup.run_hints(xml).alias("rpr_hints"),
+        markup.attribute(xml, "w:numId").alias("num_id"),
+        markup.numbering(xml).alias("num_pr"),
     )
-    raw = spans.select("file_key", "paragraph_index", inside_any(F.col("p.start"), F.col("tables")).alias("in_table"), F.col("p.xml").alias("xml"))
-    raw = raw.where(~markup.has_section_break(F.col("xml"))).withColumn("raw_text", markup.block_text(F.col("xml"))).where("raw_text <> ''")
-    clean = raw.withColumn("clean", text.strip_boilerplate(F.col("raw_text"))).select("*", F.col("clean.text").alias("clean_text"), "clean.tags").drop("clean")
+    # Written once: what follows filters on texts that Python and the rules made, which would run again for each reference.
+    rows = cut(rows.withColumn("clean", text.strip_boilerplate(F.col("raw_text")))).where("raw_text <> ''")
+    clean = rows.select("*", F.col("clean.text").alias("clean_text"), "clean.tags").drop("clean")
     ends = F.col("clean_text").rlike(text.END_OF_SECTION) & F.lit("END_OF_SECTION" not in (available_roles or []))
     action = F.when(F.col("clean_text") == "", "removed").when(ends, "removed").when(F.size("tags") > 0, "stripped")
     judged = clean.withColumn("action", action).withColumn("gone", (F.col("clean_text") == "") | ends)
@@ -56,19 +65,17 @@ def analyse(documents: DataFrame, available_roles: list[str] | None = None) -> A
         F.when((F.col("clean_text") != "") & F.col("gone"), F.array(F.lit("end_of_section_no_role"))).otherwise(F.col("tags")).alias("tags"),
         F.when(F.col("action") == "removed", F.substring("raw_text", 1, PREVIEW_CHARS)).alias("preview"),
     )
-    xml = F.col("xml")
     kept = judged.where(~F.col("gone")).select(
         "file_key",
         "paragraph_index",
         F.substring("clean_text", 1, TEXT_CHARS).alias("text"),
-        markup.attribute(xml, "w:pStyle").alias("p_style"),
-        markup.layout_hints(xml).alias("ppr_hints"),
-        markup.run_hints(xml).alias("rpr_hints"),
+        "p_style",
+        "ppr_hints",
+        "rpr_hints",
         "in_table",
-        text.marker_type(F.col("clean_text"), markup.attribute(xml, "w:numId")).alias("marker_type"),
-        markup.numbering(xml).alias("num_pr"),
+        text.marker_type(F.col("clean_text"), F.col("num_id")).alias("marker_type"),
+        "num_pr",
     )
-    kept = cut(kept)  # the rows meet their neighbours and are read again by what follows
     seen = neighbours(kept, ["file_key"], "paragraph_index", F.col("text"))
     head = lambda c: F.coalesce(F.substring(c, 1, CONTEXT_CHARS), F.lit(""))
     role = text.rule_role(F.col("text"), F.col("marker_type"), F.col("before"), F.col("in_table"))

@@ -12,11 +12,6 @@ from pyspark.sql import functions as F
 from docframe.session import cut
 
 
-def inside_any(position: Column, spans: Column) -> Column:
-    """Whether a position lies in any ``array<struct<start, stop>>`` span, stop exclusive; null spans hold none."""
-    return F.coalesce(F.exists(spans, lambda r: (r["start"] <= position) & (position < r["stop"])), F.lit(False))
-
-
 def interval_semi_join(points: DataFrame, ranges: DataFrame, keys: list[str], at: str, start: str = "start", stop: str = "stop", block: int = 4096) -> DataFrame:
     """Points inside any range of their key group, each once; ranges are whole numbers, ``stop`` exclusive.
 

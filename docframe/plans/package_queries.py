@@ -17,7 +17,7 @@ from docframe.operators.references import part_key
 from docframe.plans.link_queries import ROLE_STYLES, deterministic, unresolved_filter
 from docframe.plans.sql import blank_trim
 from docframe.plans.text_queries import ROWS, _MARKER, _RULE, bundle_rows, strip_sql
-from docframe.session import scratch
+from docframe.session import cut, scratch, spread
 from docframe.sources import docx, registry
 from docframe.sources.tables import table
 
@@ -103,7 +103,7 @@ def documents(spark, folder):
     number = F.when(F.trim("marker_type") == "list_numpr", '<w:pPr><w:numPr><w:ilvl w:val="0"/><w:numId w:val="1"/></w:numPr></w:pPr>').otherwise("")
     block = F.concat(F.lit("<w:p>"), number, F.lit("<w:r><w:t>"), markup.escape_attribute(F.coalesce("text", F.lit(""))), F.lit("</w:t></w:r></w:p>"))
     block = F.when(F.col("in_table"), F.concat(F.lit("<w:tbl>"), block, F.lit("</w:tbl>"))).otherwise(block)
-    joined = splice(rows.select("file_key", "idx", block.alias("xml")), ["file_key"], "idx", "xml")
+    joined = splice(spread(rows.select("file_key", "idx", block.alias("xml")), "file_key"), ["file_key"], "idx", "xml")
     return joined.select("file_key", F.concat(F.lit("<w:document><w:body>"), "xml", F.lit("</w:body></w:document>")).alias("xml"))
 
 
@@ -581,7 +581,8 @@ def style_import(spark, folder):
     old = current_styles(spark, folder).where("qformat").select("template_key", F.concat(F.lit('<w:style w:type="paragraph" w:styleId="'), markup.escape_attribute(F.col("style_id")), F.lit('"><w:name w:val="old"/></w:style>')).alias("b"))
     target = old.groupBy("template_key").agg(F.concat(F.lit("<w:styles>"), F.array_join(F.array_sort(F.collect_list("b")), ""), F.lit("</w:styles>")).alias("target"))
     rows = wanted.join(sheets(spark, folder).withColumnRenamed("xml", "template"), "template_key").join(target, "template_key", "left").withColumn("target", F.coalesce("target", F.lit("<w:styles></w:styles>")))
-    once = styles.import_rows(rows)
+    rows = cut(spread(rows, "file_key"))
+    once = cut(styles.import_rows(rows))
     twice = styles.import_rows(once.where("error is null").select("file_key", F.col("xml").alias("target")).join(rows.select("file_key", "template", "wanted"), "file_key"))
     size = styles.first_and_last(styles.style_blocks(once.where("error is null").select("file_key", "xml"), ["file_key"]), ["file_key"]).select("file_key", "style_id", markup.attribute(F.col("first_xml"), "w:sz").alias("size"))
     acts = lambda df, name: df.where("error is null").select("file_key", F.explode("done").alias("style_id", name))

@@ -63,6 +63,15 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in as many partitions as shuffles have, by ``keys``: adaptive execution would put few bytes into few tasks, however long each row takes.
+
+    A group by the same keys behind it needs no further exchange.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """:func:`cut` with aggregates observed while the table is written, without a further pass."""
     seen = Observation()
