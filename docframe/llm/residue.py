@@ -19,6 +19,7 @@ a following sentence counts when a new capital follows it. ``coverage`` gives th
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import product
 from operator import eq
@@ -306,11 +307,12 @@ def _judge(plain: str, low: str, s: int, e: int, spans: list[tuple[int, int, str
     words = [(m.start(), m.end(), low[m.start() : m.end()]) for m in _WORD.finditer(plain, s, e)]
     if not words:  # error values and the like
         return {k for a, b, k in spans if k == "error" and any(covered[a:b])}
+    starts, stops = [w[0] for w in words], [w[1] for w in words]
     kinds, hit = set(), set()
     opening = words[0][0]
     latin = any(kind == "dummy" for *_, kind in spans)
     for a, b, kind in spans:
-        inside = [i for i, w in enumerate(words) if w[0] < b and w[1] > a]
+        inside = range(bisect_right(stops, a), bisect_left(starts, b))
         if not inside and kind not in ("error", "filler"):
             continue
         if kind in ("state", "noun"):
@@ -338,12 +340,11 @@ def _judge(plain: str, low: str, s: int, e: int, spans: list[tuple[int, int, str
             tail = None
         if tail == "prompt" or (tail in ("error", "coded") and (_DOING.match(low, stop, e) or _DETAILS.match(low, stop, e))):
             # The tail ends where a new capital begins another sentence.
-            behind = [i for i, w in enumerate(words) if w[0] >= stop]
-            last = next((i for i in behind[1:] if plain[words[i][0]].isupper() and words[i][2] not in _NOUNS), len(words))
+            last = next((i for i in range(bisect_left(starts, stop) + 1, len(words)) if plain[words[i][0]].isupper() and words[i][2] not in _NOUNS), len(words))
             hit.update(range(last))
             covered[s : words[last - 1][1]] = b"\1" * (words[last - 1][1] - s)
         elif tail and (code := _CODE.search(low, stop, e)):
-            hit.update(i for i, w in enumerate(words) if w[0] < code.end())
+            hit.update(range(bisect_left(starts, code.end())))
             covered[s : code.end()] = b"\1" * (code.end() - s)
     if not kinds:
         return kinds
@@ -422,8 +423,9 @@ def scan(text: str | None, automaton: ahocorasick.Automaton, min_coverage: float
             covered[a:b] = b"\1" * (b - a)
     bounds = [body, *(m.end() for m in _END.finditer(plain, body)), len(plain)]
     others = [x for x in spans if x[2] != "slot"]
+    first = [x[0] for x in others]
     for s, e in zip(bounds, bounds[1:], strict=False):
-        if inside := [x for x in others if s <= x[0] < e]:
+        if inside := others[bisect_left(first, s) : bisect_left(first, e)]:
             kinds |= _judge(plain, low, s, e, inside, covered, min_coverage)
     words = [m for m in _WORD.finditer(plain, body) if not m[0].isdigit() and low[m.start() : m.end()] not in _FUNCTION]
     whole, matched = sum(m.end() - m.start() for m in words), sum(sum(covered[m.start() : m.end()]) for m in words)

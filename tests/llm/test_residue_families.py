@@ -144,3 +144,11 @@ def test_dummy_latin_with_words_of_its_own():
 def test_coverage_is_that_of_the_whole_text():
     (_, whole), (_, beside) = (residue.scan(t, AUTOMATON) for t in ("Page not found.", "Page not found. The contractor shall check each valve before the pipe is closed."))
     assert whole == 1.0 and 0.1 < beside < 0.5
+
+
+def test_long_texts_take_time_in_proportion():
+    """A megabyte of residue, of near misses and of real text, each in one paragraph."""
+    assert residue.scan("lorem ipsum dolor sit amet " * 40_000, AUTOMATON) == ("filler", 1.0)
+    assert residue.scan("The page was not found on the server. " * 20_000, AUTOMATON)[0] == "error"
+    assert residue.scan("[insert x] {{y}} " * 30_000, AUTOMATON)[0].endswith("slot")
+    assert residue.scan("Provide the pump with care and test it. " * 30_000, AUTOMATON) is None
