@@ -718,8 +718,10 @@ def package_run(spark, folder):
     lacking = table(spark, folder, "slim_bundle").groupBy("file_key").agg((F.min("library_code") == "LB-07").alias("lacking"))
     rows = docs.join(lacking, "file_key").select("file_key", "lacking", F.inline(F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(n).alias("part_name"), F.lit(8).alias("compress_type"), F.encode(c, "UTF-8").alias("content")) for i, (n, c) in enumerate(parts.items()))))).where("not (lacking and part_name = 'word/styles.xml')")
     docx.write_packages(rows, source).count()
-    done = pipeline.run_batch(spark, source, contracts, out)
-    return done.select(F.regexp_extract("file_key", "^(.*)__[0-9a-f]{12}$", 1).alias("file_key"), "success", F.col("requested").cast("bigint").alias("requested"), F.col("modified").cast("bigint").alias("modified"), F.col("path").isNotNull().alias("written"), (F.col("duration_seconds") > 0).alias("timed"), F.col("error"))
+    stages = {}
+    done = pipeline.run_batch(spark, source, contracts, out, progress=stages.__setitem__)
+    told = F.lit(",".join(f"{stage}:{counts.get('packages', '')}" for stage, counts in stages.items()))
+    return done.select(F.regexp_extract("file_key", "^(.*)__[0-9a-f]{12}$", 1).alias("file_key"), "success", F.col("requested").cast("bigint").alias("requested"), F.col("modified").cast("bigint").alias("modified"), F.col("path").isNotNull().alias("written"), (F.col("duration_seconds") > 0).alias("timed"), F.col("error"), told.alias("stages"))
 
 
 QUERIES = {
@@ -891,6 +893,7 @@ select file_key, idx::int as paragraph_index, case when before like 'PART %' the
     "prompt_text": "select library_code, 'Read each row.' || chr(10) || 'Name its role.' || chr(10) || chr(10) || 'available_roles: [\"PART\"]' || chr(10) || chr(10) || title as message from style_libraries",
     "package_run": f"""with {ANALYSIS}, f as (select distinct file_key from rows_ where file_key is not null), n as (select file_key, count(*) filter (where not in_table) as n from analysed group by all),
 lib as (select file_key, min(library_code) <> 'LB-07' as good from slim_bundle group by all)
-select file_key, good as success, coalesce(n, 0) as requested, case when good then coalesce(n, 0) else 0 end as modified, good as written, true as timed, case when not good then '''word/styles.xml''' end as error from f join lib using (file_key) left join n using (file_key)""",
+select file_key, good as success, coalesce(n, 0) as requested, case when good then coalesce(n, 0) else 0 end as modified, good as written, true as timed, case when not good then '''word/styles.xml''' end as error,
+  (select 'read:,classify:,apply:' || count(*) || ',write:' || count(*) filter (where good) from f join lib using (file_key)) as stages from f join lib using (file_key) left join n using (file_key)""",
 }
 ORACLES = {name: blank_trim(sql) for name, sql in ORACLES.items()}
