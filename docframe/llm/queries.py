@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docframe.llm import lookalikes, mixing, packing, quality, residue, splitting
+from docframe.session import cut
 from docframe.sources.tables import table
 
 
@@ -100,8 +101,12 @@ def p3_check(spark, folder):
 
 def p5_check(spark, folder):
     """Per file its paragraphs, found or clean, and the clean ones in which an open slot or dummy text stands."""
-    clean = p5_clean(spark, folder).groupBy("file_key", "paragraph_index").agg(F.count_if(F.col("text").rlike(r"\{\{[^{}]*\}\}|(?i)lorem ipsum")).alias("n"))
-    rows = clean.unionByName(p5_found(spark, folder).withColumn("n", F.lit(0).cast("bigint")))
+    keys = ["file_key", "paragraph_index"]
+    rows = residue.paragraphs(table(spark, folder, "slim_bundle"))
+    found = cut(residue.find_residue(rows, keys).select(*keys))
+    marked = rows.select(*keys, F.coalesce(F.col("text").rlike(r"\{\{[^{}]*\}\}|(?i)lorem ipsum"), F.lit(False)).alias("left"))
+    clean = marked.groupBy(*keys).agg(F.count_if("left").alias("n")).join(found, keys, "left_anti")
+    rows = clean.unionByName(found.withColumn("n", F.lit(0).cast("bigint")))
     return rows.groupBy("file_key").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n") > 0).alias("n_left"))
 
 
