@@ -12,11 +12,13 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docframe.functions.text import nullif_empty, squeeze
+from docframe.session import arrow_schema, batched
 
 
 def blocks(xml: Column, tag: str) -> Column:
@@ -70,6 +72,44 @@ def placed_spans(xml: Column, tag: str, outer: str) -> Column:
     return _placed_spans(xml, F.lit(tag), F.lit(outer))
 
 
+_TEXT = re.compile(r"<w:t\b[^>]*>([\s\S]*?)</w:t>", re.ASCII)
+_BLANKS = re.compile(r"\s+", re.ASCII)
+_VALUES = {t: re.compile(rf'<{t}\b[^>]*\sw:val="([^"]+)"', re.ASCII) for t in ("w:pStyle", "w:numId")}
+
+
+def _value(block: str, tag: str) -> str | None:
+    got = _VALUES[tag].search(block) if f"<{tag}" in block else None
+    return got[1] if got else None
+
+
+def paragraph_rows(documents: DataFrame, with_xml: bool = True) -> DataFrame:
+    """``file_key, paragraph_index, in_table, raw_text, p_style, num_id`` and the block as ``xml`` of the paragraphs without a section break.
+
+    What :func:`placed_spans`, :func:`block_text` and :func:`attribute` give, in one pass over each document:
+    each pattern in the columns is a scan of its own, and a Python function among them gets every text.
+    """
+    pattern, outer = (re.compile(rf"<{t}\b[\s\S]*?</{t}>", re.ASCII) for t in ("w:p", "w:tbl"))
+
+    def rows(key: str, xml: str) -> Iterator[tuple]:
+        ranges = [m.span() for m in outer.finditer(xml)]
+        starts = [a for a, _ in ranges]
+        for i, m in enumerate(pattern.finditer(xml)):
+            block = m[0]
+            if "<w:sectPr" in block:
+                continue
+            at = bisect_right(starts, m.start()) - 1
+            seen = html.unescape("".join(_TEXT.findall(block)))
+            yield key, i, at >= 0 and m.start() < ranges[at][1], _BLANKS.sub(" ", seen).strip(" "), _value(block, "w:pStyle"), _value(block, "w:numId"), *((block,) if with_xml else ())
+
+    schema = "file_key string, paragraph_index int, in_table boolean, raw_text string, p_style string, num_id string" + (", xml string" if with_xml else "")
+    shape = arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched((row for batch in batches for key, xml in zip(*(c.to_pylist() for c in batch.columns), strict=True) for row in rows(key, xml)), shape)
+
+    return documents.where("xml is not null").select("file_key", "xml").mapInArrow(run, schema)
+
+
 def explode_blocks(df: DataFrame, column: str, tag: str, index: str = "idx", block: str = "block") -> DataFrame:
     """One row per block with its 0-based number; rows without blocks give none."""
     rest = [c for c in df.columns if c != column]
@@ -169,6 +209,19 @@ def contract_form(block: Column) -> Column:
     return block
 
 
+_WITHOUT = {t: [re.compile(p, re.ASCII) for p in (rf"<{t}\b[^>]*/>", rf"<{t}\b[^>]*>[\s\S]*?</{t}>")] for t in EDITABLE}
+_SHELLS = {t: [re.compile(p, re.ASCII) for p in (rf"<{t}>\s*</{t}>", rf"<{t}\s*/>")] for t in ("w:rPr", "w:pPr")}
+
+
+def contract_form_of(block: str) -> str:
+    """:func:`contract_form` of one text, for Python that has it at hand."""
+    for tag, patterns in (_WITHOUT | _SHELLS).items():
+        if f"<{tag}" in block:
+            for pattern in patterns:
+                block = pattern.sub("", block)
+    return block
+
+
 # Section properties that are managed by the template.
 MANAGED_SECTION = ["pgSz", "pgMar", "cols", "docGrid", "type", "pgNumType", "vAlign", "textDirection", "bidi", "rtlGutter", "lnNumType", "pgBorders", "paperSrc", "formProt", "noEndnote"]
 # Order of the children of section properties.

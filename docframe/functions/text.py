@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -164,22 +166,35 @@ BOILERPLATE = [
     (r"(?i)\[?\bhidden text\b\]?:?[^\n]*", "hidden_text"),
 ]
 
+# Per rule, texts of which one stands in whatever the rule hits, in lower case.
+_NOUNS = ("paragraph", "article", "option", "definition", "sentence", "term", "list", "requirement", "schedule")
+NEEDED = [
+    ("note",), ("[",), _NOUNS, ("below", "above"), ("below", "above"), ("option",), ("manufacturer",), ("may permit",), ("this section",), ("see",), ("do not",), ("copyright", "(c)", "©"), ("all rights reserved",),
+    ("unauthori",), tuple("-=_*~#"), ("page", "-", " of "), ("rev",), ("{",), ("<<",), ("hidden text",),
+]
+
 
 def strip_boilerplate(text: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     """``struct<text, tags>``: the text without boilerplate and the tags of the rules that hit.
 
     Rules apply in order, each to what the ones before it left; tags come once, in order of their
     first hit. Only texts that any rule may hit are rewritten, so the fold costs one test for
-    all others. Blank line runs and blanks at line ends are tidied.
+    all others; a pattern is only tried where one of the texts that it needs stands. Blank line runs and blanks at line ends are tidied.
     """
+    needed = NEEDED if rules is None else [()] * len(rules)
     rules = BOILERPLATE if rules is None else rules
     state = F.struct(text.alias("text"), F.array().cast("array<string>").alias("tags"))
     for pattern, tag in rules:
         state = let(state, _rule_step(pattern, tag))
-    any_rule = F.lit(False)
-    for pattern, _ in rules:
-        any_rule = any_rule | text.rlike(pattern)
-    return let(F.when(any_rule, state).otherwise(F.struct(text.alias("text"), F.array().cast("array<string>").alias("tags"))), _tidy)
+
+    def hit(low: Column) -> Column:
+        found = F.lit(False)
+        for (pattern, _), marks in zip(rules, needed, strict=True):
+            may = reduce(or_, (F.contains(low, F.lit(m)) for m in marks)) if marks else F.lit(True)
+            found = found | (may & text.rlike(pattern))
+        return found
+
+    return let(F.when(let(F.lower(text), hit), state).otherwise(F.struct(text.alias("text"), F.array().cast("array<string>").alias("tags"))), _tidy)
 
 
 def _rule_step(pattern: str, tag: str) -> Callable[[Column], Column]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.operators.relational import conflicts, duplicates, raise_if_any
-from docframe.session import cut
+from docframe.session import cut, each_group
 
 ATTEMPTS = 3
 
@@ -71,20 +71,18 @@ def classify_chunks(chunks: DataFrame, roles: list[str], classifier: Classifier
     """
     model = classifier or RuleClassifier()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("paragraph_index")
+    def run(rows: list[dict]) -> list[tuple]:
         if hasattr(model, "classify_rows"):
-            records = rows.astype(object).where(rows.notna(), None).to_dict("records")
-            answer = with_retries(lambda: model.classify_rows(records, roles))
+            answer = with_retries(lambda: model.classify_rows(rows, roles))
         else:
-            texts = rows["text"].fillna("").tolist()
+            texts = [r["text"] or "" for r in rows]
             answer = with_retries(lambda: model.classify(texts, roles))
         if len(answer) != len(rows):
             raise ValueError("a classifier must answer once per row")
-        return rows[["file_key", "chunk", "paragraph_index"]].assign(csi_role=answer)
+        return [(r["file_key"], r["chunk"], r["paragraph_index"], a) for r, a in zip(rows, answer, strict=True)]
 
     kind = {f.name: f.dataType.simpleString() for f in chunks.schema}
-    return chunks.groupBy("file_key", "chunk").applyInPandas(run, f"file_key string, chunk {kind['chunk']}, paragraph_index {kind['paragraph_index']}, csi_role string")
+    return each_group(chunks, ["file_key", "chunk"], [F.col("paragraph_index").asc_nulls_last()], run, f"file_key string, chunk {kind['chunk']}, paragraph_index {kind['paragraph_index']}, csi_role string")
 
 
 def payload_violations(payload: DataFrame, allowed: DataFrame, keys: list[str], roles: list[str]) -> DataFrame:

@@ -29,29 +29,21 @@ class Analysis:
         return self.enriched.where("csi_role is null and not in_table")
 
 
-def analyse(documents: DataFrame, available_roles: list[str] | None = None) -> Analysis:
+def analyse(documents: DataFrame, available_roles: list[str] | None = None, hints: bool = True) -> Analysis:
     """Analyse ``documents(file_key, xml)``, one document part per file.
 
     Paragraph blocks are numbered in document order. Blocks with a section break and blocks without
     text are dropped; text is cleaned; what cleaning empties is reported if a rule hit. End-of-section
     lines are dropped and reported unless their role is available. Context and the title rule see
-    the kept rows, table rows included, and run over blocks of a file.
+    the kept rows, table rows included, and run over blocks of a file. Without ``hints`` the columns
+    ``ppr_hints``, ``rpr_hints`` and ``num_pr`` are left out.
     """
     roles = available_roles or text.ROLES
     allowed = F.array(*map(F.lit, roles))
-    spans = documents.where("xml is not null").select("file_key", F.posexplode(markup.placed_spans(F.col("xml"), "w:p", "w:tbl")).alias("paragraph_index", "p"))
-    xml = F.col("p.xml")
-    rows = spans.where(~markup.has_section_break(xml)).select(
-        "file_key",
-        "paragraph_index",
-        F.col("p.inside").alias("in_table"),
-        markup.block_text(xml).alias("raw_text"),
-        markup.attribute(xml, "w:pStyle").alias("p_style"),
-        markup.layout_hints(xml).alias("ppr_hints"),
-        markup.run_hints(xml).alias("rpr_hints"),
-        markup.attribute(xml, "w:numId").alias("num_id"),
-        markup.numbering(xml).alias("num_pr"),
-    )
+    rows = markup.paragraph_rows(documents, hints)
+    if hints:
+        xml = F.col("xml")
+        rows = rows.select("*", markup.layout_hints(xml).alias("ppr_hints"), markup.run_hints(xml).alias("rpr_hints"), markup.numbering(xml).alias("num_pr")).drop("xml")
     # Written once: what follows filters on texts that Python and the rules made, which would run again for each reference.
     rows = cut(rows.withColumn("clean", text.strip_boilerplate(F.col("raw_text")))).where("raw_text <> ''")
     clean = rows.select("*", F.col("clean.text").alias("clean_text"), "clean.tags").drop("clean")
@@ -70,11 +62,10 @@ def analyse(documents: DataFrame, available_roles: list[str] | None = None) -> A
         "paragraph_index",
         F.substring("clean_text", 1, TEXT_CHARS).alias("text"),
         "p_style",
-        "ppr_hints",
-        "rpr_hints",
+        *(("ppr_hints", "rpr_hints") if hints else ()),
         "in_table",
         text.marker_type(F.col("clean_text"), F.col("num_id")).alias("marker_type"),
-        "num_pr",
+        *(("num_pr",) if hints else ()),
     )
     seen = neighbours(kept, ["file_key"], "paragraph_index", F.col("text"))
     head = lambda c: F.coalesce(F.substring(c, 1, CONTEXT_CHARS), F.lit(""))

@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import difflib
 import json
+import re
 import time
 import traceback
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import zip_longest
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ from docframe.operators.classify import Classifier, classify_chunks, merge_chunk
 from docframe.operators.paragraphs import Analysis, analyse
 from docframe.operators.relational import compare_maps, missing_from_bag, raise_if_any
 from docframe.operators.styles import Sheet, has_layout, import_styles, style_blocks
-from docframe.session import cut, cut_counted
+from docframe.session import cut, cut_counted, each_group
 from docframe.sources import docx, registry
 
 Parts = dict[str, bytes]
@@ -90,16 +92,16 @@ def markup_open(xml: str, at: int) -> int | None:
     return None
 
 
-def plan_numbers(parts: DataFrame, final: DataFrame, config: Config) -> numbering.Plan:
-    """The numbering that the styles of each package's classifications use, from the template."""
-    spark = parts.sparkSession
+def plan_numbers(targets: DataFrame, final: DataFrame, config: Config) -> numbering.Plan:
+    """The numbering that the styles of each package's classifications use, from the template; ``targets(file_key, xml)`` are the numbering parts."""
+    spark = targets.sparkSession
     roles = spark.createDataFrame(list(config.roles.items()), "csi_role string, style_id string")
     sheet = spark.createDataFrame([("", config.sheet)], "template_key string, xml string")
     used = numbering.style_numbers(style_blocks(sheet, ["template_key"]), ["template_key"])
     usage = final.join(roles, "csi_role").select("file_key", "style_id").distinct().join(used, "style_id")
     contract = spark.createDataFrame([("", json.dumps({"numbering": config.template.get("numbering")}))], "template_key string, json string")
     template = contract.select("template_key", registry.parsed(F.col("json"), registry.TEMPLATE_SCHEMA).alias("j")).select("template_key", "j.*")
-    return numbering.plan(usage, *registry.numbering_rows(template, ["template_key"]), docx.part_text(parts, NUMBERING))
+    return numbering.plan(usage, *registry.numbering_rows(template, ["template_key"]), targets)
 
 
 def apply_roles(xml: str, styles: Sheet, roles: dict[str, str], classes: list[tuple[int, str]]) -> tuple[str, Report]:
@@ -142,9 +144,15 @@ def snapshot(parts: Parts) -> dict[str, bytes]:
     return held
 
 
+@lru_cache(maxsize=4)
+def _template_sheet(xml: str) -> Sheet:
+    """The template's sheet, read once per worker."""
+    return Sheet(xml)
+
+
 def process_package(parts: Parts, classes: list[tuple[int, str]], config: Config, numbers: dict[str, tuple[int, int]]) -> tuple[Parts, Report, list[str]]:
     """The package in the template's styles and environment, its report and its log."""
-    parts, sheet = dict(parts), Sheet(config.sheet)
+    parts, sheet = dict(parts), _template_sheet(config.sheet)
     log = environment.apply_environment(parts, config.template, config.raw_settings)
     needed = sorted({config.roles[r] for _, r in classes if r in config.roles})
     styles, done = import_styles(environment.read(parts, STYLES), sheet, needed, numbers)
@@ -159,16 +167,18 @@ def process_package(parts: Parts, classes: list[tuple[int, str]], config: Config
     return parts, report, log
 
 
+_BLOCK = re.compile(r"<w:p\b[\s\S]*?</w:p>", re.ASCII)
 RESULT = "file_key string, kind string, part_name string, content binary, success boolean, error string, log array<string>, modified int, requested int, duration_seconds double"
 
 
 def apply(parts: DataFrame, final: DataFrame, config: Config) -> DataFrame:
-    """``RESULT`` rows of every package: its changed and new parts (kind part), the parts to leave out (kind gone), one row of kind result.
+    """``RESULT`` rows of every package: its changed and new parts (kind part), the parts to leave out (kind gone), paragraphs that changed by more than an edit may (kind breach), one row of kind result.
 
     A package that fails keeps no parts and says why; others are not affected.
     """
-    planned = plan_numbers(parts, final, config)
-    injected = numbering.inject(docx.part_text(parts, NUMBERING), planned)
+    numbered = cut(docx.part_text(parts, NUMBERING))  # the plan looks at these parts again and again
+    planned = plan_numbers(numbered, final, config)
+    injected = numbering.inject(numbered, planned)
     columns = {"paragraph_index": "int", "csi_role": "string", "style_id": "string", "old_id": "int", "new_id": "int", "xml": "string", "problem": "string"}
 
     def shaped(rows: DataFrame) -> DataFrame:
@@ -178,39 +188,52 @@ def apply(parts: DataFrame, final: DataFrame, config: Config) -> DataFrame:
     wrong = planned.violations.select("file_key", F.format_string("numbering: %s %s for styles %s", "rule", F.col("item").cast("string"), F.array_join("styles", ", ")).alias("problem"))
     facts = shaped(final).unionByName(shaped(planned.styles)).unionByName(shaped(injected.withColumnRenamed("error", "problem"))).unionByName(shaped(wrong))
 
-    def run(package: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        if package.empty:
-            return pd.DataFrame(columns=names)
-        key, began = package["file_key"].iloc[0], time.perf_counter()
-        old = {r.part_name: bytes(r.content) for r in package.sort_values("ordinal").itertuples() if r.part_name and r.part_name != docx.COMMENT}
-        classified = told[told["csi_role"].notna()]
-        rows: list[tuple] = []
+    def run(rows: list[dict]) -> list[tuple]:
+        package, told = [r for r in rows if r["is_part"]], [r for r in rows if not r["is_part"]]
+        if not package:
+            return []
+        key, began = rows[0]["file_key"], time.perf_counter()
+        old = {r["part_name"]: r["content"] for r in package if r["part_name"] and r["part_name"] != docx.COMMENT}
+        classes = sorted((r["paragraph_index"], r["csi_role"]) for r in told if r["csi_role"] is not None)
+        out: list[tuple] = []
         try:
-            if (broken := package["error"].dropna()).size:
-                raise ValueError(broken.iloc[0])
-            if (problems := sorted(told["problem"].dropna())):
+            if broken := [r["error"] for r in package if r["error"] is not None]:
+                raise ValueError(broken[0])
+            if problems := sorted(r["problem"] for r in told if r["problem"] is not None):
                 raise ValueError("; ".join(problems))
             held = dict(old)
-            for xml in told["xml"].dropna():
+            for xml in (r["xml"] for r in told if r["xml"] is not None):
                 held[NUMBERING] = xml.encode("utf-8")
-            numbers = {r.style_id: (int(r.old_id), int(r.new_id)) for r in told[told["style_id"].notna()].itertuples()}
-            classes = [(int(i), r) for i, r in sorted(zip(classified["paragraph_index"], classified["csi_role"], strict=True))]
+            numbers = {r["style_id"]: (r["old_id"], r["new_id"]) for r in told if r["style_id"] is not None}
             new, report, log = process_package(held, classes, config, numbers)
-            rows += ((key, "part", name, content, None, None, None, None, None, None) for name, content in new.items() if old.get(name) != content)
-            rows += ((key, "gone", name, None, None, None, None, None, None, None) for name in old if name not in new)
-            rows.append((key, "result", None, None, True, None, log, report.modified, report.requested, time.perf_counter() - began))
+            out += ((key, "part", name, content, None, None, None, None, None, None) for name, content in new.items() if old.get(name) != content)
+            out += ((key, "gone", name, None, None, None, None, None, None, None) for name in old if name not in new)
+            out += ((key, "breach", DOCUMENT, None, None, breach, None, None, None, None) for breach in breaches(old.get(DOCUMENT, b""), new.get(DOCUMENT, b"")))
+            out.append((key, "result", None, None, True, None, log, report.modified, report.requested, time.perf_counter() - began))
         except Exception as error:
-            rows = [(key, "result", None, None, False, str(error) or type(error).__name__, [traceback.format_exc(limit=-1)], 0, len(classified), time.perf_counter() - began)]
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({c: "Int32" for c in ("modified", "requested")})
+            out = [(key, "result", None, None, False, str(error) or type(error).__name__, [traceback.format_exc(limit=-1)], 0, len(classes), time.perf_counter() - began)]
+        return out
+
+    held = parts.select("file_key", F.lit(True).alias("is_part"), "ordinal", "part_name", "content", "error")
+    rows = held.unionByName(facts.withColumn("is_part", F.lit(False)), allowMissingColumns=True)
+    return each_group(rows, ["file_key"], [F.col("ordinal")], run, RESULT)
+
 
-    left = parts.select("file_key", "ordinal", "part_name", "content", "error")
-    return left.groupBy("file_key").cogroup(facts.groupBy("file_key")).applyInPandas(run, RESULT)
+def breaches(before: bytes, after: bytes) -> Iterator[str]:
+    """What :func:`contract_violations` says of one document, that of a package at hand."""
+    if before == after:
+        return
+    olds, news = ([m[0] for m in _BLOCK.finditer(x.decode("utf-8"))] for x in (before, after))
+    for i, (a, b) in enumerate(zip_longest(olds, news)):
+        if a != b and "<w:sectPr" not in (a or "") and "<w:sectPr" not in (b or ""):
+            was, now = (None if x is None else markup.contract_form_of(x) for x in (a, b))
+            if was != now:
+                yield f"paragraph {i} changed: {difference(was or '', now)}"
 
 
 def analyse_packages(parts: DataFrame, config: Config) -> Analysis:
-    return analyse(docx.part_text(parts, DOCUMENT), config.available)
+    got = analyse(docx.part_text(parts, DOCUMENT), config.available, hints=False)
+    return Analysis(cut(got.enriched), got.filter_report)  # ruled and open rows are read from it, several times
 
 
 def classify_packages(analysis: Analysis, config: Config, classifier: Classifier | None = None) -> DataFrame:
@@ -258,7 +281,7 @@ def run_batch(
     if config.tokens:
         footed = cut(patched_footers(parts, made, gone, final, config))
         made = made.join(footed.select(*keys), keys, "left_anti").unionByName(footed)
-    problems = docx.patch_violations(made, gone).select("file_key", "error").unionByName(contract_violations(parts, made))
+    problems = docx.patch_violations(made, gone).select("file_key", "error").unionByName(done.where("kind = 'breach'").select("file_key", "error"))
     problems = cut(problems.groupBy("file_key").agg(F.array_join(F.array_sort(F.collect_set("error")), "; ").alias("problem")))
     results = done.where("kind = 'result'").drop("kind", "part_name", "content").join(problems, "file_key", "left")
     results = results.withColumn("success", F.col("success") & F.col("problem").isNull()).withColumn("error", F.coalesce("error", "problem")).drop("problem")

@@ -17,6 +17,8 @@ from docframe.functions.text import squeeze
 IMPLICIT = {"Normal", "DefaultParagraphFont", "TableNormal", "NoList"}
 HARDENED = ("w:rFonts", "w:sz", "w:szCs", "w:lang")
 MAX_HOPS = 50
+#: Hardened blocks that a sheet remembers; numbered ones differ from package to package.
+MAX_MADE = 1000
 
 
 def style_blocks(sheets: DataFrame, keys: list[str]) -> DataFrame:
@@ -52,6 +54,7 @@ class Sheet:
     xml: str
     first: dict[str, str] = field(default_factory=dict)
     last: dict[str, str] = field(default_factory=dict)
+    made: dict[tuple[str, str], str] = field(default_factory=dict, compare=False, repr=False)
 
     def __post_init__(self) -> None:
         for at in edit.find_all(self.xml, "w:style"):
@@ -119,6 +122,13 @@ class Sheet:
 
     def hardened(self, style_id: str, block: str) -> str:
         """The block with what it inherits written out: paragraph properties if it has none, missing run properties."""
+        if len(self.made) > MAX_MADE:
+            self.made.clear()
+        if (style_id, block) not in self.made:
+            self.made[style_id, block] = self._hardened(style_id, block)
+        return self.made[style_id, block]
+
+    def _hardened(self, style_id: str, block: str) -> str:
         kind = edit.attr(block[: block.index(">") + 1], "w:type")
         if kind == "paragraph" and not edit.find(block, "w:pPr") and (content := self.effective_paragraph(style_id)):
             block = edit.before_close(block, "w:style", f"\n  <w:pPr>{content}</w:pPr>\n") or block

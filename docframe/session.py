@@ -5,10 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -72,6 +75,55 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
+#: Bytes and rows of an Arrow batch that Python gives back; one row may be larger.
+BATCH_BYTES, BATCH_ROWS = 4_000_000, 5_000
+
+
+def batched(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches of bounded size."""
+    held, size = [], 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, (bytes, str)))
+        if size >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
+def arrow_schema(schema: str) -> pa.Schema:
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
+def each_group(df: DataFrame, keys: list[str], order: list[Column], run: Callable[[list[dict]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``run`` on the rows of each key in ``order``, as a stream of sorted rows.
+
+    A group must fit a task, as with ``applyInPandas``, but costs neither a frame nor an Arrow batch of its
+    own, which for small groups take longer than the work on them.
+    """
+    shape = arrow_schema(schema)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+        at, rows = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if rows and key != at:
+                    yield rows
+                    rows = []
+                at = key
+                rows.append(row)
+        if rows:
+            yield rows
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batched((row for rows in groups(batches) for row in run(rows)), shape)
+
+    return spread(df, *keys).sortWithinPartitions(*keys, *order).mapInArrow(stream, schema)
+
+
 def cut_counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
     """:func:`cut` with aggregates observed while the table is written, without a further pass."""
     seen = Observation()

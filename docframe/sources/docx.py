@@ -8,7 +8,7 @@ import os
 import uuid
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from docframe.functions.ids import file_key
 from docframe.operators.relational import patch_parts, raise_if_any
+from docframe.session import arrow_schema, batched, each_group, spread
 
 PARTS = "file_key string, path string, ordinal int, part_name string, compress_type int, content binary, error string"
 #: The archive comment travels as a part of this name and ordinal -1.
@@ -37,38 +38,72 @@ def _uri(folder: str) -> str:
 def expand(files: DataFrame) -> DataFrame:
     """``PARTS`` rows of ``files(file_key, path, content)``; an unreadable archive gives one row with ``error``."""
 
+    shape = arrow_schema(PARTS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [p.split()[0] for p in PARTS.split(", ")]
-        types = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.string()]
-        for batch in batches:
-            for i in range(batch.num_rows):  # one archive in memory at a time, one batch out per archive
-                key, path, content = (batch.column(c)[i].as_py() for c in ("file_key", "path", "content"))
-                rows = []
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        if archive.comment:
-                            rows.append((-1, COMMENT, 0, archive.comment, None))
-                        for ordinal, info in enumerate(archive.infolist()):
-                            rows.append((ordinal, info.filename, info.compress_type, archive.read(info), None))
-                except (zipfile.BadZipFile, RuntimeError, OSError, TypeError, ValueError) as error:
-                    rows = [(None, None, None, None, f"{type(error).__name__}: {error}")]
-                columns = list(zip(*((key, path, *r) for r in rows), strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        files = (tuple(batch.column(c)[i].as_py() for c in ("file_key", "path", "content")) for batch in batches for i in range(batch.num_rows))
+        return batched((row for file in files for row in _part_rows(*file)), shape)
 
     return files.select("file_key", "path", "content").mapInArrow(run, PARTS)
 
 
+def _part_rows(key: str, path: str, content: bytes | None) -> list[tuple]:
+    """``PARTS`` rows of one archive."""
+    rows: list[tuple] = []
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            if archive.comment:
+                rows.append((key, path, -1, COMMENT, 0, archive.comment, None))
+            for ordinal, info in enumerate(archive.infolist()):
+                rows.append((key, path, ordinal, info.filename, info.compress_type, archive.read(info), None))
+    except (zipfile.BadZipFile, RuntimeError, OSError, TypeError, ValueError) as error:
+        rows = [(key, path, None, None, None, None, f"{type(error).__name__}: {error}")]
+    return rows
+
+
+def list_packages(spark: SparkSession, folder: str, pattern: str = "*.docx") -> DataFrame:
+    """``path, place`` of the packages directly in a folder, names that Spark's scans hide left out.
+
+    One task lists the folder: the driver holds no list, however many packages there are. ``place`` is
+    the path as Arrow's file system takes it.
+    """
+    uri = _uri(folder).rstrip("/")
+    system, root = pafs.FileSystem.from_uri(uri)
+    if system.get_file_info(root).type == pafs.FileType.NotFound:
+        raise FileNotFoundError(folder)
+    head = "file:" if isinstance(system, pafs.LocalFileSystem) else uri.removesuffix(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            system, root = pafs.FileSystem.from_uri(uri)
+            found = system.get_file_info(pafs.FileSelector(root))
+            yield from batched(((head + i.path, i.path) for i in found if i.is_file and not i.base_name.startswith(("_", ".")) and fnmatch.fnmatchcase(i.base_name, pattern)), shape)
+
+    shape = arrow_schema("path string, place string")
+    return spark.range(0, 1, 1, 1).mapInArrow(run, "path string, place string")
+
+
 def read_packages(spark: SparkSession, folder: str, pattern: str = "*.docx") -> DataFrame:
     """The parts of all packages directly in a folder; keys keep equal base names apart.
 
-    Spark's scan leaves out empty files; those found in the listing come as unreadable archives.
+    Files are dealt out by name to as many tasks as shuffles have; Spark's own scan counts each as 4 MB at
+    least, which makes a task of every few small packages, and leaves out empty files.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
-    system, root = pafs.FileSystem.from_uri(_uri(folder))
-    empty = [f"file:{i.path}" if isinstance(system, pafs.LocalFileSystem) else i.path for i in system.get_file_info(pafs.FileSelector(root)) if i.is_file and i.size == 0 and fnmatch.fnmatch(i.base_name, pattern)]
-    if empty:
-        files = files.unionByName(spark.createDataFrame([(path, bytearray()) for path in empty], "path string, content binary"))
-    return expand(files.select(file_key(F.col("path")).alias("file_key"), "path", "content"))
+    uri, shape = _uri(folder), arrow_schema(PARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, _ = pafs.FileSystem.from_uri(uri)
+
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for key, path, place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    with system.open_input_stream(place) as file:  # one archive in memory at a time
+                        content = file.read()
+                    yield from _part_rows(key, path, content)
+
+        return batched(rows(), shape)
+
+    return spread(list_packages(spark, folder, pattern), "path").select(file_key(F.col("path")).alias("file_key"), "path", "place").mapInArrow(run, PARTS)
 
 
 def part_text(parts: DataFrame, name: str) -> DataFrame:
@@ -131,26 +166,27 @@ def patch_packages(base: DataFrame, replacements: DataFrame, excluded: DataFrame
     return patched.withColumn("ordinal", last).withColumn("compress_type", F.coalesce("compress_type", F.lit(zipfile.ZIP_DEFLATED)))
 
 
-def _archive(rows: pd.DataFrame) -> bytes:
+def _archive(rows: list[dict]) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as archive:
-        for row in rows.sort_values(["ordinal", "part_name"]).itertuples():
-            if row.part_name == COMMENT:
-                archive.comment = bytes(row.content)
+        for row in sorted(rows, key=lambda r: (r["ordinal"] is None, r["ordinal"] or 0, r["part_name"])):
+            if row["part_name"] == COMMENT:
+                archive.comment = row["content"]
                 continue
-            info = zipfile.ZipInfo(row.part_name, date_time=(1980, 1, 1, 0, 0, 0))
-            archive.writestr(info, bytes(row.content), compress_type=int(row.compress_type))
+            info = zipfile.ZipInfo(row["part_name"], date_time=(1980, 1, 1, 0, 0, 0))
+            archive.writestr(info, row["content"], compress_type=row["compress_type"])
     return out.getvalue()
 
 
-def build_packages(parts: DataFrame) -> DataFrame:
-    """``file_key, content``: one archive per key. A group is one package, which fits a task by nature."""
+def _each_package(parts: DataFrame, run: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """``run`` on the parts of each key. A group is one package, which fits a task by nature."""
+    kept = parts.where("part_name is not null").select("file_key", "ordinal", "part_name", "compress_type", "content")
+    return each_group(kept, ["file_key"], [], run, schema)
 
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"file_key": [rows["file_key"].iloc[0]], "content": [_archive(rows)]})
 
-    kept = parts.where("part_name is not null").select("file_key", "ordinal", "part_name", "compress_type", "content")
-    return kept.groupBy("file_key").applyInPandas(build, "file_key string, content binary")
+def build_packages(parts: DataFrame) -> DataFrame:
+    """``file_key, content``: one archive per key."""
+    return _each_package(parts, lambda rows: [(rows[0]["file_key"], _archive(rows))], "file_key string, content binary")
 
 
 def write_packages(parts: DataFrame, folder: str, suffix: str = ".docx") -> DataFrame:
@@ -160,19 +196,19 @@ def write_packages(parts: DataFrame, folder: str, suffix: str = ".docx") -> Data
     another name and then moved, so a repeated task leaves one whole file.
     """
     uri = _uri(folder)
-
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, root = pafs.FileSystem.from_uri(uri)
-        system.create_dir(root, recursive=True)
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                path = f"{root}/{row.file_key}{suffix}"
-                draft = f"{path}.{uuid.uuid4().hex}"
-                with system.open_output_stream(draft) as out:
-                    out.write(bytes(row.content))
-                system.move(draft, path)
-                rows.append((row.file_key, path, len(row.content)))
-            yield pd.DataFrame(rows, columns=["file_key", "path", "n_bytes"])
-
-    return build_packages(parts).mapInPandas(save, "file_key string, path string, n_bytes long")
+    place: list = []
+
+    def save(rows: list[dict]) -> list[tuple]:
+        if not place:  # once per task
+            place.extend(pafs.FileSystem.from_uri(uri))
+            place[0].create_dir(place[1], recursive=True)
+        system, root = place
+        key, content = rows[0]["file_key"], _archive(rows)
+        path = f"{root}/{key}{suffix}"
+        draft = f"{path}.{uuid.uuid4().hex}"
+        with system.open_output_stream(draft) as out:
+            out.write(content)
+        system.move(draft, path)
+        return [(key, path, len(content))]
+
+    return _each_package(parts, save, "file_key string, path string, n_bytes long")
